@@ -320,8 +320,8 @@ def _mining_body() -> str:
       {ema_sql('close', '(2.0 / 10)', W)} AS ema9, {ema_sql('close', '(2.0 / 22)', W)} AS ema21 FROM cx),
     c2 AS (SELECT *, ema9 / ema21 - 1 AS ema9_ema21_spread_pct, ema9 / lag(ema9, 3) OVER ({W}) - 1 AS ema9_slope_3bar FROM c1)"""
     source = "c2"
-    for i, text in enumerate((RSI_SQL, KDJ_SQL, MACD_SQL, BB_SQL, ATR_SQL, vol_ctes()), start=1):
-        body += chain(text, source, f"f{i}", f"t{i}")
+    for i, ctes in enumerate((rsi_ctes, kdj_ctes, macd_ctes, boll_ctes, atr_ctes, vol_ctes), start=1):
+        body += ctes(source, f"f{i}")
         source = f"f{i}"
     return body + f", out AS (SELECT * FROM {source})"
 
