@@ -42,8 +42,8 @@ def _(spark, d):
       CASE WHEN o_orderpriority < '3' THEN o_totalprice / 1001 END AS b, CASE WHEN o_orderkey % 10 < 8 THEN o_totalprice / 999 ELSE 0 END AS a FROM orders),
     s AS (SELECT *, coalesce(b > 0 AND a > 0 AND b <= a, false) AS sane, greatest(p * 0.0004, CASE WHEN p < 1 THEN 0.0001 ELSE 0.01 END) AS sp FROM q)
     SELECT o_orderkey, CASE WHEN p IS NULL THEN 'missing' WHEN sane THEN 'quote' ELSE 'estimated' END AS source,
-    {r("CASE WHEN p IS NOT NULL THEN CASE WHEN sane THEN b ELSE greatest(0.0001, p - sp / 2) END END", "bid", 7)},
-    {r("CASE WHEN p IS NOT NULL THEN CASE WHEN sane THEN a ELSE p + sp / 2 END END", "ask", 7)} FROM s""",
+    {r("CASE WHEN p IS NOT NULL THEN CASE WHEN sane THEN b ELSE greatest(0.0001, p - sp / 2) END END", "bid", 10)},
+    {r("CASE WHEN p IS NOT NULL THEN CASE WHEN sane THEN a ELSE p + sp / 2 END END", "ask", 10)} FROM s""",
 )
 def _(spark, d):
     o = table(spark, d, "orders")
@@ -51,7 +51,7 @@ def _(spark, d):
     bid = [F.when(F.col("o_orderpriority") < "3", F.col("o_totalprice") / 1001)]
     ask = [F.when(F.col("o_orderkey") % 10 < 8, F.col("o_totalprice") / 999).otherwise(0.0)]
     q = o.select("o_orderkey", S.quote(last, bid, ask).alias("q"))
-    return q.select("o_orderkey", "q.source", rnd("q.bid", 7).alias("bid"), rnd("q.ask", 7).alias("ask"))
+    return q.select("o_orderkey", "q.source", rnd("q.bid", 10).alias("bid"), rnd("q.ask", 10).alias("ask"))
 
 
 SCREEN_SQL = """sc AS (SELECT 'C' || c_custkey AS ticker, c_acctbal * 1e6 AS cap, c_acctbal / 12000 AS inst, c_nationkey / 200.0 AS own, (c_acctbal - 2000) / 10000 AS yoy,
