@@ -86,8 +86,11 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as raw observations of a part, repeated over orders."""
-    li = table(spark, folder, "lineitem")
-    return li.select(
+    return observation_rows(table(spark, folder, "lineitem"))
+
+
+def observation_rows(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.col("l_orderkey").alias("run_id"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ticker"),
         F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("source_key"),
