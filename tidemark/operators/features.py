@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import div, or_default, pct_diff, rnd
+from tidemark.functions.numeric import div, pct_diff
 from tidemark.functions.smoothing import ewm_columns, ewm_dense, rsi_from
 
 SESSION = ("symbol", "session_date")
@@ -62,64 +62,131 @@ def full(n: int, x: Column | str, agg, w=None) -> Column:
     return F.when(F.count(x).over(frame) == n, agg(x).over(frame))
 
 
-def candle_geometry(df: DataFrame) -> DataFrame:
-    """Body, range and wick shares of each bar."""
+# Each feature group is a list of layers. A layer is a dict of columns that may use the layers
+# before it, so groups can be merged layer by layer: all windows of a layer share one sort and
+# one window operator. Names that start with "__" are dropped at the end.
+Layers = list[dict[str, Column]]
+
+
+def with_layers(df: DataFrame, *groups: Layers) -> DataFrame:
+    for depth in range(max(len(g) for g in groups)):
+        merged: dict[str, Column] = {}
+        for g in groups:
+            if depth < len(g):
+                merged |= g[depth]
+        if merged:
+            df = df.withColumns(merged)
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
+
+
+def candle_layers() -> Layers:
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    return df.withColumns(
+    return [
         {
             "body_pct": div(c - o, o),
             "range_pct": div(h - l, c),
             "upper_wick_ratio": div(h - F.greatest(o, c), h - l),
             "lower_wick_ratio": div(F.least(o, c) - l, h - l),
         }
-    )
+    ]
 
 
-def session_vwap(df: DataFrame) -> DataFrame:
-    """Running volume-weighted price of the session and the close's distance from it."""
+def vwap_layers() -> Layers:
     h, l, c, v = (F.col(x) for x in ("high", "low", "close", "volume"))
     value = F.when(F.col("turnover") > 0, F.col("turnover")).otherwise((h + l + c) / 3 * v)
-    vwap = div(F.sum(value).over(running()), F.sum(v).over(running()))
-    return df.withColumn("vwap", vwap).withColumn("vwap_dev", pct_diff("close", "vwap"))
+    return [{"vwap": div(F.sum(value).over(running()), F.sum(v).over(running()))}, {"vwap_dev": pct_diff("close", "vwap")}]
 
 
-def bar_returns(df: DataFrame, lags=(1, 2, 3, 5, 10)) -> DataFrame:
+def return_layers(lags=(1, 2, 3, 5, 10)) -> Layers:
     w = session_window()
-    return df.withColumns({f"ret_{k}bar": pct_diff(F.col("close"), F.lag("close", k).over(w)) for k in lags})
+    return [{f"ret_{k}bar": pct_diff(F.col("close"), F.lag("close", k).over(w)) for k in lags}]
 
 
-def moving_averages(df: DataFrame, periods=(5, 10, 20, 50)) -> DataFrame:
-    df = df.withColumns({f"sma{n}": full(n, "close", F.avg) for n in periods})
-    return df.withColumns({f"close_sma{n}_pct": pct_diff("close", f"sma{n}") for n in periods})
+def sma_layers(periods=(5, 10, 20, 50)) -> Layers:
+    return [
+        {f"sma{n}": full(n, "close", F.avg) for n in periods},
+        {f"close_sma{n}_pct": pct_diff("close", f"sma{n}") for n in periods},
+    ]
 
 
-def exponential_averages(df: DataFrame) -> DataFrame:
-    """EMA 5/9/21/50, their spreads and three-bar slopes."""
+def ema_layers() -> Layers:
     pos, run, w = F.col("bar_index"), running(), session_window()
-    df = df.withColumns({f"ema{n}": ewm_dense(F.col("close"), 2 / (n + 1), run, pos) for n in (5, 9, 21, 50)})
-    return df.withColumns(
+    return [
+        {f"ema{n}": ewm_dense(F.col("close"), 2 / (n + 1), run, pos) for n in (5, 9, 21, 50)},
         {
             "ema9_ema21_spread_pct": pct_diff("ema9", "ema21"),
             "ema21_ema50_spread_pct": pct_diff("ema21", "ema50"),
             "ema9_slope_3bar": pct_diff(F.col("ema9"), F.lag("ema9", 3).over(w)),
             "ema21_slope_3bar": pct_diff(F.col("ema21"), F.lag("ema21", 3).over(w)),
-        }
-    )
+        },
+    ]
 
 
-def wilder_rsi(df: DataFrame, periods=(6, 14)) -> DataFrame:
+def rsi_layers(periods=(6, 14)) -> Layers:
     pos, run, w = F.col("bar_index"), running(), session_window()
-    delta = F.col("close") - F.lag("close").over(w)
-    df = df.withColumns({"__gain": F.greatest(delta, F.lit(0.0)) + delta * 0, "__loss": F.greatest(-delta, F.lit(0.0)) + delta * 0})
-    df = df.withColumns(
+    smooth = {
+        f"__{side}{n}": ewm_dense(F.greatest(F.col("__delta") * sign, F.lit(0.0)), 1 / n, run, pos, start=1)
+        for n in periods
+        for side, sign in (("gain", 1.0), ("loss", -1.0))
+    }
+    return [
+        {"__delta": F.col("close") - F.lag("close").over(w)},
+        smooth,
+        {f"rsi{n}": rsi_from(F.col(f"__gain{n}"), F.col(f"__loss{n}")) for n in periods},
+    ]
+
+
+def kdj_layers() -> Layers:
+    """Unseeded KDJ(9): a flat range has no RSV, and the smoother bridges the gap.
+
+    K keeps the decay of old weight over missing rows (see :func:`ewm_columns`); K itself has no
+    gaps after its first value, so D is the plain smoother started there.
+    """
+    alpha = 1 / 3
+    w, run, i = session_window(), running(), F.col("bar_index")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rsv, prev = F.col("__rsv"), F.col("__prev")
+    old = F.pow(F.lit(1 - alpha), (i - prev).cast("double"))
+    share = F.when(prev.isNull(), 1.0).otherwise(1.0 - F.col("__keep"))
+    step = (i - F.col("__first")).cast("double")
+    weight = F.when(step == 0, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), -step)
+    return [
+        {"__lo9": full(9, "low", F.min), "__hi9": full(9, "high", F.max)},
+        {"__rsv": div(F.col("close") - F.col("__lo9"), F.col("__hi9") - F.col("__lo9")) * 100},
         {
-            f"__{side}{n}": ewm_dense(F.col(f"__{side}"), 1 / n, run, pos, start=1)
-            for n in periods
-            for side in ("gain", "loss")
-        }
-    )
-    df = df.withColumns({f"rsi{n}": rsi_from(F.col(f"__gain{n}"), F.col(f"__loss{n}")) for n in periods})
-    return df.drop("__gain", "__loss", *[f"__{s}{n}" for n in periods for s in ("gain", "loss")])
+            "__prev": F.last(F.when(rsv.isNotNull(), i), True).over(before),
+            "__first": F.min(F.when(rsv.isNotNull(), i)).over(run),
+        },
+        {"__keep": F.when(rsv.isNotNull(), F.when(prev.isNull(), 1.0).otherwise(old / (old + alpha)))},
+        {"__log": F.sum(F.log("__keep")).over(run)},
+        {"kdj_k": F.exp("__log") * F.sum(share * rsv * F.exp(-F.col("__log"))).over(run)},
+        {"kdj_d": F.pow(F.lit(1 - alpha), step) * F.sum(F.col("kdj_k") * weight).over(run)},
+        {"kdj_j": 3 * F.col("kdj_k") - 2 * F.col("kdj_d")},
+    ]
+
+
+def macd_layers() -> Layers:
+    pos, run, w = F.col("bar_index"), running(), session_window()
+    fast, slow = (ewm_dense(F.col("close"), 2 / (n + 1), run, pos) for n in (12, 26))
+    return [
+        {"macd_dif": fast - slow},
+        {"macd_dea": ewm_dense(F.col("macd_dif"), 2 / 10, run, pos)},
+        {"macd_hist": F.col("macd_dif") - F.col("macd_dea")},
+        {f"macd_hist_delta_{k}": F.col("macd_hist") - F.lag("macd_hist", k).over(w) for k in (1, 3)},
+    ]
+
+
+def bollinger_layers() -> Layers:
+    mid, sd = F.col("bb_mid20"), F.col("__bbsd")
+    return [
+        {"bb_mid20": full(20, "close", F.avg), "__bbsd": full(20, "close", F.stddev_samp)},
+        {
+            "bb_upper20": mid + 2 * sd,
+            "bb_lower20": mid - 2 * sd,
+            "bb_z": div(F.col("close") - mid, sd),
+            "bb_percent_b": div(F.col("close") - (mid - 2 * sd), (mid + 2 * sd) - (mid - 2 * sd)),
+        },
+    ]
 
 
 def simple_rsi(df: DataFrame, period: int, keys, order: str, out: str = "rsi", price: str = "close") -> DataFrame:
@@ -133,16 +200,6 @@ def simple_rsi(df: DataFrame, period: int, keys, order: str, out: str = "rsi", p
     return df.withColumn(out, value).drop("__d")
 
 
-def kdj(df: DataFrame) -> DataFrame:
-    """Unseeded KDJ(9): a flat range has no RSV, and smoothing bridges the gap."""
-    low9, high9 = full(9, "low", F.min), full(9, "high", F.max)
-    df = df.withColumns({"__lo": low9, "__hi": high9})
-    df = df.withColumn("__rsv", div(F.col("close") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * 100)
-    df = ewm_columns(df, {"kdj_k": ("__rsv", 1 / 3)}, SESSION, "bar_index", in_blocks=False)
-    df = ewm_columns(df, {"kdj_d": ("kdj_k", 1 / 3)}, SESSION, "bar_index", in_blocks=False)
-    return df.withColumn("kdj_j", 3 * F.col("kdj_k") - 2 * F.col("kdj_d")).drop("__lo", "__hi", "__rsv")
-
-
 def seeded_kdj(df: DataFrame, keys, order: str, period: int = 9, in_blocks: bool = True) -> DataFrame:
     """KDJ with K = D = 50 before the first full window; RSV is 50 on a flat range."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -156,82 +213,133 @@ def seeded_kdj(df: DataFrame, keys, order: str, period: int = 9, in_blocks: bool
     return df.withColumn("kdj_j", 3 * F.col("kdj_k") - 2 * F.col("kdj_d")).drop("__lo", "__hi", "__rsv", "__n")
 
 
-def macd(df: DataFrame) -> DataFrame:
-    pos, run, w = F.col("bar_index"), running(), session_window()
-    fast, slow = (ewm_dense(F.col("close"), 2 / (n + 1), run, pos) for n in (12, 26))
-    df = df.withColumn("macd_dif", fast - slow)
-    df = df.withColumn("macd_dea", ewm_dense(F.col("macd_dif"), 2 / 10, run, pos))
-    df = df.withColumn("macd_hist", F.col("macd_dif") - F.col("macd_dea"))
-    return df.withColumns({f"macd_hist_delta_{k}": F.col("macd_hist") - F.lag("macd_hist", k).over(w) for k in (1, 3)})
-
-
-def bollinger(df: DataFrame) -> DataFrame:
-    df = df.withColumns({"bb_mid20": full(20, "close", F.avg), "__sd": full(20, "close", F.stddev_samp)})
-    df = df.withColumns({"bb_upper20": F.col("bb_mid20") + 2 * F.col("__sd"), "bb_lower20": F.col("bb_mid20") - 2 * F.col("__sd")})
-    return df.withColumns(
-        {
-            "bb_z": div(F.col("close") - F.col("bb_mid20"), "__sd"),
-            "bb_percent_b": div(F.col("close") - F.col("bb_lower20"), F.col("bb_upper20") - F.col("bb_lower20")),
-        }
-    ).drop("__sd")
-
-
 def true_range(w) -> Column:
     prev = F.lag("close").over(w)
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
-def average_true_range(df: DataFrame) -> DataFrame:
-    df = df.withColumn("true_range", true_range(session_window()))
-    df = df.withColumn("atr14", full(14, "true_range", F.avg))
-    return df.withColumn("atr14_pct", div("atr14", "close"))
+def atr_layers() -> Layers:
+    return [
+        {"true_range": true_range(session_window())},
+        {"atr14": full(14, "true_range", F.avg)},
+        {"atr14_pct": div("atr14", "close")},
+    ]
 
 
-def volume_and_volatility(df: DataFrame) -> DataFrame:
-    """Realised volatility, volume ratio and z-score, on-balance volume and range position."""
+def volume_layers() -> Layers:
+    """Realised volatility, volume ratio and z-score, on-balance volume and range position; uses ``ret_1bar``."""
     w = session_window()
     step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(w)), F.lit(0.0))
-    df = df.withColumns(
+    return [
         {
-            "realized_vol_10": full(10, "ret_1bar", F.stddev_samp),
-            "realized_vol_20": full(20, "ret_1bar", F.stddev_samp),
             "volume_avg20": full(20, "volume", F.avg),
             "__vsd": full(20, "volume", F.stddev_samp),
             "__signed": step * F.col("volume"),
-            "__lo": full(10, "low", F.min),
-            "__hi": full(10, "high", F.max),
-        }
-    )
-    df = df.withColumns(
+            "__lo10": full(10, "low", F.min),
+            "__hi10": full(10, "high", F.max),
+        },
         {
+            "realized_vol_10": full(10, "ret_1bar", F.stddev_samp),
+            "realized_vol_20": full(20, "ret_1bar", F.stddev_samp),
             "volume_ratio_20": div("volume", "volume_avg20"),
             "volume_z_20": div(F.col("volume") - F.col("volume_avg20"), "__vsd"),
             "obv": F.sum("__signed").over(running()),
-            "range_pos_10": div(F.col("close") - F.col("__lo"), F.col("__hi") - F.col("__lo")),
-        }
-    )
-    df = df.withColumn("obv_slope_5", div(F.col("obv") - F.lag("obv", 5).over(w), "volume_avg20"))
-    return df.drop("__vsd", "__signed", "__lo", "__hi")
+            "range_pos_10": div(F.col("close") - F.col("__lo10"), F.col("__hi10") - F.col("__lo10")),
+        },
+        {"obv_slope_5": div(F.col("obv") - F.lag("obv", 5).over(w), "volume_avg20")},
+    ]
 
 
-def opening_range(df: DataFrame, bars: int = 5) -> DataFrame:
+def opening_layers(bars: int = 5) -> Layers:
     """High and low of the first bars, written on every bar of the session, with distances."""
     day = Window.partitionBy(*SESSION)
     first = F.col("bar_index") < bars
-    df = df.withColumns(
-        {"or15_high": F.max(F.when(first, F.col("high"))).over(day), "or15_low": F.min(F.when(first, F.col("low"))).over(day)}
-    )
-    return df.withColumns({"dist_or_high": pct_diff("close", "or15_high"), "dist_or_low": pct_diff("close", "or15_low")})
+    return [
+        {"or15_high": F.max(F.when(first, F.col("high"))).over(day), "or15_low": F.min(F.when(first, F.col("low"))).over(day)},
+        {"dist_or_high": pct_diff("close", "or15_high"), "dist_or_low": pct_diff("close", "or15_low")},
+    ]
+
+
+def extreme_layers() -> Layers:
+    return [
+        {"day_high_so_far": F.max("high").over(running()), "day_low_so_far": F.min("low").over(running())},
+        {"dist_day_high": pct_diff("close", "day_high_so_far"), "dist_day_low": pct_diff("close", "day_low_so_far")},
+    ]
+
+
+def clock_layers(session_length: int = 390) -> Layers:
+    angle = F.lit(2 * math.pi / session_length) * F.col("session_minute")
+    return [{"time_sin": F.sin(angle), "time_cos": F.cos(angle)}]
+
+
+def candle_geometry(df: DataFrame) -> DataFrame:
+    """Body, range and wick shares of each bar."""
+    return with_layers(df, candle_layers())
+
+
+def session_vwap(df: DataFrame) -> DataFrame:
+    """Running volume-weighted price of the session and the close's distance from it."""
+    return with_layers(df, vwap_layers())
+
+
+def bar_returns(df: DataFrame) -> DataFrame:
+    """Returns over 1, 2, 3, 5 and 10 bars."""
+    return with_layers(df, return_layers())
+
+
+def moving_averages(df: DataFrame) -> DataFrame:
+    """SMA 5/10/20/50 and the close's distance from them."""
+    return with_layers(df, sma_layers())
+
+
+def exponential_averages(df: DataFrame) -> DataFrame:
+    """EMA 5/9/21/50, their spreads and three-bar slopes."""
+    return with_layers(df, ema_layers())
+
+
+def wilder_rsi(df: DataFrame) -> DataFrame:
+    """RSI 6 and 14 from smoothed gains and losses."""
+    return with_layers(df, rsi_layers())
+
+
+def kdj(df: DataFrame) -> DataFrame:
+    """Unseeded K, D and J."""
+    return with_layers(df, kdj_layers())
+
+
+def macd(df: DataFrame) -> DataFrame:
+    """MACD 12/26/9 with one- and three-bar changes of the histogram."""
+    return with_layers(df, macd_layers())
+
+
+def bollinger(df: DataFrame) -> DataFrame:
+    """Bollinger bands (20, 2) with z-score and percent-b."""
+    return with_layers(df, bollinger_layers())
+
+
+def average_true_range(df: DataFrame) -> DataFrame:
+    """True range, ATR 14 and its share of the close."""
+    return with_layers(df, atr_layers())
+
+
+def volume_and_volatility(df: DataFrame) -> DataFrame:
+    """See :func:`volume_layers`."""
+    return with_layers(df, volume_layers())
+
+
+def opening_range(df: DataFrame) -> DataFrame:
+    """See :func:`opening_layers`."""
+    return with_layers(df, opening_layers())
 
 
 def session_extremes(df: DataFrame) -> DataFrame:
-    df = df.withColumns({"day_high_so_far": F.max("high").over(running()), "day_low_so_far": F.min("low").over(running())})
-    return df.withColumns({"dist_day_high": pct_diff("close", "day_high_so_far"), "dist_day_low": pct_diff("close", "day_low_so_far")})
+    """High and low of the session so far, and the distances from them."""
+    return with_layers(df, extreme_layers())
 
 
 def time_of_day(df: DataFrame, session_length: int = 390) -> DataFrame:
-    angle = F.lit(2 * math.pi / session_length) * F.col("session_minute")
-    return df.withColumns({"time_sin": F.sin(angle), "time_cos": F.cos(angle)})
+    """Sine and cosine of the minute of the session."""
+    return with_layers(df, clock_layers(session_length))
 
 
 def session_summary(bars: DataFrame) -> DataFrame:
@@ -278,25 +386,12 @@ def add_cross_session(bars: DataFrame) -> DataFrame:
 
 
 def feature_matrix(bars: DataFrame, session_length: int = 390) -> DataFrame:
-    """All features of a resampled bar table."""
-    df = add_cross_session(bars)
-    for step in (
-        candle_geometry,
-        session_vwap,
-        bar_returns,
-        moving_averages,
-        exponential_averages,
-        wilder_rsi,
-        kdj,
-        macd,
-        bollinger,
-        average_true_range,
-        volume_and_volatility,
-        opening_range,
-        session_extremes,
-    ):
-        df = step(df)
-    return time_of_day(df, session_length)
+    """All features of a resampled bar table in as many window passes as the deepest group has layers."""
+    groups = [
+        candle_layers(), vwap_layers(), return_layers(), sma_layers(), ema_layers(), rsi_layers(), kdj_layers(), macd_layers(),
+        bollinger_layers(), atr_layers(), volume_layers(), opening_layers(), extreme_layers(), clock_layers(session_length),
+    ]
+    return with_layers(add_cross_session(bars), *groups)
 
 
 # --- latest-bar panel -----------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.functions.numeric import let
 from tidemark.operators.merge import latest_per_key
 
 
@@ -60,10 +61,13 @@ def match_awards(awards: DataFrame, companies: DataFrame, least: float = 0.45) -
     token score; a company without usable tokens keeps all its awards.
     """
     names = companies.select("ticker", S.company_tokens("name").alias("__own"))
-    joined = awards.join(names, "ticker").withColumn("__score", S.match_score(F.col("__own"), S.company_tokens("recipient_name")))
+    # recipients repeat, so their tokens are made once per distinct name
+    recipients = awards.select("recipient_name").distinct().withColumn("__tokens", S.company_tokens("recipient_name"))
+    joined = awards.join(names, "ticker").join(recipients, "recipient_name", "left")
+    joined = joined.withColumn("__score", S.match_score(F.col("__own"), F.coalesce("__tokens", F.array().cast("array<string>"))))
     nameless = F.size("__own") == 0
     kept = joined.filter(nameless | (F.col("__score") >= least))
-    return kept.withColumn("recipient_match_score", F.when(~nameless, F.round("__score", 3))).drop("__own", "__score")
+    return kept.withColumn("recipient_match_score", F.when(~nameless, F.round("__score", 3))).drop("__own", "__tokens", "__score")
 
 
 def issuer_matches(issuers: DataFrame, companies: DataFrame) -> DataFrame:
@@ -96,14 +100,17 @@ def keyword_matches(events: DataFrame, text: Column, keywords: dict[str, list[st
     no join and nothing broadcast.
     """
     table = F.array(*[F.struct(F.lit(s).alias("symbol"), S.literal_array(ks).alias("keywords")) for s, ks in sorted(keywords.items())])
-    low = F.lower(text)
-    hits = F.transform(
-        table,
-        lambda e: F.struct(
-            e["symbol"].alias("symbol"), F.filter(e["keywords"], lambda k: F.contains(low, F.lower(k))).alias("matched_keywords")
-        ),
-    )
-    found = events.select("*", F.explode(F.filter(hits, lambda h: F.size(h["matched_keywords"]) > 0)).alias("__hit"))
+
+    def hits(low: Column) -> Column:
+        per_symbol = F.transform(
+            table,
+            lambda e: F.struct(
+                e["symbol"].alias("symbol"), F.filter(e["keywords"], lambda k: F.contains(low, F.lower(k))).alias("matched_keywords")
+            ),
+        )
+        return F.filter(per_symbol, lambda h: F.size(h["matched_keywords"]) > 0)
+
+    found = events.select("*", F.explode(let(F.lower(text), hits)).alias("__hit"))
     return found.select(*events.columns, "__hit.symbol", "__hit.matched_keywords")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.functions.numeric import col
+from tidemark.functions.numeric import col, let
 from tidemark.functions.textscan import around, match_spans, squeeze, term_pattern
 
 # Terms scanned in filings.
@@ -84,7 +84,7 @@ def snippets(text: Column | str, terms: Sequence[str] = ORDER_TERMS, radius: int
         near = F.exists(acc, lambda k: F.abs(k["a"] - s["a"]) < spacing)
         return F.when((F.size(acc) < max_snippets) & ~near, F.concat(acc, F.array(s))).otherwise(acc)
 
-    kept = F.aggregate(starts, F.slice(starts, 1, 0), step)
+    kept = F.aggregate(starts, F.array().cast("array<struct<a:int,s:int,e:int>>"), step)
     return F.transform(kept, lambda s: around(t, s["s"], s["e"], radius))
 
 
@@ -127,8 +127,10 @@ def ownership_percents(text: Column | str, radius: int = 120) -> Column:
 
     def kept(s: Column) -> Column:
         v = s["first"].try_cast("double")
-        near = F.lower(F.substring(t, F.greatest(F.lit(0), s["start"] - radius) + 1, s["end"] + radius - F.greatest(F.lit(0), s["start"] - radius)))
-        return (v > 0) & (v <= 100) & F.exists(S.literal_array(PERCENT_CONTEXT), lambda w: F.contains(near, w))
+        start = F.greatest(F.lit(0), s["start"] - radius)
+        around_it = F.lower(F.substring(t, start + 1, s["end"] + radius - start))
+        owned = let(around_it, lambda near: F.exists(S.literal_array(PERCENT_CONTEXT), lambda w: F.contains(near, w)))
+        return (v > 0) & (v <= 100) & owned
 
     found = F.transform(F.filter(match_spans(t, [PERCENT]), kept), lambda s: s["first"].try_cast("double") / 100)
     return F.sort_array(F.array_distinct(found), False)
@@ -136,55 +138,65 @@ def ownership_percents(text: Column | str, radius: int = 120) -> Column:
 
 def ownership_section(text: Column | str, span: int = 18_000, least: int = 1_200) -> Column:
     """From the earliest anchor, cut at the first end marker that comes after ``least`` characters; blank without anchor."""
-    t = col(text)
-    low = F.lower(t)
-    start = F.least(*[F.nullif(F.locate(a, low), F.lit(0)) for a in SECTION_ANCHORS])
-    section = F.substring(t, start, F.lit(span))
-    low_section = F.lower(section)
-    ends = [F.when(F.locate(m, low_section) > least + 1, F.locate(m, low_section)) for m in SECTION_ENDS]
-    end = F.least(*ends)
-    return F.coalesce(F.when(end.isNotNull(), F.substring(section, F.lit(1), end - 1)).otherwise(section), F.lit(""))
+
+    def cut(section: Column, low: Column) -> Column:
+        ends = [let(F.locate(m, low), lambda at: F.when(at > least + 1, at)) for m in SECTION_ENDS]
+        return let(F.least(*ends), lambda end: F.when(end.isNotNull(), F.substring(section, F.lit(1), end - 1)).otherwise(section))
+
+    def first_anchor(low: Column) -> Column:
+        return F.least(*[F.nullif(F.locate(a, low), F.lit(0)) for a in SECTION_ANCHORS])
+
+    def section_from(t: Column) -> Column:
+        section = F.substring(t, let(F.lower(t), first_anchor), F.lit(span))
+        return let(section, lambda s: let(F.lower(s), lambda low: cut(s, low)))
+
+    return F.coalesce(let(col(text), section_from), F.lit(""))
 
 
 def ownership_rows(section: Column | str, limit: int = 25) -> Column:
     """Ownership sentences of a section with their largest percentage, at most ``limit``."""
     sentences = F.split(col(section), r"(?<=[.%])\s+")
 
-    def named(s: Column, words: Sequence[str]) -> Column:
-        return F.exists(S.literal_array(words), lambda w: F.contains(F.lower(s), w))
+    def named(low: Column, words: Sequence[str]) -> Column:
+        return F.exists(S.literal_array(words), lambda w: F.contains(low, w))
 
     def row(s: Column) -> Column:
         values = F.transform(F.regexp_extract_all(s, F.lit(PERCENT), F.lit(1)), lambda v: v.try_cast("double") / 100)
         return F.struct(F.trim(s).alias("text"), F.array_max(values).alias("percent"))
 
-    rows = F.transform(F.filter(sentences, lambda s: named(s, OWNERSHIP_WORDS) & ~named(s, OTHER_WORDS)), row)
+    rows = F.transform(F.filter(sentences, lambda s: let(F.lower(s), lambda low: named(low, OWNERSHIP_WORDS) & ~named(low, OTHER_WORDS))), row)
     good = F.filter(rows, lambda r: (r["percent"] > 0) & (r["percent"] <= 1) & F.length(r["text"]).between(15, 600))
     return F.transform(F.slice(good, 1, limit), lambda r: F.struct(F.substring(r["text"], 1, 220).alias("name_or_context"), r["percent"].alias("percent")))
 
 
 def group_percent(section: Column | str) -> Column:
     """Largest percentage held by directors and officers as a group."""
-    found = F.concat(*[F.regexp_extract_all(col(section), F.lit(p), F.lit(1)) for p in GROUP_PATTERNS])
-    values = F.filter(F.transform(found, lambda v: v.try_cast("double")), lambda v: (v > 0) & (v <= 100))
-    return F.array_max(values) / 100
+
+    def largest(s: Column) -> Column:
+        found = F.concat(*[F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in GROUP_PATTERNS])
+        values = F.filter(F.transform(found, lambda v: v.try_cast("double")), lambda v: (v > 0) & (v <= 100))
+        return F.array_max(values) / 100
+
+    return let(col(section), largest)
 
 
 def highlights(text: Column | str, terms: Sequence[str] = PAGE_TERMS, radius: int = 180, max_snippets: int = 10) -> Column:
     """First passage of each term in term order; repeated passages count once."""
-    t = squeeze(text)
-    low = F.lower(t)
+    none = F.array().cast("array<struct<term:string,at:int,snippet:string>>")
 
-    def entry(term: Column) -> Column:
-        at = F.instr(low, F.lower(term))
+    def entry(t: Column, term: Column, at: Column) -> Column:
         a = F.greatest(F.lit(1), at - radius)
         snip = F.substring(t, a, at + F.length(term) + radius - a)
         return F.struct(term.alias("term"), at.alias("at"), F.btrim(snip, F.lit(" .")).alias("snippet"))
 
-    found = F.filter(F.transform(S.literal_array(terms), entry), lambda h: h["at"] > 0)
+    def search(t: Column, low: Column) -> Column:
+        return F.transform(S.literal_array(terms), lambda term: let(F.instr(low, F.lower(term)), lambda at: F.when(at > 0, entry(t, term, at))))
+
+    found = F.filter(let(squeeze(text), lambda t: let(F.lower(t), lambda low: search(t, low))), lambda h: h.isNotNull())
 
     def step(acc: Column, h: Column) -> Column:
         seen = F.exists(acc, lambda k: F.lower(k["snippet"]) == F.lower(h["snippet"]))
         return F.when((F.size(acc) < max_snippets) & ~seen, F.concat(acc, F.array(h))).otherwise(acc)
 
-    kept = F.aggregate(found, F.slice(found, 1, 0), step)
+    kept = F.aggregate(found, none, step)
     return F.transform(kept, lambda h: F.struct(h["term"].alias("term"), h["snippet"].alias("snippet")))
