@@ -128,16 +128,17 @@ def _(spark, d):
 
 
 def submissions(spark, d):
-    """Orders of a customer as its filing list, newest first (parallel arrays in one document)."""
+    """Orders of a customer as its filing list, newest first: parallel arrays in pages of one key range each."""
     o = table(spark, d, "orders")
     form = F.when(F.col("o_orderpriority") == "1-URGENT", "10-Q").when(F.col("o_orderpriority") == "2-HIGH", "SCHEDULE 13G/A").otherwise("8-K")
     row = F.struct((-F.col("o_orderkey")).alias("k"), form.alias("form"), F.concat(F.lit("acc"), F.col("o_orderkey").cast("string")).alias("a"), F.to_date("o_orderdate").cast("string").alias("dt"))
-    per = o.groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("cik")).agg(F.array_sort(F.collect_list(row)).alias("l"))
+    page = -F.floor(F.col("o_orderkey") / 4096)
+    per = o.groupBy(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("cik"), page.alias("page")).agg(F.array_sort(F.collect_list(row)).alias("l"))
     recent = F.struct(
         F.transform("l", lambda x: x["form"]).alias("form"), F.transform("l", lambda x: x["a"]).alias("accessionNumber"), F.transform("l", lambda x: x["dt"]).alias("filingDate"),
         F.transform("l", lambda x: F.concat(x["a"], F.lit(".htm"))).alias("primaryDocument"),
     )
-    return per.select("cik", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("submissions_json"))
+    return per.select("cik", "page", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("submissions_json"))
 
 
 @query(
@@ -146,7 +147,7 @@ def submissions(spark, d):
     k AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY o_orderkey DESC) AS n FROM f WHERE form <> '8-K') SELECT cik, form, 'acc' || o_orderkey AS accession FROM k WHERE n <= 2""",
 )
 def _(spark, d):
-    return FI.latest_filings(submissions(spark, d), ("10-Q", "SC 13G/A"), 2).select("cik", "form", "accession")
+    return FI.latest_filings(submissions(spark, d), ("10-Q", "SC 13G/A"), 2, page="page").select("cik", "form", "accession")
 
 
 @query(
@@ -162,27 +163,30 @@ def _(spark, d):
 
 
 def form4_documents(spark, d):
-    """Order lines as ownership documents: one per order, a handful of transactions each."""
+    """One ownership document per order line with two transactions: the line, and its tax as a small purchase."""
     li = table(spark, d, "lineitem")
-    side = F.when(F.col("l_returnflag") == "R", "D").otherwise("A")
-    txn = F.concat(
-        F.lit("<nonDerivativeTransaction><transactionDate><value>"), F.to_date("l_shipdate").cast("string"), F.lit("</value></transactionDate><transactionCoding><transactionCode>"), "l_linestatus",
-        F.lit("</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>"), F.col("l_quantity").cast("string"), F.lit("</value></transactionShares><transactionPricePerShare><value>"),
-        F.col("l_extendedprice").cast("string"), F.lit("</value></transactionPricePerShare><transactionAcquiredDisposedCode><value>"), side,
-        F.lit("</value></transactionAcquiredDisposedCode></transactionAmounts></nonDerivativeTransaction>"),
-    )
-    docs = li.groupBy("l_orderkey").agg(F.concat_ws("", F.collect_list(txn)).alias("x"))
-    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"), "o_orderstatus")
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"))
+
+    def txn(shares, price, side):
+        parts = [
+            "<nonDerivativeTransaction><transactionDate><value>", F.to_date("l_shipdate").cast("string"), "</value></transactionDate><transactionCoding><transactionCode>", F.col("l_linestatus"),
+            "</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>", shares.cast("string"), "</value></transactionShares><transactionPricePerShare><value>", price.cast("string"),
+            "</value></transactionPricePerShare><transactionAcquiredDisposedCode><value>", side, "</value></transactionAcquiredDisposedCode></transactionAmounts></nonDerivativeTransaction>",
+        ]
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    side = F.when(F.col("l_returnflag") == "R", F.lit("D")).otherwise(F.lit("A"))
     body = F.concat(
-        F.lit("<?xml version=\"1.0\"?><ownershipDocument><issuer><issuerTradingSymbol>"), "ticker", F.lit("</issuerTradingSymbol></issuer><reportingOwner><reportingOwnerId><rptOwnerName>Owner</rptOwnerName></reportingOwnerId></reportingOwner><nonDerivativeTable>"),
-        "x", F.lit("</nonDerivativeTable></ownershipDocument>"),
+        F.lit('<?xml version="1.0"?><ownershipDocument><issuer><issuerTradingSymbol>'), "ticker",
+        F.lit("</issuerTradingSymbol></issuer><reportingOwner><reportingOwnerId><rptOwnerName>Owner</rptOwnerName></reportingOwnerId></reportingOwner><nonDerivativeTable>"),
+        txn(F.col("l_quantity"), F.col("l_extendedprice"), side), txn(F.lit(1), F.col("l_tax"), F.lit("A")), F.lit("</nonDerivativeTable></ownershipDocument>"),
     )
-    return docs.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("filing_no"), "ticker", body.alias("xml"))
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("filing_no"), "ticker", body.alias("xml"))
 
 
 @query(
     "a11_form4_rows",
-    f"""SELECT o_orderkey AS filing_no, 'C' || o_custkey AS issuer, count(*) AS transactions, {r('sum(l_quantity * l_extendedprice)', 'value', 2)}, {r("coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0)", 'disposed_shares', 2)}
+    f"""SELECT o_orderkey AS filing_no, 'C' || o_custkey AS issuer, 2 * count(*) AS transactions, {r('sum(l_quantity * l_extendedprice + l_tax)', 'value', 2)}, {r("coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0)", 'disposed_shares', 2)}
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
 )
 def _(spark, d):
@@ -195,9 +199,9 @@ def _(spark, d):
 
 @query(
     "g05_form4_rollup",
-    f"""SELECT 'C' || o_custkey AS ticker, count(*) AS transaction_count, count(*) FILTER (l_returnflag <> 'R') AS purchase_count, count(*) FILTER (l_returnflag = 'R') AS sale_count,
-    {r("coalesce(sum(l_quantity * l_extendedprice) FILTER (l_returnflag <> 'R'), 0) - coalesce(sum(l_quantity * l_extendedprice) FILTER (l_returnflag = 'R'), 0)", 'net_purchase_value', 2)},
-    CAST(least(25, count(*)) AS BIGINT) AS listed FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
+    f"""SELECT 'C' || o_custkey AS ticker, 2 * count(*) AS transaction_count, count(*) + count(*) FILTER (l_returnflag <> 'R') AS purchase_count, count(*) FILTER (l_returnflag = 'R') AS sale_count,
+    {r("sum(l_tax) + coalesce(sum(l_quantity * l_extendedprice) FILTER (l_returnflag <> 'R'), 0) - coalesce(sum(l_quantity * l_extendedprice) FILTER (l_returnflag = 'R'), 0)", 'net_purchase_value', 2)},
+    CAST(least(25, 2 * count(*)) AS BIGINT) AS listed FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
 )
 def _(spark, d):
     out = FA.form4_rollup(FI.form4_transactions(form4_documents(spark, d)))
@@ -207,15 +211,14 @@ def _(spark, d):
 
 
 def holdings_documents(spark, d):
-    """Parts of a brand as one manager's information table (namespaced XML)."""
+    """Each part as a one-row information table of its brand's manager (namespaced XML)."""
     p = table(spark, d, "part")
     row = F.concat(
         F.lit("<ns1:infoTable><ns1:nameOfIssuer>"), "p_name", F.lit(" "), "p_type", F.lit(" Corp</ns1:nameOfIssuer><ns1:cusip>"), F.col("p_partkey").cast("string"), F.lit("</ns1:cusip><ns1:value>"),
         F.col("p_retailprice").cast("string"), F.lit("</ns1:value><ns1:shrsOrPrnAmt><ns1:sshPrnamt>"), F.col("p_size").cast("string"),
         F.lit("</ns1:sshPrnamt><ns1:sshPrnamtType>SH</ns1:sshPrnamtType></ns1:shrsOrPrnAmt></ns1:infoTable>"),
     )
-    # one document per brand and name keeps every document small
-    docs = p.groupBy(F.col("p_brand").alias("manager"), "p_name").agg(F.concat_ws("", F.collect_list(row)).alias("x"))
+    docs = p.select(F.col("p_brand").alias("manager"), row.alias("x"))
     no = F.regexp_extract("manager", "[0-9]+", 0).cast("int")
     return docs.select("manager", no.alias("manager_no"), F.concat(F.lit('<ns1:informationTable xmlns:ns1="http://example.org/it">'), "x", F.lit("</ns1:informationTable>")).alias("xml"))
 
@@ -299,7 +302,7 @@ def _(spark, d):
 
 
 def insider_pages(spark, d):
-    """Order lines as the insider-trade table of a customer page."""
+    """Each order line as a one-trade insider page of its customer."""
     li = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     ticker = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
     code = F.when(F.col("l_returnflag") == "A", "P - Purchase").when(F.col("l_returnflag") == "R", "S - Sale").otherwise("A - Grant")
@@ -310,8 +313,8 @@ def insider_pages(spark, d):
         F.concat(sign, F.format_number("l_extendedprice", 2)),
     ]
     tr = F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td>"), c, F.lit("</td>"))], F.lit("</tr>"))
-    rows = li.select(ticker.alias("ticker"), F.col("l_orderkey").alias("page"), tr.alias("tr"))
-    return rows.groupBy("ticker", "page").agg(F.concat(F.lit("<table><tr><td>short</td></tr>"), F.concat_ws("", F.collect_list("tr")), F.lit("</table>")).alias("html"))
+    html = F.concat(F.lit("<table><tr><td>short</td></tr>"), tr, F.lit("</table>"))
+    return li.select(ticker.alias("ticker"), F.col("l_orderkey").alias("page"), html.alias("html"))
 
 
 INSIDER_SQL = """ins AS (SELECT 'C' || o_custkey AS ticker, l_orderkey AS page, l_extendedprice AS v, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'S' ELSE 'A' END AS code, l_linestatus = 'O' AS flag
@@ -348,8 +351,8 @@ def award_documents(spark, d):
         F.col("l_partkey").cast("string").alias("Award ID"), F.lit("Acme LLC").alias("Recipient Name"), F.to_date("l_shipdate").cast("string").alias("Start Date"),
         F.format_number("l_extendedprice", 2).alias("Award Amount"), agency.alias("Awarding Agency"), F.concat(F.lit("Office "), "l_linestatus").alias("Funding Agency"),
     )
-    docs = li.groupBy(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("ticker")).agg(F.collect_list(a).alias("results"))
-    return docs.select("ticker", F.to_json(F.struct("results")).alias("payload"))
+    doc = F.to_json(F.struct(F.array(a).alias("results")))
+    return li.select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("ticker"), doc.alias("payload"))
 
 
 @query("a15_award_rows", f"SELECT 'O' || l_orderkey AS ticker, CAST(l_partkey AS VARCHAR) AS award_id, CASE l_returnflag WHEN 'R' THEN 'Department of Defense' WHEN 'A' THEN 'NASA' ELSE '' END AS awarding_agency, {r('l_extendedprice', 'award_amount', 2)} FROM lineitem")
@@ -416,13 +419,13 @@ def _(spark, d):
 @query(
     "a18_classification",
     """WITH p AS (SELECT 'S' || l_suppkey AS ticker, l_orderkey * 10 + l_linenumber AS pos, 'pl' || l_partkey % 50 AS nm, CASE l_returnflag WHEN 'A' THEN 'CONCEPT' WHEN 'R' THEN 'REGION' ELSE 'OTHER' END AS ty FROM lineitem
-      WHERE l_quantity < 3 UNION ALL SELECT 'S' || s_suppkey, -1, 'nation ' || s_nationkey, 'INDUSTRY' FROM supplier WHERE s_acctbal > 0),
-    f AS (SELECT ticker, min(pos) AS pos FROM p GROUP BY ticker)
-    SELECT ticker, coalesce(arg_min(nm, pos) FILTER (ty = 'INDUSTRY'), '') AS industry, coalesce(arg_min(nm, pos) FILTER (ty = 'INDUSTRY'), arg_min(nm, pos) FILTER (ty = 'CONCEPT'), 'x') <> '' AS has_sector,
-    count(*) FILTER (ty = 'CONCEPT') AS concept_rows FROM p GROUP BY ticker""",
+      UNION ALL SELECT 'S' || s_suppkey, -1, 'nation ' || s_nationkey, 'INDUSTRY' FROM supplier WHERE s_acctbal > 0),
+    g AS (SELECT ticker, ty, nm, min(pos) AS pos FROM p GROUP BY ALL)
+    SELECT ticker, coalesce(arg_min(nm, pos) FILTER (ty = 'INDUSTRY'), '') AS industry, coalesce(arg_min(nm, pos) FILTER (ty = 'INDUSTRY'), arg_min(nm, (pos, nm)) FILTER (ty = 'CONCEPT'), arg_min(nm, (pos, nm)), '') AS sector,
+    coalesce(string_agg(nm, ',' ORDER BY pos, nm) FILTER (ty = 'CONCEPT'), '') AS concepts FROM g GROUP BY ticker""",
 )
 def _(spark, d):
-    li = table(spark, d, "lineitem").filter("l_quantity < 3")
+    li = table(spark, d, "lineitem")
     kind = F.when(F.col("l_returnflag") == "A", "concept").when(F.col("l_returnflag") == "R", "region").otherwise("other")
     a = li.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"),
@@ -431,10 +434,7 @@ def _(spark, d):
     s = table(spark, d, "supplier").filter("s_acctbal > 0").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), F.lit(-1).cast("bigint").alias("position"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("plate_name"), F.lit("Industry").alias("plate_type")
     )
-    both = a.unionByName(s)
-    rows = both.groupBy("ticker").agg(F.count_if(F.col("plate_type") == "concept").alias("concept_rows"))
-    out = FI.classify(both).join(rows, "ticker")
-    return out.select("ticker", "industry", (F.col("sector") != "").alias("has_sector"), "concept_rows")
+    return FI.classify(a.unionByName(s)).select("ticker", "industry", "sector", F.array_join("concepts", ",").alias("concepts"))
 
 
 @query(

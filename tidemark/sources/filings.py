@@ -45,17 +45,21 @@ SUBMISSIONS = (
 )
 
 
-def latest_filings(companies: DataFrame, forms: Sequence[str], limit: int, json: str = "submissions_json") -> DataFrame:
-    """First ``limit`` filings per company, in listed order, of the wanted forms."""
+def latest_filings(companies: DataFrame, forms: Sequence[str], limit: int, json: str = "submissions_json", page: str | None = None) -> DataFrame:
+    """First ``limit`` filings per company, in listed order, of the wanted forms.
+
+    A long list may come in several documents; ``page`` names the column that orders them.
+    """
     wanted = [f.strip().upper().replace("SCHEDULE 13", "SC 13") for f in forms]
-    doc = companies.select("cik", F.from_json(json, SUBMISSIONS).alias("d"))
+    order = F.lit(0) if page is None else F.col(page)
+    doc = companies.select("cik", order.alias("page"), F.from_json(json, SUBMISSIONS).alias("d"))
     recent = F.col("d.filings.recent")
     zipped = F.arrays_zip(
         recent["form"].alias("form"), recent["accessionNumber"].alias("accession"), recent["filingDate"].alias("filing_date"), recent["primaryDocument"].alias("document")
     )
-    rows = doc.select("cik", F.posexplode(zipped).alias("position", "f")).select("cik", "position", "f.form", "f.accession", "f.filing_date", "f.document")
+    rows = doc.select("cik", "page", F.posexplode(zipped).alias("position", "f")).select("cik", "page", "position", "f.form", "f.accession", "f.filing_date", "f.document")
     kept = rows.filter(S.normalise_form("form").isin(*wanted))
-    w = Window.partitionBy("cik").orderBy("position")
+    w = Window.partitionBy("cik").orderBy("page", "position")
     return kept.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).drop("place")
 
 
@@ -205,19 +209,23 @@ def snapshot_items(snapshots: DataFrame) -> DataFrame:
 
 
 def classify(plates: DataFrame) -> DataFrame:
-    """``ticker, position, plate_name, plate_type`` to industry, sector, concepts and regions."""
+    """``ticker, position, plate_name, plate_type`` to industry, sector, concepts and regions.
+
+    Repeats of a plate are folded first, so a ticker's lists are as long as its distinct plates.
+    """
     kind = F.upper(F.coalesce("plate_type", F.lit("")))
-    pos, name = F.col("position"), F.trim("plate_name")
+    unique = plates.groupBy("ticker", kind.alias("kind"), F.trim("plate_name").alias("name")).agg(F.min("position").alias("position"))
+    place = F.struct("position", "name")
 
-    def first(k: str | None) -> Column:
-        return F.min_by(name, pos if k is None else F.when(kind == k, pos))
+    def first(k: str) -> Column:
+        return F.min_by("name", F.when(F.col("kind") == k, place))
 
     def listed(k: str) -> Column:
-        pair = F.when((kind == k) & (name != ""), F.struct(pos.alias("p"), name.alias("n")))
-        return F.transform(F.array_sort(F.collect_set(pair)), lambda x: x["n"])
+        named = F.when((F.col("kind") == k) & (F.col("name") != ""), place)
+        return F.transform(F.array_sort(F.collect_list(named)), lambda x: x["name"])
 
-    out = plates.groupBy("ticker").agg(
-        F.coalesce(first("INDUSTRY"), F.lit("")).alias("industry"), first("CONCEPT").alias("__c"), first(None).alias("__any"), listed("CONCEPT").alias("concepts"), listed("REGION").alias("regions")
+    out = unique.groupBy("ticker").agg(
+        F.coalesce(first("INDUSTRY"), F.lit("")).alias("industry"), first("CONCEPT").alias("__c"), F.min_by("name", place).alias("__any"), listed("CONCEPT").alias("concepts"), listed("REGION").alias("regions")
     )
     sector = F.coalesce(F.nullif("industry", F.lit("")), F.col("__c"), F.col("__any"), F.lit(""))
     return out.withColumn("sector", sector).drop("__c", "__any")

@@ -98,7 +98,6 @@ TRADE = T.StructType(
 )
 POSITIONS = T.StructType(
     [
-        T.StructField("day", T.StringType()),
         T.StructField("long", T.DoubleType()),
         T.StructField("long_at", T.TimestampType()),
         T.StructField("short", T.DoubleType()),
@@ -130,27 +129,34 @@ def rotation_step(legs: dict, q, strategy: Strategy) -> list[dict]:
     return closed
 
 
-def live_rotation(points: DataFrame, strategy: Strategy) -> DataFrame:
-    """Closed trades of each pair as points arrive; open legs are the state and start fresh each day."""
+def live_rotation(points: DataFrame, strategy: Strategy, idle: str = "3 days") -> DataFrame:
+    """Closed trades as points arrive; the open legs of a pair's day are the state.
+
+    Positions never cross days, so state and group are one pair's day, and a day's state is
+    dropped after ``idle`` without new points.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = state.get if state.exists else (None, None, None, None, None)
-        day, legs = saved[0], {}
-        for leg, price, at in (("long", saved[1], saved[2]), ("short", saved[3], saved[4])):
-            if price is not None:
-                legs[leg] = (price, at)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        legs = {}
+        if state.exists:
+            saved = state.get
+            for leg, price, at in (("long", saved[0], saved[1]), ("short", saved[2], saved[3])):
+                if price is not None:
+                    legs[leg] = (price, at)
         rows = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for q in rows.itertuples(index=False):
-            if str(q.session_date) != day:
-                day, legs = str(q.session_date), {}
-            out += [{"pair_id": key[0], "session_date": q.session_date, **t} for t in rotation_step(legs, q, strategy)]
+        out = [{"pair_id": key[0], "session_date": key[1], **t} for q in rows.itertuples(index=False) for t in rotation_step(legs, q, strategy)]
         long, short = legs.get("long", (None, None)), legs.get("short", (None, None))
-        state.update((day, long[0], long[1], short[0], short[1]))
+        state.update((long[0], long[1], short[0], short[1]))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[f.name for f in TRADE.fields])
 
     typed = points.withColumn("ts", F.col("ts").cast("timestamp"))
-    return typed.groupBy("pair_id").applyInPandasWithState(update, TRADE, POSITIONS, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout
+    return typed.groupBy("pair_id", "session_date").applyInPandasWithState(update, TRADE, POSITIONS, "append", timeout)
 
 
 def live_ingest(observations: DataFrame, path: str, parts: tuple[str, ...] = ("ticker", "source_key", "observation_type")) -> DataFrame:
