@@ -129,13 +129,13 @@ def rotation_step(legs: dict, q, strategy: Strategy) -> list[dict]:
     return closed
 
 
-def live_rotation(points: DataFrame, strategy: Strategy, idle: str = "3 days") -> DataFrame:
+def live_rotation(points: DataFrame, strategy: Strategy, delay: str = "1 day") -> DataFrame:
     """Closed trades as points arrive; the open legs of a pair's day are the state.
 
-    Positions never cross days, so state and group are one pair's day, and a day's state is
-    dropped after ``idle`` without new points.
+    Positions never cross days, so state and group are one pair's day; points later than
+    ``delay`` are dropped and a day's state leaves once the watermark has passed the day.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    day_ms = 86_400_000
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -151,11 +151,13 @@ def live_rotation(points: DataFrame, strategy: Strategy, idle: str = "3 days") -
         out = [{"pair_id": key[0], "session_date": key[1], **t} for q in rows.itertuples(index=False) for t in rotation_step(legs, q, strategy)]
         long, short = legs.get("long", (None, None)), legs.get("short", (None, None))
         state.update((long[0], long[1], short[0], short[1]))
-        state.setTimeoutDuration(idle_ms)
+        over = int(pd.Timestamp(key[1]).timestamp() * 1000) + 2 * day_ms
+        if over > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(over)
         yield pd.DataFrame(out, columns=[f.name for f in TRADE.fields])
 
-    typed = points.withColumn("ts", F.col("ts").cast("timestamp"))
-    timeout = GroupStateTimeout.ProcessingTimeTimeout
+    typed = points.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    timeout = GroupStateTimeout.EventTimeTimeout
     return typed.groupBy("pair_id", "session_date").applyInPandasWithState(update, TRADE, POSITIONS, "append", timeout)
 
 
