@@ -12,7 +12,7 @@ from tidemark.operators import features as X
 from tidemark.operators import joins as J
 from tidemark.operators import rules as R
 from tidemark.operators import zones as Z
-from tidemark.plans.catalog_bars import CROSS_SQL, KEY_SQL, MINING_BODY, W, atr_ctes, hourly
+from tidemark.plans.catalog_bars import KEY_SQL, MINING_BODY, W, atr_ctes, hourly, vol_ctes
 from tidemark.plans.registry import query
 from tidemark.plans.research import run_research
 from tidemark.plans.sqltext import bars_cte, ema_sql, r
@@ -605,3 +605,30 @@ def _(spark, d):
     bars = B.resample(event_quotes(table(spark, d, "events")), B.ALL_DAY_HOURLY)
     out = run_research(bars, mining=False)
     return out["comparison"].select("id", "covered", "portability", rnd("portable_score").alias("portable_score"))
+
+
+# --- predicates ---------------------------------------------------------------------------------
+
+
+def rule_bars(spark, d, conditions):
+    names = ["range_pos_10", "volume_ratio_20"]
+    df = X.volume_and_volatility(X.bar_returns(hourly(spark, d)))
+    rules = R.fixed_rules(spark, df.select("symbol").distinct(), [{"id": "rule", "direction": "long", "conditions": conditions}], names)
+    out = R.rule_signals(df.select(*X.SESSION, "bar_index", R.feature_array(names)), rules)
+    return keys(out.select(*X.SESSION, "bar_index"))
+
+
+@query("c01_threshold_predicate", f"WITH {bars_cte()}{vol_ctes()} SELECT {KEY_SQL} FROM out WHERE range_pos_10 <= 0.3")
+def _(spark, d):
+    return rule_bars(spark, d, [("range_pos_10", "<=", 0.3)])
+
+
+@query("c02_rule_conjunction", f"WITH {bars_cte()}{vol_ctes()} SELECT {KEY_SQL} FROM out WHERE range_pos_10 <= 0.3 AND volume_ratio_20 >= 1")
+def _(spark, d):
+    return rule_bars(spark, d, [("range_pos_10", "<=", 0.3), ("volume_ratio_20", ">=", 1.0)])
+
+
+@query("d13_variants_on_bars", f"WITH {bars_cte(3)}{FAMILY_BODY} SELECT {KEY_SQL}, count(*) AS variants FROM vsig GROUP BY ALL")
+def _(spark, d):
+    out = FM.family_signals(fine_features(spark, d), VARIANTS).groupBy(*X.SESSION, "bar_index").agg(F.count(F.lit(1)).alias("variants"))
+    return keys(out)
