@@ -306,15 +306,15 @@ def gate_sources():
         source("flows", "optional", "with_flows", False),
         source("machines", "sector", "", True, ("machinery", "auto")),
         source("site", "ticker", "", True, (), ("C7",)),
-        source("llm_a", "base", "", True, provider="a"),
-        source("llm_b", "base", "", True, provider="b"),
+        source("model_a", "base", "", True, provider="a"),
+        source("model_b", "base", "", True, provider="b"),
     )
 
 
 @query(
     "c24_source_gate",
     """SELECT c_custkey, array_to_string(list_filter(['market', CASE WHEN c_acctbal > 5000 THEN 'flows' END, CASE WHEN c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') THEN 'machines' END,
-      CASE WHEN c_custkey = 7 OR c_acctbal < 0 THEN 'site' END, 'llm_b'], lambda x: x IS NOT NULL), ',') AS sources FROM customer""",
+      CASE WHEN c_custkey = 7 OR c_acctbal < 0 THEN 'site' END, 'model_b'], lambda x: x IS NOT NULL), ',') AS sources FROM customer""",
 )
 def _(spark, d):
     c = table(spark, d, "customer")
