@@ -7,25 +7,30 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scoped: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables that outlives an executor.
+    """This run's folder for intermediate tables, on storage that outlives an executor.
 
-    A cluster names it in ``spark.checkpoint.dir``. A local folder is used only when
-    neither that setting nor a checkpoint directory is present (tests, laptops).
+    It lies in the folder that ``spark.checkpoint.dir`` names, which all executors must share, is
+    scoped by the application and is removed when the driver's JVM ends. A local folder is made
+    only when the setting is absent and the master is local (tests, laptops).
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    local = tempfile.mkdtemp(prefix="tidemark-")
-    sc.setCheckpointDir(local)
-    return local
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
+    path = f"{base.rstrip('/')}/tidemark-{sc.applicationId}"
+    if path not in _scoped:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _scoped.add(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
