@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint
+from tidemark.llm import fingerprint, token_files
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
 
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_files.write_token_files(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_documents(spark, path).drop("ids")
+
+
 @query("op9_fingerprint")
 def op9_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.successor_prints(table(spark, folder, "documents").select("doc_id", "text"))
