@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, token_files
+from tidemark.llm import fingerprint, language, token_files
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -20,3 +21,11 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_fingerprint")
 def op9_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.successor_prints(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = language.in_fold(F.col("doc_id"), 3, 1)
+    docs = table(spark, folder, "documents")
+    models = language.fit(docs, ~held_out)
+    return language.identify(docs.select("doc_id", "text"), models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_bits", "accepted")
