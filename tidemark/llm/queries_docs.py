@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, language, token_files
+from tidemark.llm import fingerprint, language, quality, token_files
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -18,6 +18,19 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(spark, path).drop("ids")
 
 
+#: Documents whose score is lower are rejected.
+QUALITY_LIMIT = 0.3
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = language.in_fold(F.col("doc_id"), 5, 0)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    field = quality.fit(docs, table(spark, folder, "labels"), ~held_out)
+    scored = quality.add_score(docs, field)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_LIMIT).cast("int").alias("predicted"))
+
+
 @query("op9_fingerprint")
 def op9_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.successor_prints(table(spark, folder, "documents").select("doc_id", "text"))
