@@ -41,59 +41,86 @@ SPARE_BITS = 4
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, the same merges behind a bare white-space split, and which ids end a word.
+
+    Lower-case ASCII letters pass the tokenizer's normalisation and splitting unchanged, so words of them can go to the bare form.
+    """
+    import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
     size = t.get_vocab_size()
     ends = np.fromiter(((t.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
-    return t, ends
+    return t, bare, ends
 
 
-def _encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of distinct words, flat, and the number of ids of each.
+def _encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of distinct words: a flat array, where each word's ids begin in it, and how many they are.
 
-    Words that are one run of ASCII letters are encoded joined by spaces and cut at the ids that end a word; if
-    the ends do not add up, and for all other words, each word is encoded by itself.
+    Words of letters alone are encoded joined by spaces and cut behind the ids that end a word.
+    Each has one end at least, so as many ends as words prove the cuts; where there are more, and
+    for all other words, each word is encoded by itself.
     """
-    tokenizer, ends = _tokenizer(path)
-    plain = np.fromiter((w.isascii() and w.isalpha() for w in words), bool, len(words))
-    found: list[np.ndarray | list[int] | None] = [None] * len(words)
-    at = np.flatnonzero(plain)
-    alone = [int(i) for i in np.flatnonzero(~plain)]
-    for k in range(0, len(at), 4096):
-        some = at[k : k + 4096]
-        ids = np.array(tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids, np.int64)
-        cuts = np.flatnonzero(ends[ids]) + 1
-        if len(cuts) == len(some) and cuts[-1] == len(ids):
-            for i, a, b in zip(some.tolist(), [0, *cuts[:-1].tolist()], cuts.tolist()):
-                found[i] = ids[a:b]
-        else:
-            alone += some.tolist()
-    for k in range(0, len(alone), 4096):
-        some = alone[k : k + 4096]
-        for i, e in zip(some, tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
-            found[i] = np.array(e.ids, np.int64)
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return (np.concatenate(found) if len(found) else np.zeros(0, np.int64)), sizes
-
-
-def _gather(flat: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """Concatenated runs ``picks`` of a flat array of runs of the given sizes."""
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
+    tokenizer, bare, ends = _tokenizer(path)
+    first, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    letters = np.asarray(pc.utf8_is_alpha(words)).astype(bool)
+    ascii_ = np.asarray(pc.string_is_ascii(words)).astype(bool)
+    flat: list[np.ndarray] = []
+    base = 0
+    alone = [np.flatnonzero(~letters)]
+    for pick, engine in ((letters & ascii_, bare), (letters & ~ascii_, tokenizer)):
+        at = np.flatnonzero(pick)
+        own = words.filter(pa.array(pick))
+        own = (pc.ascii_lower(own) if engine is bare else own).to_pylist()
+        starts = range(0, len(at), 4096)
+        joined = [" ".join(own[k : k + 4096]) for k in starts]
+        for k, encoded in zip(starts, engine.encode_batch_fast(joined, add_special_tokens=False)):
+            some = at[k : k + 4096]
+            ids = np.array(encoded.ids, np.int64)
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                first[some] = base + np.concatenate([[0], cuts[:-1]])
+                sizes[some] = np.diff(cuts, prepend=0)
+                flat.append(ids)
+                base += len(ids)
+            else:
+                alone.append(some)
+    rest = np.concatenate(alone)
+    for k in range(0, len(rest), 4096):
+        some = rest[k : k + 4096]
+        lists = [e.ids for e in tokenizer.encode_batch_fast(words.take(pa.array(some)).to_pylist(), add_special_tokens=False)]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        first[some] = base + np.cumsum(n) - n
+        sizes[some] = n
+        flat.append(np.fromiter((i for x in lists for i in x), np.int64, int(n.sum())))
+        base += len(flat[-1])
+    return (np.concatenate(flat) if flat else np.zeros(0, np.int64)), first, sizes
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """Concatenated runs ``picks`` of a flat array; run ``i`` begins at ``first[i]``."""
     n = sizes[picks]
     at = np.cumsum(n) - n
     return flat[np.repeat(first[picks] - at, n) + np.arange(int(n.sum()))]
 
 
+#: A run of ASCII marks without an apostrophe behind a letter or digit that NFC and lower case
+#: leave a letter or digit (Latin without the dotted capital I).
+_TAIL = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])[!-&(-/:-@\[-`{-~]+$"
+
+
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts (null: none), flat, and the number of ids of each text.
 
     The tokenizer splits at white space, drops it and never looks across it, so each distinct word of the batch is
-    encoded once. A run of ASCII punctuation without an apostrophe after a letter or digit is a
-    token group of its own to the tokenizer and is taken off its word first.
+    encoded once. A run of ASCII marks behind a letter or digit is a token group of its own to
+    the tokenizer and is taken off its word first.
     """
     if texts.null_count:
         texts = texts.fill_null("")
@@ -102,25 +129,27 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     flat = split.flatten().dictionary_encode()
     codes = np.asarray(flat.indices).astype(np.int64)
     words = flat.dictionary
-    cores = pc.replace_substring_regex(words, r"([A-Za-z0-9])[!-&(-/:-@\[-`{-~]+$", r"\1")
-    special = pc.match_substring(words, "<|")  # marks of special tokens stay whole
-    cores = pc.if_else(special, words, cores)
-    size = np.asarray(pc.binary_length(words)).astype(np.int64)
+    cores = pc.replace_substring_regex(words, _TAIL, r"\1")
+    cores = pc.if_else(pc.match_substring(words, "<|"), words, cores)  # marks of special tokens stay whole
     kept = np.asarray(pc.binary_length(cores)).astype(np.int64)
-    suffix = [w[k:] if k < n else "" for w, k, n in zip(words.cast(pa.large_binary()).to_pylist(), kept.tolist(), size.tolist())] if (size > kept).any() else []
-    core_codes = cores.dictionary_encode()
-    core_ids, core_sizes = _encode_words(core_codes.dictionary.to_pylist(), path)
-    pick = np.asarray(core_codes.indices).astype(np.int64)
-    if suffix:
-        tail_codes = pa.array([s.decode() if s else "" for s in suffix], pa.large_string()).dictionary_encode()
-        tail_ids, tail_sizes = _encode_words(tail_codes.dictionary.to_pylist(), path)
-        both = np.stack([pick, np.asarray(tail_codes.indices).astype(np.int64) + len(core_sizes)], 1).ravel()
-        ids = _gather(np.concatenate([core_ids, tail_ids]), np.concatenate([core_sizes, tail_sizes]), both)
-        sizes = core_sizes[pick] + tail_sizes[np.asarray(tail_codes.indices)]
-    else:
-        ids, sizes = _gather(core_ids, core_sizes, pick), core_sizes[pick]
-    out = _gather(ids, sizes, codes)
-    total = np.concatenate([[0], np.cumsum(sizes[codes])])
+    cut = np.flatnonzero(np.asarray(pc.binary_length(words)).astype(np.int64) > kept)
+    core = cores.dictionary_encode()
+    ids, first, sizes = _encode_words(core.dictionary, path)
+    pick = np.asarray(core.indices).astype(np.int64)
+    word_first, word_sizes = first[pick], sizes[pick]
+    if len(cut):
+        some = words.take(pa.array(cut)).cast(pa.large_binary()).to_pylist()
+        tail = pa.array([w[k:].decode() for w, k in zip(some, kept[cut].tolist())], pa.large_string()).dictionary_encode()
+        tail_ids, tail_first, tail_sizes = _encode_words(tail.dictionary, path)
+        tail_pick = np.asarray(tail.indices).astype(np.int64)
+        # every cut word's ids are written out once, core and tail together
+        pairs = np.stack([pick[cut], tail_pick + len(sizes)], 1).ravel()
+        whole = _gather(np.concatenate([ids, tail_ids]), np.concatenate([first, tail_first + len(ids)]), np.concatenate([sizes, tail_sizes]), pairs)
+        word_sizes[cut] += tail_sizes[tail_pick]
+        word_first[cut] = len(ids) + np.cumsum(word_sizes[cut]) - word_sizes[cut]
+        ids = np.concatenate([ids, whole])
+    out = _gather(ids, word_first, word_sizes, codes)
+    total = np.concatenate([[0], np.cumsum(word_sizes[codes])])
     return out, total[starts[1:]] - total[starts[:-1]]
 
 
