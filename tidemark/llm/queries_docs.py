@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, language, quality, token_files
+from tidemark.llm import fingerprint, language, mixing, pieces, quality, token_files
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -31,6 +31,25 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_LIMIT).cast("int").alias("predicted"))
 
 
+@query("op5_pieces")
+def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
+    return pieces.decode(encoded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        pieces.digest(F.col("ids")).alias("ids_crc32"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents").select("doc_id", "source"))
+
+
 @query("op9_fingerprint")
 def op9_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.successor_prints(table(spark, folder, "documents").select("doc_id", "text"))
