@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Documents of a block, units of a period (grows to four units a source), and rows ranked in one task.
-BLOCK_ROWS, PERIOD, RANKED_ROWS = 64, 1000, 20_000
+BLOCK_ROWS, PERIOD, RANKED_ROWS = 64, 1000, 2_000
 #: More sources than this are refused: the schedule is made on the driver.
 MAX_SOURCES = 50_000
 

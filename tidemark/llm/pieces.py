@@ -27,7 +27,9 @@ from tidemark.llm.token_files import _gather
 
 MARK = "▁"
 #: Bytes of text whose words are encoded together.
-CHUNK = 16_000_000
+CHUNK = 4_000_000
+#: Ids decoded together.
+DECODED = 500_000
 
 
 class Model:
@@ -67,7 +69,7 @@ class Model:
             for c in p[:-1]:
                 level = level.setdefault(c, [-1, 0.0, {}])[2]
             level.setdefault(p[-1], [-1, 0.0, {}])[:2] = i, self.score[p]
-        self.known: dict[tuple[str, int], bytes] = {}
+        self.known: tuple[dict[str, bytes], ...] = ({}, {})  # words without and with a mark
         # ASCII marks that no piece holds behind a letter: all paths agree between a letter and one of them
         joined = {b for p in self.id for a, b in zip(p, p[1:]) if a.isalpha()}
         cuts = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
@@ -189,13 +191,15 @@ REMEMBERED = 300_000
 
 def _packed(model: Model, word: str, blanks: int = 1) -> bytes:
     """``encode_word`` as 32-bit integers, remembered over batches and tasks of a worker."""
-    found = model.known.get((word, blanks))
+    if blanks > 1 or len(word) > 32:
+        return np.array(encode_word(model, word, blanks), np.int32).tobytes()
+    known = model.known[blanks]
+    found = known.get(word)
     if found is None:
         found = np.array(encode_word(model, word, blanks), np.int32).tobytes()
-        if len(word) <= 32:
-            if len(model.known) >= REMEMBERED:
-                model.known.clear()
-            model.known[word, blanks] = found
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[word] = found
     return found
 
 
@@ -284,8 +288,15 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "deco
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
             n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-            flat = np.asarray(lists.flatten()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decode_flat(flat, n, model), pa.string())], names=[*batch.schema.names, name])
+            flat = np.asarray(lists.flatten())
+            ends = np.concatenate([[0], np.cumsum(n)])
+            texts: list[str] = []
+            a = 0
+            while a < len(n):
+                b = min(len(n), max(a + 1, int(np.searchsorted(ends, ends[a] + DECODED, "right")) - 1))
+                texts += decode_flat(flat[ends[a] : ends[b]], n[a:b], model)
+                a = b
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
     return kept.mapInArrow(run, schema)
 

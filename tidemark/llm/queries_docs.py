@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, jaccard, language, mixing, pieces, quality, token_files
+from tidemark.llm import fingerprint, jaccard, language, mixing, neighbours, pieces, quality, token_files
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
 
+@query("op1_near_vectors")
+def op1_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.link(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 @query("op2_jaccard")
 def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link(table(spark, folder, "documents").select("doc_id", "text"))
