@@ -1,14 +1,66 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Quality and language drop documents, the n-gram join leaves one of each group of near copies, mixing puts
+the rest in the order of the target weights, and the last stage turns every text into ids. All stages
+but the last return the columns of their input, whatever they are.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import jaccard, language, mixing, pieces, quality
 from tidemark.session import shared_dir
 
-STAGES = []
+#: Documents with a lower quality score are rejected.
+QUALITY_LIMIT = 0.3
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is at least ``QUALITY_LIMIT``; learned from labels outside the held-out fifth."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    field = quality.fit(docs, labels, ~language.in_fold(F.col("doc_id"), 5, 0))
+    return quality.add_score(docs, field, name="__quality").where(F.col("__quality") >= QUALITY_LIMIT).drop("__quality")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that read like one of the languages; learned from documents outside the held-out third."""
+    models = language.fit(docs, ~language.in_fold(F.col("doc_id"), 3, 1))
+    judged = language.identify(docs, models, prefix="__")
+    return judged.where("__accepted").drop("__lang_pred", "__score", "__lang_bits", "__accepted")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links at 75 % of the 5-word shingles."""
+    return jaccard.keep_one(docs).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixing schedule (files and rows)."""
+    placed = mixing.mix(docs, names=("__slot", "__place"))
+    return placed.orderBy("__slot", "__place").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, with their number, and whether decoding gives the text back."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(docs.select("doc_id", "source", "text"), model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return pieces.decode(encoded, model).select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("language", known_language),
+    ("dedup", one_of_each),
+    ("mixing", mixed),
+    ("pieces", tokens),
+]
 
 #: The stages hold trained models and byte-level tokens, which SQL cannot express; tests compare
 #: every stage with a brute-force version instead.

@@ -259,3 +259,20 @@ def _near_links(spark, docs: DataFrame, near: DataFrame, key: str, text: str, wi
         if groups.isEmpty():
             return found
         component = materialise(join_components(sizes.select("k"), found, "k", "near"), "near-components")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one document of each component: the one whose key is the component's.
+
+    Of several rows with that key the one with the smallest hash of the text stays (ties: the smaller
+    text). Documents that link with nothing stay, those with a null key too. All columns are kept.
+    """
+    linked = materialise(link(docs, key, text, width, percent).select(key, "component_id"), "components")
+    dropped = linked.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = docs.join(dropped, key, "left_anti")
+    repeated = linked.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    if repeated.isEmpty():
+        return kept
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text), text))
+    single = kept.join(repeated, key, "left_semi").withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return kept.join(repeated, key, "left_anti").unionByName(single)

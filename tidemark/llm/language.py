@@ -274,15 +274,16 @@ def _limits(rows: DataFrame, models: Models) -> np.ndarray:
     return mean + np.maximum(SIGMAS * spread, MARGIN)
 
 
-def identify(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (0 to 1), ``lang_bits`` (per symbol) and ``accepted``. No shuffle.
+def identify(docs: DataFrame, models: Models, text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (0 to 1), ``lang_bits`` (per symbol) and ``accepted``, their names behind ``prefix``. No shuffle.
 
     A null text and one without a letter get ``und``, score 0, no bits, and are not accepted; so does every text when no
     language was learned. Equal cross-entropies go to the first language by name. Repeated rows
     get equal results; columns of these four names are replaced.
     """
     spark = docs.sparkSession
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_bits", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
+    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "lang_bits": T.DoubleType(), "accepted": T.BooleanType()}
+    added = [T.StructField(prefix + name, kind) for name, kind in kinds.items()]
     kept = docs.drop(*[f.name for f in added])
     packed = spark.sparkContext.broadcast(models)
 

@@ -69,8 +69,9 @@ def mix(
     key: str = "doc_id",
     block_rows: int = BLOCK_ROWS,
     seed: int = 17,
+    names: tuple[str, str] = ("mix_slot", "mix_place"),
 ) -> DataFrame:
-    """``docs`` with ``mix_slot`` and ``mix_place``: sorted by both, the documents are mixed to the weights.
+    """``docs`` with ``mix_slot`` and ``mix_place`` (or other ``names``): sorted by both, the documents are mixed to the weights.
 
     ``weights`` maps sources to target weights; sources it leaves out weigh nothing and get one
     unit. By default a source weighs its number of documents to the ``power``. No document is
@@ -82,21 +83,21 @@ def mix(
     that holds a third of all rows is ranked by as many tasks as it needs.
     """
     spark = docs.sparkSession
-    kept = docs.drop("mix_slot", "mix_place")
+    kept = docs.drop(*names)
     counted = kept.groupBy(F.col(source).alias("s")).count().limit(MAX_SOURCES + 1).collect()
     if len(counted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = {r[0]: r[1] for r in counted}
     if not sizes:
-        return kept.withColumn("mix_slot", F.lit(0).cast("long")).withColumn("mix_place", F.lit(0).cast("long"))
+        return kept.withColumn(names[0], F.lit(0).cast("long")).withColumn(names[1], F.lit(0).cast("long"))
     target = {s: float(weights.get(s, 0.0)) if weights is not None else float(n) ** power for s, n in sizes.items()}
     period = max(PERIOD, 4 * len(sizes))
     shares = units(target, period)
     slots = schedule(shares)
     # one row a source, ``period`` slots in all
-    plan = spark.createDataFrame([(s, slots[s], max(1, -(-sizes[s] // RANKED_ROWS))) for s in sizes], "s string, slots array<int>, buckets int")
+    plan = spark.createDataFrame([(s, slots[s], max(1, -(-sizes[s] // RANKED_ROWS))) for s in sizes], "__src string, __slots array<int>, __buckets int")
     rows = kept.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__s", F.col(source).cast("string"))
-    rows = rows.join(F.broadcast(plan), F.col("__s").eqNullSafe(F.col("s"))).withColumn("__b", F.pmod("__h", F.col("buckets").cast("long")))
+    rows = rows.join(F.broadcast(plan), F.col("__s").eqNullSafe(F.col("__src"))).withColumn("__b", F.pmod("__h", F.col("__buckets").cast("long")))
     before = rows.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = before.withColumn("__first", F.sum("__n").over(W.partitionBy("__s").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)))
     before = before.select(F.col("__s").alias("__s2"), F.col("__b").alias("__b2"), F.coalesce("__first", F.lit(0)).alias("__first"))
@@ -104,6 +105,6 @@ def mix(
     ranked = rows.withColumn("__local", local).join(before, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2")))
     rank = F.col("__first") + F.col("__local") - 1
     block = F.floor(rank / block_rows)
-    n = F.size("slots").cast("long")
-    slot = F.floor(block / n) * period + F.element_at("slots", (block % n + 1).cast("int"))
-    return ranked.select(*[F.col(c) for c in kept.columns], slot.cast("long").alias("mix_slot"), (rank % block_rows).cast("long").alias("mix_place"))
+    n = F.size("__slots").cast("long")
+    slot = F.floor(block / n) * period + F.element_at("__slots", (block % n + 1).cast("int"))
+    return ranked.select(*[F.col(c) for c in kept.columns], slot.cast("long").alias(names[0]), (rank % block_rows).cast("long").alias(names[1]))

@@ -174,8 +174,8 @@ def _joined(kept: DataFrame, rules: DataFrame, url: str, default: str, lengths:
         rows.where(F.col("host") != "").select("__row", F.explode(F.array_distinct(keys)).alias("key"))
         .join(table, "key")
         .groupBy("__row")
-        .agg(F.max(F.struct(F.length("key").alias("n"), "key", "blocks")).alias("best"))
+        .agg(F.max(F.struct(F.length("key").alias("n"), "key", "blocks")).alias("__best"))
     )
     judged = rows.join(best, "__row", "left")
-    verdict = F.when(F.col("best").isNull(), default).otherwise(F.when(F.col("best.blocks"), "block").otherwise("allow"))
-    return judged.withColumn("rule", F.col("best.key")).withColumn("verdict", verdict).drop("best", "__row")
+    verdict = F.when(F.col("__best").isNull(), default).otherwise(F.when(F.col("__best.blocks"), "block").otherwise("allow"))
+    return judged.withColumn("rule", F.col("__best.key")).withColumn("verdict", verdict).drop("__best", "__row")
