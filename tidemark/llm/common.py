@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.session import materialise, shared_dir
 
-__all__ = ["fresh_path", "join_components", "materialise", "mix64", "partitions_for", "ranged", "table", "text_arrays", "write_bytes"]
+__all__ = ["connect_groups", "fresh_path", "join_components", "materialise", "mix64", "partitions_for", "ranged", "table", "text_arrays", "write_bytes"]
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -108,3 +110,34 @@ def join_components(ids: DataFrame, links: DataFrame, key: str, name: str) -> Da
         seen = now
     stars = edges.groupBy(F.col("u").alias(key)).agg(F.min("v").alias("component_id"))
     return ids.join(stars, key, "left").withColumn("component_id", F.coalesce("component_id", key))
+
+
+#: Components of a group whose smallest members are compared in one round.
+PIVOTS = 8
+
+
+def connect_groups(nodes: DataFrame, groups: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Links (a, b) that connect whatever the pairs inside the groups connect.
+
+    ``nodes`` has ``k``, ``groups`` rows (h, k): every pair inside a group might link, and ``verify``
+    returns those of the pairs (a, b) that do. A group is not expanded into pairs: in each round the smallest
+    members of up to ``PIVOTS`` of its components are compared with the members outside their own component and
+    then leave the group; groups with one component left are done. So a pair is either compared or connected
+    already, and a group whose members are alike costs one comparison each.
+    """
+    spark = nodes.sparkSession
+    component = nodes.select("k", F.col("k").alias("component_id"))
+    found = spark.createDataFrame([], "a long, b long")
+    while True:
+        here = groups.join(component, "k")
+        first = here.groupBy("h", "component_id").agg(F.min("k").alias("pivot"))
+        several = first.groupBy("h").agg(F.count(F.lit(1)).alias("components")).where("components > 1").select("h")
+        ranked = first.join(several, "h").withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("pivot"))).where(F.col("r") <= PIVOTS)
+        pivots = materialise(ranked.select("h", "pivot", F.col("component_id").alias("pc")), f"{name}-pivots")
+        if pivots.isEmpty():
+            return found
+        met = here.join(pivots, "h").where("component_id <> pc")
+        pairs = materialise(met.select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b")).distinct(), f"{name}-pairs")
+        groups = materialise(groups.join(pivots.select("h").distinct(), "h", "left_semi").join(pivots.select("h", F.col("pivot").alias("k")), ["h", "k"], "left_anti"), f"{name}-groups")
+        found = materialise(found.unionByName(verify(pairs)), f"{name}-links")
+        component = materialise(join_components(nodes, found, "k", name), f"{name}-components")

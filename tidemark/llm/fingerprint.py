@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mix64, partitions_for, ranged
+from tidemark.llm.common import connect_groups, join_components, materialise, mix64, partitions_for, ranged
 
 PERIOD, CLASSES, LEAST = 4096, 256, 256
 #: Code points walked together; bounds the memory of a task, not the length of a text.
@@ -263,3 +263,61 @@ def _neighbours(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
         pa.array([likeness(prints[i], prints[i + 1]) for i in own], pa.float64()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+
+#: Samples hashed together in a band, and bands of a level.
+BAND, BANDS = 12, 24
+
+
+def _band_keys(print_: str) -> list[int]:
+    """Keys of the bands at the text's own level and the next coarser one, as a near text may be just across.
+
+    A band's samples lie among the first ``LEAST / 2`` of the level, which every longer text of both levels has; a text
+    with fewer samples has one band, all of them.
+    """
+    level, digits = int(print_[:2], 16), np.frombuffer(print_[3:].encode(), np.uint8)
+    keys = []
+    for wanted in (level, level + 1):
+        own = digits if wanted == level else _coarser(digits, level, wanted)
+        span = LEAST // 2
+        for band in range(BANDS if len(own) >= span else 1):
+            draw = mix64(np.arange(BAND, dtype=np.uint64) + np.uint64(band * BAND + (wanted << 32))) % np.uint64(span)
+            some = own[draw.astype(np.int64)] if len(own) >= span else own
+            key = mix64(some.astype(np.uint64) + mix64(np.arange(len(some), dtype=np.uint64))).sum(dtype=np.uint64) + np.uint64(wanted * BANDS + band)
+            keys.append(int(mix64(np.array([key]))[0].astype(np.int64)))
+    return keys
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.6) -> DataFrame:
+    """Per document: the key, ``fingerprint`` and ``component_id``, the smallest key reachable by near fingerprints.
+
+    Two documents are near when they share a band of samples and their fingerprints are at least ``least`` alike; equal
+    fingerprints are one class. Groups of a band are resolved by ``connect_groups``, so no group is
+    expanded into pairs and none is cut off. Empty texts are near nothing. A null key has no
+    component; repeated rows keep a row each; an empty table stays empty.
+    """
+    prints = materialise(add_fingerprint(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), "t").drop("t"), "prints")
+    usable = prints.where("k IS NOT NULL AND fingerprint <> '00:'")
+    classes = materialise(usable.groupBy("fingerprint").agg(F.min("k").alias("c")), "print-classes")
+
+    @F.pandas_udf("array<bigint>")
+    def bands(column):
+        return column.map(_band_keys)
+
+    @F.pandas_udf("double")
+    def alike(a, b):
+        return a.combine(b, likeness)
+
+    # a key with several texts leads several classes, so classes are numbered by their print
+    numbered = classes.select(F.xxhash64("fingerprint").alias("k"), "fingerprint", "c")
+    groups = materialise(numbered.select("k", F.explode(bands("fingerprint")).alias("h")).distinct(), "bands")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        of = lambda side, name: numbered.select(F.col("k").alias(side), F.col("fingerprint").alias(name))
+        return pairs.join(of("a", "fa"), "a").join(of("b", "fb"), "b").where(alike("fa", "fb") >= least).select("a", "b")
+
+    links = connect_groups(numbered.select("k"), groups, verify, "prints")
+    leader = join_components(numbered.select("k"), links, "k", "prints").withColumnRenamed("component_id", "leader").join(numbered, "k")
+    first = leader.groupBy("leader").agg(F.min("c").alias("first"))
+    keyed = usable.join(leader.join(first, "leader").select("fingerprint", "first"), "fingerprint").select(F.col("k").alias("a"), F.col("first").alias("b"))
+    return join_components(prints, keyed.distinct(), "k", "print-keys").select(F.col("k").alias(key), "fingerprint", "component_id")

@@ -27,15 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_components, materialise
+from tidemark.llm.common import connect_groups, join_components, materialise
 from tidemark.llm.shingles import set_digest, shingle_sets
 
 #: Shingles that a fragment should hold, and the fewest fragments.
 FRAGMENT_SHINGLES, FRAGMENTS = 6_000_000, 8
 #: Fragments in which the overlap of a pair is counted.
 OVERLAP_FRAGMENTS = 4
-#: Components of a group whose smallest members are compared in one round.
-PIVOTS = 8
 
 _BLOCK = "fragment int, docs binary, known binary, one binary, two binary, sizes binary, counts binary, shingles binary"
 
@@ -200,23 +198,6 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"))
 
 
-def _candidates(groups: DataFrame, sizes: DataFrame, component: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare in a round, and the groups with their pivots taken out.
-
-    ``groups`` has rows (h, k); pivots are the smallest members of up to ``PIVOTS`` components of a group.
-    """
-    here = groups.join(component, "k").join(sizes, "k")
-    ranks = here.groupBy("h", "component_id").agg(F.min("k").alias("pivot"))
-    several = ranks.groupBy("h").agg(F.count(F.lit(1)).alias("components")).where("components > 1").select("h")
-    ranks = ranks.join(several, "h")
-    ranks = ranks.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("pivot"))).where(F.col("r") <= PIVOTS)
-    pivots = ranks.select("h", "pivot", F.col("component_id").alias("pc")).join(sizes.select(F.col("k").alias("pivot"), F.col("n").alias("pn")), "pivot")
-    met = here.join(pivots, "h").where("component_id <> pc")
-    pairs = met.where(f"100 * least(n, pn) >= {percent} * greatest(n, pn)").select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b")).distinct()
-    rest = groups.join(several, "h").join(pivots.select("h", F.col("pivot").alias("k")), ["h", "k"], "left_anti")
-    return pairs, rest
-
-
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """Per document: the key, ``n_shingles`` and ``component_id``, the smallest key reachable by links.
 
@@ -226,19 +207,18 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     and links with nothing. Rows with equal keys count as one document with several sets and
     keep a row each; a null key has no component. Extra columns are left out; an empty table stays empty.
     """
-    spark = docs.sparkSession
     rows = materialise(documents(docs, key, text, width), "sets")
     alive = rows.where("k IS NOT NULL AND n_shingles > 0")
     classes = alive.groupBy("one", "two", "n_shingles").agg(F.min("k").alias("class_id"), F.max("shared").alias("shared"))
     near = materialise(classes.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select(F.col("class_id").alias("k"), "one", F.col("n_shingles").alias("n")), "near")
     copies = alive.join(classes.drop("shared"), ["one", "two", "n_shingles"]).select(F.col("k").alias("b"), F.col("class_id").alias("a")).where("a <> b").distinct()
-    links = materialise(copies, "links").unionByName(_near_links(spark, docs, near, key, text, width, percent))
+    links = materialise(copies, "links").unionByName(_near_links(docs, near, key, text, width, percent))
     ids = rows.select("k", "n_shingles", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("i")).drop("i")
     joined = join_components(ids, links, "k", "jaccard")
     return joined.select(F.col("k").alias(key), "n_shingles", "component_id")
 
 
-def _near_links(spark, docs: DataFrame, near: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+def _near_links(docs: DataFrame, near: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Links between classes that connect all that are linked."""
     chosen = near.select(F.col("k").alias(key)).distinct()
     texts = materialise(docs.join(chosen, key, "left_semi").select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).dropDuplicates(), "near-texts")
@@ -248,17 +228,13 @@ def _near_links(spark, docs: DataFrame, near: DataFrame, key: str, text: str, wi
     groups = materialise(gathered.mapInArrow(_prefixes(percent), "k long, h long"), "prefixes")
     sets = materialise(_sets(texts.withColumnRenamed("t", "text"), "text", width), "near-sets")
     sizes = materialise(sets.where("part = 0").groupBy(F.col("id").alias("k")).agg(F.max("n").alias("n")), "near-sizes")
-    component = sizes.select("k", F.col("k").alias("component_id"))
-    found = spark.createDataFrame([], "a long, b long")
-    while True:
-        pairs, rest = _candidates(groups, sizes, component, percent)
-        pairs = materialise(pairs, "pairs")
-        groups = materialise(rest, "prefixes")
-        linked = overlaps(pairs, sets).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
-        found = materialise(found.unionByName(linked), "near-links")
-        if groups.isEmpty():
-            return found
-        component = materialise(join_components(sizes.select("k"), found, "k", "near"), "near-components")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        of = lambda side, n: sizes.select(F.col("k").alias(side), F.col("n").alias(n))
+        like = pairs.join(of("a", "na"), "a").join(of("b", "nb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+        return overlaps(like, sets).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
+
+    return connect_groups(sizes.select("k"), groups, verify, "near")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

@@ -166,7 +166,8 @@ def _joined(kept: DataFrame, rules: DataFrame, url: str, default: str, lengths:
     host = F.translate(F.coalesce(F.regexp_extract(rest, "^[^/?#]*", 0), F.lit("")), upper, lower)
     path = F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
     rows = kept.withColumn("__row", F.monotonically_increasing_id()).withColumn("host", host).withColumn("path", path)
-    parents = F.transform(F.sequence(F.lit(1), F.size(F.split("host", "\\."))), lambda i: F.substring_index(F.col("host"), ".", -i))
+    labels = F.split("host", "\\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(parents, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     table = rules.groupBy(F.concat(F.translate("host", upper, lower), "path").alias("key")).agg(F.max(F.col("verdict") == "block").alias("blocks"))
