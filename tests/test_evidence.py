@@ -117,7 +117,7 @@ def test_term_counts_and_amounts(spark):
     text = "Our backlog grew. Remaining performance obligations rose and RPO doubled."
     c = one(spark, TX.term_counts("x"), x=text)
     assert c.backlog_mentions == 1 and c.rpo_mentions == 3
-    a = one(spark, TX.amounts("x"), x="Backlog was $1.2 billion. Remaining performance obligations were $450 million at year end.")
+    a = one(spark, TX.amounts("x"), x="The backlog stands at $1.2 billion; of that, remaining performance obligations came to $450 million.")
     assert {1.2e9, 4.5e8} <= {i.value for i in a}
     assert one(spark, TX.amounts("x"), x="backlog of $12") == []
 
@@ -279,3 +279,41 @@ def test_stream_and_batch_rotation_agree(spark):
         for t in L.rotation_step(legs, r, strategy):
             live.add((str(day), t["leg"], t["reason"], round(t["exit_price"], 9)))
     assert batch == live and batch
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_rounding_equals_the_binary_value(spark, digits):
+    import random
+
+    from tidemark.functions.numeric import fixed_text, round_even
+
+    rng = random.Random(digits)
+    values = [s * v for v in (0.0, 0.5, 1.5, 2.5, 0.05, 0.15, 0.25, 0.35, 749.15, 2.675, 1.005, 0.125, 999.95, 1e15, 123456789012.345, 1e-9) for s in (1, -1)]
+    values += [rng.randrange(10**6) / 10 ** rng.randrange(1, 5) for _ in range(400)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    got = df.select("v", fixed_text("v", digits).alias("t"), fixed_text("v", digits, True).alias("g"), round_even("v", digits).alias("r")).collect()
+    for r in got:
+        if r.v is None:
+            assert r.t is None and r.r is None
+        elif abs(r.v) * 10 ** (digits + 1) < 2**52:
+            assert r.t.lstrip("-") == f"{abs(r.v):.{digits}f}" and r.g.lstrip("-") == f"{abs(r.v):,.{digits}f}" and (r.v >= 0 or r.t[0] == "-")
+            assert r.r == round(r.v, digits)
+
+
+def test_nothing_is_cut_off(spark):
+    from tidemark.operators import daily, facts, rank, score
+
+    text = " ".join(f"backlog of ${i} million;" + " filler" * 30 for i in range(1, 21))
+    a = one(spark, TX.amount_summary(TX.amounts("x", least=0)), x=text)
+    assert a.amount_mentions >= 20 and a.largest_amount == 2e7
+    days = spark.range(600).selectExpr("'S' AS symbol", "date_add(DATE'2020-01-01', CAST(id AS INT)) AS session_date", "CAST(CASE id WHEN 301 THEN 1 WHEN 402 THEN 9999 ELSE 100 END AS DOUBLE) AS close")
+    t = daily.price_trend(days).first()
+    assert (t.point_count, t.min_close, t.max_close) == (600, 1.0, 9999.0)
+    items = spark.range(300).selectExpr("'T' AS ticker", "id AS item_id", "date_add(DATE'2020-01-01', CAST(id AS INT)) AS event_date", "date_add(DATE'2020-01-01', CAST(id AS INT)) AS created_at", "map(concat('k', id), CAST(id AS STRING)) AS evidence")
+    assert len(score.latest_metrics(rank.latest_items(items)).first().metrics) == 300
+    holdings = spark.range(20).selectExpr("concat('m', id) AS manager", "id AS manager_no", "'Alpha Beta Corp' AS name_of_issuer", "CAST(1 AS DOUBLE) AS value_usd", "CAST(2 AS DOUBLE) AS shares")
+    h = facts.holdings_rollup(holdings, spark.createDataFrame([("AB", "Alpha Beta Inc")], "ticker string, name string")).first()
+    assert (h.matched_manager_count, h.total_value_usd, h.total_shares) == (20, 20.0, 40.0)
+    rows = spark.range(250).selectExpr("concat('T', id) AS ticker", "'X' AS sector_group", "CAST(id AS DOUBLE) AS total_score", "DATE'2020-01-01' AS scored_at", "'n' AS name", "'c' AS code")
+    s = rank.grouped_by_sector(rows).first()
+    assert s.candidate_count == 250 and len(s.candidates) == 100 and s.candidates[0] == "T249"

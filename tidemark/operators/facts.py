@@ -243,13 +243,13 @@ def proxy_rollup(filings: DataFrame, key: str = "ticker") -> DataFrame:
     )
 
 
-def holdings_rollup(holdings: DataFrame, companies: DataFrame, managers_checked: int = 8) -> DataFrame:
+def holdings_rollup(holdings: DataFrame, companies: DataFrame, managers_checked: int | None = None) -> DataFrame:
     """Managers that hold each company, with the total reported value and shares.
 
     ``holdings``: ``manager, manager_no, name_of_issuer, value_usd, shares``. Issuer names are
-    matched once per distinct name and joined back.
+    matched once per distinct name and joined back. ``managers_checked`` limits the managers by number.
     """
-    checked = holdings.filter(F.col("manager_no") < managers_checked)
+    checked = holdings if managers_checked is None else holdings.filter(F.col("manager_no") < managers_checked)
     pairs = J.issuer_matches(checked.select(F.col("name_of_issuer").alias("issuer")), companies)
     matched = checked.join(pairs, F.col("name_of_issuer") == F.col("issuer"))
     return matched.groupBy("ticker").agg(

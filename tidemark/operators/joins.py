@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.functions.numeric import let
+from tidemark.functions.numeric import fixed_text, let, round_even
 from tidemark.operators.merge import latest_per_key
+from tidemark.session import materialise
 
 
 def append_items(items: DataFrame, path: str) -> None:
@@ -30,11 +31,25 @@ def merge_symbol_lists(*lists: DataFrame) -> DataFrame:
     return union.filter(F.col("symbol") != "").groupBy("symbol").agg(F.min("at").alias("at"))
 
 
+def ranked(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with its place (from 1) in the whole order.
+
+    The rows are dealt to ranges of the order, written once and numbered inside each range behind the
+    rows of the ranges before, so no task sees the whole table.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    # one row for each range
+    before = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = before.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn(name, place.cast("bigint")).join(F.broadcast(before), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+
+
 def symbol_batch(symbols: DataFrame, offset: int, limit: int) -> DataFrame:
     """Rows ``offset+1 .. offset+limit`` of a merged list (a batch of a run)."""
-    batch = symbols.orderBy("at").limit(offset + limit)
-    numbered = batch.withColumn("position", F.row_number().over(Window.orderBy("at")).cast("bigint"))
-    return numbered.filter(F.col("position") > offset).select("symbol", "position")
+    return ranked(symbols, "position", "at").filter(F.col("position").between(offset + 1, offset + limit)).select("symbol", "position")
 
 
 def source_listing(sources: DataFrame) -> DataFrame:
@@ -43,12 +58,12 @@ def source_listing(sources: DataFrame) -> DataFrame:
     return sources.join(per_scope, "scope")
 
 
-def screen_report(results: DataFrame, limit: int = 200) -> DataFrame:
-    """The first ``limit`` rows of the ranked report, formatted."""
-    top = results.orderBy(F.desc("total_score"), "ticker").limit(limit)
-    place = F.row_number().over(Window.orderBy(F.desc("total_score"), "ticker")).cast("bigint")
+def screen_report(results: DataFrame, limit: int | None = None) -> DataFrame:
+    """The ranked report, formatted; the first ``limit`` rows if that is given."""
+    top = ranked(results, "place", F.desc("total_score"), F.asc("ticker"))
+    top = top if limit is None else top.filter(F.col("place") <= limit)
     cap = F.when(F.abs("market_cap") >= 1e6, S.money_text("market_cap")).otherwise("small")
-    return top.select("ticker", place.alias("place"), F.format_string("%.2f", "total_score").alias("score"), cap.alias("market_cap"))
+    return top.select("ticker", "place", fixed_text("total_score", 2).alias("score"), cap.alias("market_cap"))
 
 
 # --- names --------------------------------------------------------------------------------
@@ -67,7 +82,7 @@ def match_awards(awards: DataFrame, companies: DataFrame, least: float = 0.45) -
     joined = joined.withColumn("__score", S.match_score(F.col("__own"), F.coalesce("__tokens", F.array().cast("array<string>"))))
     nameless = F.size("__own") == 0
     kept = joined.filter(nameless | (F.col("__score") >= least))
-    return kept.withColumn("recipient_match_score", F.when(~nameless, F.round("__score", 3))).drop("__own", "__tokens", "__score")
+    return kept.withColumn("recipient_match_score", F.when(~nameless, round_even("__score", 3))).drop("__own", "__tokens", "__score")
 
 
 def issuer_matches(issuers: DataFrame, companies: DataFrame) -> DataFrame:

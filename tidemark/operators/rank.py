@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numeric import round_even
 from tidemark.operators.merge import latest_per_key
 
 SCORE_ORDER = ("scored_at", "run_id")
@@ -56,10 +57,11 @@ def top_per_sector(latest: DataFrame, per_sector: int = 5, min_score: float = 0,
     The rank filter is planned as a group limit before the exchange, so a sector with a third
     of all rows sends k rows per task.
     """
-    k = max(1, min(10, int(per_sector)))
+    if per_sector < 1:
+        raise ValueError("per_sector must be at least 1")
     w = Window.partitionBy("sector_group").orderBy(*by_score())
     ranked = latest.filter(rank_filter(min_score, query, sector)).withColumn("sector_rank", F.row_number().over(w))
-    return ranked if query.strip() else ranked.filter(F.col("sector_rank") <= k)
+    return ranked if query.strip() else ranked.filter(F.col("sector_rank") <= per_sector)
 
 
 def sector_rollup(latest: DataFrame) -> DataFrame:
@@ -68,15 +70,13 @@ def sector_rollup(latest: DataFrame) -> DataFrame:
     )
 
 
-def grouped_by_sector(ranked: DataFrame) -> DataFrame:
-    """Candidates of an already limited report as a nested list per sector, best sector first."""
-    item = F.struct((-F.col("total_score")).alias("k"), "ticker", "total_score")
-    out = ranked.groupBy(F.col("sector_group").alias("sector")).agg(
-        F.count(F.lit(1)).alias("candidate_count"),
-        F.max("total_score").alias("best_score"),
-        F.array_sort(F.collect_list(item)).alias("__items"),
-    )
-    return out.withColumn("candidates", F.transform("__items", lambda x: x["ticker"])).drop("__items")
+def grouped_by_sector(latest: DataFrame, listed: int = 100) -> DataFrame:
+    """Count and best score of every sector over all candidates; the ``listed`` best of all are named in theirs, best first."""
+    item = F.struct((-F.col("total_score")).alias("k"), "ticker")
+    named = ranked_scores(latest, limit=listed).groupBy(F.col("sector_group").alias("sector")).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    out = sector_rollup(latest).join(named.withColumnRenamed("sector", "__sector"), F.col("sector").eqNullSafe(F.col("__sector")), "left")
+    names = F.coalesce(F.transform("__items", lambda x: x["ticker"]), F.array().cast("array<string>"))
+    return out.withColumn("candidates", names).drop("__items", "__sector")
 
 
 def search_scores(latest: DataFrame, query: str, limit: int = 50) -> DataFrame:
@@ -87,7 +87,8 @@ def search_scores(latest: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """
     q = query.strip()
     low = q.lower()
-    limit = max(1, min(100, int(limit)))
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be from 1 to 100: that many hits are sent to every task")
     fields = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("ticker", "code", "name")}
     hit = F.lit(False)
     for f in fields.values():
@@ -134,10 +135,11 @@ def timeline(items: DataFrame, min_importance: float = 0, dimension: str | None
     return unique.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
 
 
-def latest_items(items: DataFrame, limit: int = 200) -> DataFrame:
-    """The ``limit`` latest items per ticker by event date, then creation."""
+def latest_items(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items numbered per ticker by event date, then creation; the ``limit`` latest if that is given."""
     w = Window.partitionBy("ticker").orderBy(F.desc_nulls_last("event_date"), F.desc("created_at"), F.desc("item_id"))
-    return items.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    placed = items.withColumn("place", F.row_number().over(w))
+    return placed if limit is None else placed.filter(F.col("place") <= limit)
 
 
 def latest_in_dimension(items: DataFrame, dimension: str) -> DataFrame:
@@ -224,4 +226,4 @@ def run_progress(runs: DataFrame, counts: DataFrame, registry: Column) -> DataFr
     )
     share = F.coalesce(F.try_divide(F.col("completed_slots") * 100.0, F.col("expected_slots")), F.lit(0.0))
     share = F.when(F.col("status") == "DONE", F.greatest(share, F.lit(100.0))).otherwise(share)
-    return out.withColumn("percent", F.round(F.least(share, F.lit(100.0)), 1))
+    return out.withColumn("percent", round_even(F.least(share, F.lit(100.0)), 1))

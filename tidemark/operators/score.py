@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.functions.numeric import div
+from tidemark.functions.numeric import div, round_even
 from tidemark.operators.rank import latest_items
 
 # Points taken off per missing dimension.
@@ -198,13 +198,13 @@ def grade(total: Column) -> Column:
     return F.when(total >= 80, "A").when(total >= 65, "B").when(total >= 45, "C").otherwise("D")
 
 
-def score_items(items: DataFrame, limit: int = 200) -> DataFrame:
-    """Score of every ticker from its ``limit`` latest items."""
+def score_items(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Score of every ticker from all its items, or its ``limit`` latest."""
     recent = latest_items(items, limit)
     df = component_scores(item_coverage(recent).join(latest_metrics(recent), "ticker", "left"))
     df = df.withColumn("missing_dimensions", missing_dimensions())
     gross = sum((F.col(c) for c in COMPONENTS), F.lit(0.0))
     df = df.withColumn("__total", clip(gross - penalty(F.col("missing_dimensions")), 0, 100))
-    df = df.withColumns({"grade": grade(F.col("__total")), "total_score": F.round("__total", 2)})
+    df = df.withColumns({"grade": grade(F.col("__total")), "total_score": round_even("__total", 2)})
     df = df.withColumn("explanation", explanation())
-    return df.withColumns({c: F.round(c, 2) for c in COMPONENTS}).drop("__total")
+    return df.withColumns({c: round_even(c, 2) for c in COMPONENTS}).drop("__total")

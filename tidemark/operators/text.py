@@ -88,8 +88,8 @@ def snippets(text: Column | str, terms: Sequence[str] = ORDER_TERMS, radius: int
     return F.transform(kept, lambda s: around(t, s["s"], s["e"], radius))
 
 
-def amounts(text: Column | str, max_items: int = 8, least: float = 100_000, radius: int = 160) -> Column:
-    """Money amounts near a term, in pattern order: value, number, unit and context."""
+def amounts(text: Column | str, max_items: int | None = None, least: float = 100_000, radius: int = 160) -> Column:
+    """Money amounts near a term, in pattern order: value, number, unit and context; the first ``max_items`` if that is given."""
     t = col(text)
 
     def item(s: Column) -> Column:
@@ -99,7 +99,7 @@ def amounts(text: Column | str, max_items: int = 8, least: float = 100_000, radi
         )
 
     found = F.filter(F.transform(match_spans(t, AMOUNT_PATTERNS), item), lambda a: a["value"] >= least)
-    return F.slice(found, 1, max_items)
+    return found if max_items is None else F.slice(found, 1, max_items)
 
 
 def search_text(text: Column | str, snips: Column) -> Column:
@@ -136,7 +136,7 @@ def ownership_percents(text: Column | str, radius: int = 120) -> Column:
     return F.sort_array(F.array_distinct(found), False)
 
 
-def ownership_section(text: Column | str, span: int = 18_000, least: int = 1_200) -> Column:
+def ownership_section(text: Column | str, span: int | None = None, least: int = 1_200) -> Column:
     """From the earliest anchor, cut at the first end marker that comes after ``least`` characters; blank without anchor."""
 
     def cut(section: Column, low: Column) -> Column:
@@ -147,14 +147,14 @@ def ownership_section(text: Column | str, span: int = 18_000, least: int = 1_200
         return F.least(*[F.nullif(F.locate(a, low), F.lit(0)) for a in SECTION_ANCHORS])
 
     def section_from(t: Column) -> Column:
-        section = F.substring(t, let(F.lower(t), first_anchor), F.lit(span))
+        section = F.substring(t, let(F.lower(t), first_anchor), F.length(t) if span is None else F.lit(span))
         return let(section, lambda s: let(F.lower(s), lambda low: cut(s, low)))
 
     return F.coalesce(let(col(text), section_from), F.lit(""))
 
 
-def ownership_rows(section: Column | str, limit: int = 25) -> Column:
-    """Ownership sentences of a section with their largest percentage, at most ``limit``."""
+def ownership_rows(section: Column | str, limit: int | None = None) -> Column:
+    """Ownership sentences of a section with their largest percentage; the first ``limit`` if that is given."""
     sentences = F.split(col(section), r"(?<=[.%])\s+")
 
     def named(low: Column, words: Sequence[str]) -> Column:
@@ -166,7 +166,7 @@ def ownership_rows(section: Column | str, limit: int = 25) -> Column:
 
     rows = F.transform(F.filter(sentences, lambda s: let(F.lower(s), lambda low: named(low, OWNERSHIP_WORDS) & ~named(low, OTHER_WORDS))), row)
     good = F.filter(rows, lambda r: (r["percent"] > 0) & (r["percent"] <= 1) & F.length(r["text"]).between(15, 600))
-    return F.transform(F.slice(good, 1, limit), lambda r: F.struct(F.substring(r["text"], 1, 220).alias("name_or_context"), r["percent"].alias("percent")))
+    return F.transform(good if limit is None else F.slice(good, 1, limit), lambda r: F.struct(F.substring(r["text"], 1, 220).alias("name_or_context"), r["percent"].alias("percent")))
 
 
 def group_percent(section: Column | str) -> Column:
@@ -180,7 +180,7 @@ def group_percent(section: Column | str) -> Column:
     return let(col(section), largest)
 
 
-def highlights(text: Column | str, terms: Sequence[str] = PAGE_TERMS, radius: int = 180, max_snippets: int = 10) -> Column:
+def highlights(text: Column | str, terms: Sequence[str] = PAGE_TERMS, radius: int = 180, max_snippets: int | None = None) -> Column:
     """First passage of each term in term order; repeated passages count once."""
     none = F.array().cast("array<struct<term:string,at:int,snippet:string>>")
 
@@ -196,7 +196,8 @@ def highlights(text: Column | str, terms: Sequence[str] = PAGE_TERMS, radius: in
 
     def step(acc: Column, h: Column) -> Column:
         seen = F.exists(acc, lambda k: F.lower(k["snippet"]) == F.lower(h["snippet"]))
-        return F.when((F.size(acc) < max_snippets) & ~seen, F.concat(acc, F.array(h))).otherwise(acc)
+        room = F.lit(True) if max_snippets is None else F.size(acc) < max_snippets
+        return F.when(room & ~seen, F.concat(acc, F.array(h))).otherwise(acc)
 
     kept = F.aggregate(found, none, step)
     return F.transform(kept, lambda h: F.struct(h["term"].alias("term"), h["snippet"].alias("snippet")))

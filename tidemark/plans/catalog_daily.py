@@ -73,13 +73,13 @@ def _(spark, d):
     return D.daily_indicators(days(spark, d)).select("symbol", F.col("session_date").cast("string"), D.regime().alias("regime"))
 
 
-BIAS_SQL = """CASE WHEN regime = 'Uptrend' AND macd_hist >= macd_hist_prev AND coalesce(nullif(rsi14, 0), 50) < 75 THEN 'Bullish, avoid chasing hot gaps'
-  WHEN regime = 'Downtrend' AND macd_hist <= macd_hist_prev THEN 'Bearish, treat rebounds as repairs first'
-  WHEN regime = 'Range' AND (coalesce(nullif(rsi14, 0), 50) > 65 OR coalesce(nullif(kdj_k, 0), 50) > 80) THEN 'Range high, poor chase setup'
-  WHEN regime = 'Range' AND (coalesce(nullif(rsi14, 0), 50) < 40 OR coalesce(nullif(kdj_k, 0), 50) < 25) THEN 'Range low, wait for stabilization'
-  WHEN regime = 'Range' THEN 'Neutral range, wait for open-range break'
-  WHEN macd_hist > macd_hist_prev AND coalesce(nullif(kdj_k, 0), 50) > coalesce(nullif(kdj_d, 0), 50) THEN 'Turning stronger, price confirmation needed'
-  ELSE 'Turning weaker, control exposure first' END"""
+BIAS_SQL = """CASE WHEN regime = 'Uptrend' AND macd_hist >= macd_hist_prev AND coalesce(nullif(rsi14, 0), 50) < 75 THEN 'long_trend'
+  WHEN regime = 'Downtrend' AND macd_hist <= macd_hist_prev THEN 'short_trend'
+  WHEN regime = 'Range' AND (coalesce(nullif(rsi14, 0), 50) > 65 OR coalesce(nullif(kdj_k, 0), 50) > 80) THEN 'range_top'
+  WHEN regime = 'Range' AND (coalesce(nullif(rsi14, 0), 50) < 40 OR coalesce(nullif(kdj_k, 0), 50) < 25) THEN 'range_bottom'
+  WHEN regime = 'Range' THEN 'range_middle'
+  WHEN macd_hist > macd_hist_prev AND coalesce(nullif(kdj_k, 0), 50) > coalesce(nullif(kdj_d, 0), 50) THEN 'turning_up'
+  ELSE 'turning_down' END"""
 
 
 @query("f03_directional_bias", f"WITH {IND_SQL} SELECT symbol, CAST(session_date AS VARCHAR) AS session_date, {BIAS_SQL} AS bias FROM reg")
@@ -116,11 +116,11 @@ def _(spark, d):
 
 @query(
     "f06_price_trend",
-    f"""WITH {SAMPLE_SQL} SELECT symbol, count(*) AS point_count, {r('arg_min(close, session_date)', 'first_close')}, {r('arg_max(close, session_date)', 'latest_close')}, {r('min(close)', 'min_close')},
-    {r('max(close)', 'max_close')}, {r('(arg_max(close, session_date) - arg_min(close, session_date)) / abs(arg_min(close, session_date))', 'total_return')} FROM smp GROUP BY symbol""",
+    f"""WITH {daily_cte()} SELECT symbol, count(*) AS point_count, {r('arg_min(close, session_date)', 'first_close')}, {r('arg_max(close, session_date)', 'latest_close')}, {r('min(close)', 'min_close')},
+    {r('max(close)', 'max_close')}, {r('(arg_max(close, session_date) - arg_min(close, session_date)) / abs(arg_min(close, session_date))', 'total_return')} FROM days GROUP BY symbol""",
 )
 def _(spark, d):
-    out = D.price_trend(days(spark, d), 100)
+    out = D.price_trend(days(spark, d))
     return out.select("symbol", "point_count", *[rnd(c).alias(c) for c in ("first_close", "latest_close", "min_close", "max_close", "total_return")])
 
 

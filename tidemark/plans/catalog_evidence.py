@@ -12,7 +12,7 @@ from tidemark.operators import score as SC
 from tidemark.operators import text as TX
 from tidemark.plans.catalog_scalars import AWARDS_SQL, awards, issuer_sql, part_companies, sql_list
 from tidemark.plans.registry import query
-from tidemark.plans.sqltext import r
+from tidemark.plans.sqltext import binary, r
 from tidemark.sources import filings as FI
 from tidemark.sources import pages as PG
 from tidemark.sources.tables import table
@@ -231,7 +231,7 @@ def _(spark, d):
 
 @query(
     "g10_holdings_rollup",
-    f"""WITH h AS (SELECT p_brand AS manager, p_name || ' ' || p_type || ' Corp' AS issuer, p_retailprice * 1000 AS v, p_size AS s FROM part WHERE CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) < 8),
+    f"""WITH h AS (SELECT p_brand AS manager, p_name || ' ' || p_type || ' Corp' AS issuer, p_retailprice * 1000 AS v, p_size AS s FROM part),
     it AS (SELECT issuer, list_distinct({issuer_sql('issuer')}) AS t FROM (SELECT DISTINCT issuer FROM h)),
     c AS (SELECT 'P' || p_partkey AS ticker, list_distinct({issuer_sql("p_name || ' ' || p_type || ' Inc'")}) AS t FROM part),
     m AS (SELECT issuer, ticker FROM it, c WHERE len(list_intersect(c.t, it.t)) >= least(2, greatest(1, len(c.t))))
@@ -652,7 +652,7 @@ ALL_METRICS = [m for ms in EV_SQL.values() for m in ms]
 def _(spark, d):
     from tidemark.operators.rank import latest_items
 
-    m = SC.latest_metrics(latest_items(evidence_items(spark, d), 200))
+    m = SC.latest_metrics(latest_items(evidence_items(spark, d)))
     return m.select("ticker", *[rnd(SC.num(x), 4).alias(x) for x in ALL_METRICS])
 
 
@@ -688,7 +688,7 @@ ms AS (SELECT *, list_filter(md, lambda x: x IS NOT NULL) AS missing, coalesce(l
 tt AS (SELECT *, greatest(0, least(100, eligibility + valuation + growth_quality + order_quality + ownership_alignment + financial_quality + attention_flow + information_quality - pen)) AS total FROM ms)"""
 
 
-@query("g12_component_scores", f"WITH {SCORE_SQL} SELECT ticker, {', '.join(r(c, c, 2) for c in SC.COMPONENTS)} FROM tt")
+@query("g12_component_scores", f"WITH {SCORE_SQL} SELECT ticker, {', '.join(binary(c, c, 2) for c in SC.COMPONENTS)} FROM tt")
 def _(spark, d):
     out = SC.score_items(evidence_items(spark, d))
     return out.select("ticker", *[rnd(c, 2).alias(c) for c in SC.COMPONENTS])
@@ -700,15 +700,15 @@ def _(spark, d):
     return out.select("ticker", F.array_join("missing_dimensions", ",").alias("missing"), SC.penalty(F.col("missing_dimensions")).cast("bigint").alias("penalty"))
 
 
-@query("g14_total_and_grade", f"WITH {SCORE_SQL} SELECT ticker, {r('total', 'total_score', 2)}, CASE WHEN total >= 80 THEN 'A' WHEN total >= 65 THEN 'B' WHEN total >= 45 THEN 'C' ELSE 'D' END AS grade FROM tt")
+@query("g14_total_and_grade", f"WITH {SCORE_SQL} SELECT ticker, {binary('total', 'total_score', 2)}, CASE WHEN total >= 80 THEN 'A' WHEN total >= 65 THEN 'B' WHEN total >= 45 THEN 'C' ELSE 'D' END AS grade FROM tt")
 def _(spark, d):
     return SC.score_items(evidence_items(spark, d)).select("ticker", rnd("total_score", 2).alias("total_score"), "grade")
 
 
 @query(
     "g15_ranked_scores",
-    f"WITH {SCORE_SQL} SELECT ticker, {r('total', 'total_score', 2)}, CAST(len(missing) AS BIGINT) AS missing_count FROM tt ORDER BY round(total, 2) DESC, ticker LIMIT 50",
+    f"WITH {SCORE_SQL} SELECT ticker, {binary('total', 'total_score', 2)}, CAST(len(missing) AS BIGINT) AS missing_count FROM tt",
 )
 def _(spark, d):
-    out = SC.score_items(evidence_items(spark, d)).orderBy(F.desc("total_score"), "ticker").limit(50)
+    out = SC.score_items(evidence_items(spark, d)).orderBy(F.desc("total_score"), "ticker")
     return out.select("ticker", rnd("total_score", 2).alias("total_score"), F.size("missing_dimensions").cast("bigint").alias("missing_count"))

@@ -301,12 +301,12 @@ def _(spark, d):
 
 @query(
     "b09_export_screen",
-    """SELECT 'C' || c_custkey AS ticker, round((c_acctbal - 2000) / 10007 * 100, 2) + 0.0 AS quarterly_revenue_yoy_pct, c_mktsegment || '; ' || c_nationkey AS tags FROM customer""",
+    """SELECT 'C' || c_custkey AS ticker, CAST(printf('%.2f', (c_acctbal - 2000) / 10000 * 100) AS DOUBLE) + 0.0 AS quarterly_revenue_yoy_pct, c_mktsegment || '; ' || c_nationkey AS tags FROM customer""",
 )
 def _(spark, d):
     path = out_path(spark, "screen")
     c = table(spark, d, "customer").select(
-        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"), ((F.col("c_acctbal") - 2000) / 10007).alias("quarterly_revenue_yoy"), F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("tags")
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"), ((F.col("c_acctbal") - 2000) / 10000).alias("quarterly_revenue_yoy"), F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("tags")
     )
     RD.write_screen(c, path)
     back = spark.read.option("header", True).schema("ticker string, tags string, quarterly_revenue_yoy_pct double").csv(f"{path}/csv")

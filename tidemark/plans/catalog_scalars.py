@@ -162,12 +162,12 @@ def _(spark, d):
 
 @query(
     "c10_money_text",
-    """SELECT c_custkey, CASE WHEN abs(c_acctbal * 1000013.7) >= 1e9 THEN printf('$%.2fB', c_acctbal * 1000013.7 / 1e9) WHEN abs(c_acctbal * 1000013.7) >= 1e6 THEN printf('$%.1fM', c_acctbal * 1000013.7 / 1e6)
-    ELSE '$' || format('{:,}', CAST(round(c_acctbal * 1000013.7) AS BIGINT)) END AS cap_text, printf('%.1f%%', c_nationkey / 7.0 * 100) AS pct_text FROM customer""",
+    """SELECT c_custkey, CASE WHEN abs(c_acctbal * 1000000.0) >= 1e9 THEN printf('$%.2fB', c_acctbal * 1000000.0 / 1e9) WHEN abs(c_acctbal * 1000000.0) >= 1e6 THEN printf('$%.1fM', c_acctbal * 1000000.0 / 1e6)
+    ELSE '$' || format('{:,}', CAST(round_even(c_acctbal * 1000000.0, 0) AS BIGINT)) END AS cap_text, printf('%.1f%%', c_nationkey / 7.0 * 100) AS pct_text FROM customer""",
 )
 def _(spark, d):
     return table(spark, d, "customer").select(
-        "c_custkey", S.money_text(F.col("c_acctbal") * 1000013.7).alias("cap_text"), S.percent_text(F.col("c_nationkey") / 7).alias("pct_text")
+        "c_custkey", S.money_text(F.col("c_acctbal") * 1000000.0).alias("cap_text"), S.percent_text(F.col("c_nationkey") / 7).alias("pct_text")
     )
 
 

@@ -261,12 +261,13 @@ def _(spark, d):
 
 @query(
     "i05_candidates_by_sector",
-    f"""WITH {LATEST}, t AS (SELECT * FROM latest ORDER BY total_score DESC, scored_at DESC, ticker LIMIT 100)
-    SELECT sector_group AS sector, count(*) AS candidate_count, max(total_score) AS best_score,
-    string_agg(ticker, ',' ORDER BY total_score DESC, ticker) AS candidates FROM t GROUP BY 1""",
+    f"""WITH {LATEST}, t AS (SELECT sector_group, string_agg(ticker, ',' ORDER BY total_score DESC, ticker) AS names
+      FROM (SELECT * FROM latest ORDER BY total_score DESC, scored_at DESC, ticker LIMIT 100) GROUP BY 1),
+    a AS (SELECT sector_group, count(*) AS candidate_count, max(total_score) AS best_score FROM latest GROUP BY 1)
+    SELECT a.sector_group AS sector, candidate_count, best_score, coalesce(names, '') AS candidates FROM a LEFT JOIN t USING (sector_group)""",
 )
 def _(spark, d):
-    return R.grouped_by_sector(R.ranked_scores(latest(spark, d))).withColumn("candidates", F.array_join("candidates", ","))
+    return R.grouped_by_sector(latest(spark, d)).withColumn("candidates", F.array_join("candidates", ","))
 
 
 @query(
@@ -427,10 +428,10 @@ def _(spark, d):
       printf('%.2f', total_score) AS score,
       CASE WHEN abs(balance * 1e6) >= 1e9 THEN printf('$%.2fB', balance * 1e6 / 1e9) WHEN abs(balance * 1e6) >= 1e6 THEN printf('$%.1fM', balance * 1e6 / 1e6)
         ELSE 'small' END AS market_cap
-    FROM latest JOIN companies USING (ticker) ORDER BY total_score DESC, ticker LIMIT 200""",
+    FROM latest JOIN companies USING (ticker)""",
 )
 def _(spark, d):
-    return J.screen_report(latest(spark, d).withColumn("market_cap", F.col("balance") * 1e6), 200)
+    return J.screen_report(latest(spark, d).withColumn("market_cap", F.col("balance") * 1e6))
 
 
 # --- symbol lists -------------------------------------------------------------------------

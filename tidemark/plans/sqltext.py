@@ -51,6 +51,11 @@ def gap_ewm_sql(x: str, alpha: str, window: str, seed: str | None = None) -> str
     return f"(list_reduce(list_concat([{first}], {rows}), lambda a, b: {step})).v"
 
 
+def binary(expr: str, alias: str, digits: int) -> str:
+    """Double rounded on its binary value, without a negative zero."""
+    return f"CAST(printf('%.{digits}f', CAST({expr} AS DOUBLE)) AS DOUBLE) + 0.0 AS {alias}"
+
+
 def r(expr: str, alias: str, digits: int = 6) -> str:
     """Rounded double with an alias and without a negative zero."""
     return f"CASE WHEN round({expr}, {digits}) = 0 THEN 0.0 ELSE round({expr}, {digits}) END AS {alias}"

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.numeric import round_even
+
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Bar files of many symbols; CSV has a header, and values stay text until they are normalised."""
@@ -35,7 +37,7 @@ def write_screen(results: DataFrame, path: str) -> None:
             flat = flat.withColumn(f.name, F.array_join(f.name, "; "))
     for c in ("institutional_ownership", "insider_ownership", "quarterly_revenue_yoy"):
         if c in flat.columns:
-            flat = flat.withColumn(f"{c}_pct", F.round(F.col(c) * 100, 2)).drop(c)
+            flat = flat.withColumn(f"{c}_pct", round_even(F.col(c) * 100, 2)).drop(c)
     flat.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     results.write.mode("overwrite").json(f"{path}/json")
 
