@@ -76,9 +76,8 @@ def match_awards(awards: DataFrame, companies: DataFrame, least: float = 0.45) -
     token score; a company without usable tokens keeps all its awards.
     """
     names = companies.select("ticker", S.company_tokens("name").alias("__own"))
-    # recipients repeat, so their tokens are made once per distinct name
-    recipients = awards.select("recipient_name").distinct().withColumn("__tokens", S.company_tokens("recipient_name"))
-    joined = awards.join(names, "ticker").join(recipients, "recipient_name", "left")
+    # tokens are made in the row: a join on the recipient would meet in a few tasks where one recipient is common
+    joined = awards.join(names, "ticker").withColumn("__tokens", S.company_tokens("recipient_name"))
     joined = joined.withColumn("__score", S.match_score(F.col("__own"), F.coalesce("__tokens", F.array().cast("array<string>"))))
     nameless = F.size("__own") == 0
     kept = joined.filter(nameless | (F.col("__score") >= least))

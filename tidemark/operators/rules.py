@@ -44,6 +44,8 @@ HIGH_QUANTILES = (0.7, 0.8, 0.9)
 
 # Exit grid, nested in this order.
 EXIT_GRID = list(itertools.product((0.01, 0.015, 0.02), (0.006, 0.008, 0.01), (5, 8, 12), (2, 4), (2, 3)))
+#: Longest hold of a frozen rule, in bars; the path that a bar carries is as long.
+LONGEST_HOLD = 20
 
 
 # --- conditions ---------------------------------------------------------------------------
@@ -325,9 +327,17 @@ def tune_exits(features: DataFrame, specs: DataFrame, names: Sequence[str] = MIN
     bars = bars.select(*SESSION, "bar_index", "is_train", "rank", "sessions", feature_array(names), "path")
     signals = materialise(rule_signals(bars, specs.select("symbol", "rule_id", "direction", "conds")), "rule-signals")
 
-    grid = signals.filter("is_train").withColumn("ex", F.explode(grid_literal(cost))).withColumn("grid", F.col("ex.grid"))
+    # the exit depends on target, stop and hold only: each is worked out once on the path, and narrow rows are exploded
+    plans = list(dict.fromkeys((t, s, h) for t, s, h, _, _ in EXIT_GRID))
+    exits = F.transform(
+        F.array(*[F.struct(F.lit(t).alias("target"), F.lit(s).alias("stop"), F.lit(h).alias("hold")) for t, s, h in plans]),
+        lambda g: E.exit_of(F.col("direction"), g["target"], g["stop"], g["hold"], F.lit(cost)),
+    )
+    which = F.array(*[F.struct(F.lit(i).alias("grid"), F.lit(plans.index((t, s, h)) + 1).alias("exit"), F.lit(c).alias("cooldown"), F.lit(k).alias("cap")) for i, (t, s, h, c, k) in enumerate(EXIT_GRID)])
+    grid = signals.filter("is_train").select(*SESSION, "bar_index", "rule_id", exits.alias("exits"))
+    grid = grid.withColumn("g", F.explode(which)).select(*SESSION, "bar_index", "rule_id", "g.grid", F.element_at("exits", F.col("g.exit")).alias("x"), "g.cooldown", "g.cap")
     keys = ["symbol", "rule_id", "grid"]
-    scored = E.trade_metrics(execute(grid, ["rule_id", "grid"]), keys).filter(F.col("trades") >= min_trades)
+    scored = E.trade_metrics(E.non_overlapping(grid, ["rule_id", "grid"]), keys).filter(F.col("trades") >= min_trades)
     best = scored.withColumn("score", execution_score()).groupBy("symbol", "rule_id").agg(
         F.max_by(F.struct("grid", "score", *E.METRICS), F.struct(F.round("score", 9).alias("s"), (-F.col("grid")).alias("g"))).alias("b")
     )
@@ -403,6 +413,9 @@ def tune_mined(features: DataFrame, mined: DataFrame, names: Sequence[str] = MIN
 def fixed_rules(spark: SparkSession, symbols: DataFrame, rules: Sequence[dict], names: Sequence[str] = MINING_FEATURES) -> DataFrame:
     """Configured rules applied to every symbol: ``id, direction, conditions [(feature, op, threshold)]`` and exits."""
 
+    if any(int(r.get("hold", 7)) > LONGEST_HOLD for r in rules):
+        raise ValueError(f"a rule holds longer than {LONGEST_HOLD} bars")
+
     def literal(k: int, r: dict) -> Column:
         conds = F.array(
             *[
@@ -424,10 +437,9 @@ def fixed_rules(spark: SparkSession, symbols: DataFrame, rules: Sequence[dict],
 
 
 def fixed_trades(features: DataFrame, rules: DataFrame, names: Sequence[str] = MINING_FEATURES, block_sessions: int = 20) -> DataFrame:
-    """Trades of frozen rules with the block of their session."""
+    """Trades of frozen rules (holds of ``LONGEST_HOLD`` bars at most) with the block of their session."""
     days = E.session_ranks(features).withColumn("block", E.block_id(max(1, block_sessions), max(5, block_sessions // 2)))
-    longest = rules.agg(F.max("ex.hold")).first()[0] or 0
-    bars = E.with_path(features, longest).filter(E.tradable()).join(days, list(SESSION))
+    bars = E.with_path(features, LONGEST_HOLD).filter(E.tradable()).join(days, list(SESSION))
     bars = bars.select(*SESSION, "bar_index", "block", feature_array(names), "path")
     signals = rule_signals(bars, rules).join(rules.select("symbol", "rule_id", "ex"), ["symbol", "rule_id"])
     return execute(signals, ["rule_id", "block"])

@@ -59,7 +59,7 @@ def _(spark, d):
 
 @query(
     "b02_observation_ingest",
-    f"""WITH {OBS}, h AS (SELECT *, sha256(concat(ticker, chr(0), source_key, chr(0), observation_type, chr(0))) AS raw_hash FROM obs),
+    f"""WITH {OBS}, h AS (SELECT *, sha256(concat(ticker, chr(0), source_key, chr(0), observation_type, chr(0), coalesce(title, ''), chr(0), coalesce(source_url, ''), chr(0))) AS raw_hash FROM obs),
     m AS (SELECT ticker, source_key, observation_type, raw_hash, mkey, last(mval ORDER BY fetched_at, run_id) AS mval FROM h GROUP BY ALL),
     mm AS (SELECT ticker, source_key, observation_type, raw_hash, string_agg(mkey || '=' || mval, ',' ORDER BY mkey) AS metadata FROM m GROUP BY ALL)
     SELECT h.ticker, h.source_key, h.observation_type, h.raw_hash, first(title ORDER BY fetched_at, run_id, title, source_url) AS title,
@@ -68,7 +68,7 @@ def _(spark, d):
     FROM h JOIN mm USING (ticker, source_key, observation_type, raw_hash) GROUP BY ALL""",
 )
 def _(spark, d):
-    obs = T.observations(spark, d).withColumn("raw_hash", M.stable_hash("ticker", "source_key", "observation_type"))
+    obs = T.observations(spark, d).withColumn("raw_hash", M.stable_hash("ticker", "source_key", "observation_type", "title", "source_url"))
     out = M.merge_observations(obs)
     pairs = F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return out.withColumn("metadata", F.array_join(F.array_sort(pairs), ",")).withColumn("fetched_at", F.to_date("fetched_at").cast("string"))
@@ -117,12 +117,11 @@ def _(spark, d):
 
 @query(
     "b05_score_upsert",
-    f"""WITH {SCORES} SELECT ticker, model_version, last(total_score ORDER BY scored_at, run_id) AS total_score,
-    last(run_id ORDER BY scored_at, run_id) AS run_id FROM scores GROUP BY ticker, model_version""",
+    f"""WITH {SCORES} SELECT run_id, ticker, model_version, last(total_score ORDER BY scored_at) AS total_score FROM scores GROUP BY run_id, ticker, model_version""",
 )
 def _(spark, d):
     s = T.scores(spark, d)
-    return M.latest_per_key(s, ["ticker", "model_version"], ["scored_at", "run_id"]).select("ticker", "model_version", "total_score", "run_id")
+    return M.latest_per_key(s, ["run_id", "ticker", "model_version"], ["scored_at"]).select("run_id", "ticker", "model_version", "total_score")
 
 
 EVENT_ROWS = """ev AS (SELECT 'C' || o_custkey AS ticker, o_orderpriority AS title, o_orderstatus AS source_key, '' AS source_url,
