@@ -49,9 +49,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(docs.select("doc_id", "source", "text"), model)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return pieces.decode(encoded, model).select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    encoded = pieces.encode(docs.select("doc_id", "source", "text"), model, check="round_trip")
+    return encoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [

@@ -29,7 +29,7 @@ MARK = "▁"
 #: Bytes of text whose words are encoded together.
 CHUNK = 4_000_000
 #: Ids decoded together.
-DECODED = 500_000
+DECODED = 250_000
 
 
 class Model:
@@ -186,7 +186,7 @@ def encode_word(model: Model, word: str, blanks: int = 1) -> list[int]:
 
 
 #: Distinct words that a worker remembers; it starts anew when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def _packed(model: Model, word: str, blanks: int = 1) -> bytes:
@@ -241,9 +241,9 @@ def encode_column(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray
 
 def decode_flat(ids: np.ndarray, sizes: np.ndarray, model: Model) -> list[str]:
     """Texts of runs of ids; the blank that every text's first piece carries is taken off."""
-    raw = _gather(model.flat, model.first, model.sizes, ids).tobytes()
     ends = np.concatenate([[0], np.cumsum(model.sizes[ids])])
     cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
+    raw = b"".join(_gather(model.flat, model.first, model.sizes, ids[k : k + DECODED]).tobytes() for k in range(0, len(ids), DECODED))
     return [raw[a + 1 : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
@@ -257,25 +257,29 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", name: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", name: str = "ids", check: str | None = None) -> DataFrame:
     """``docs`` with the piece ids (array of int) of every whole text. No shuffle.
 
-    A null or empty text has no ids. Repeated rows get equal ids; a column that has the name is
-    replaced; an empty table stays empty.
+    With ``check`` a column of that name says whether the ids, decoded at once, give the text back. A null or empty
+    text has no ids. Repeated rows get equal ids; columns that have the names are replaced; an empty table stays empty.
     """
-    kept = docs.drop(name)
-    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    kept = docs.drop(name, *([check] if check else []))
+    fields = [T.StructField(name, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for whole in batches:
             for a, b in _slices(whole.column(whole.schema.get_field_index(text))):
                 batch = whole.slice(a, b - a)
-                ids, n = encode_column(batch.column(batch.schema.get_field_index(text)), model)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, name])
+                texts = batch.column(batch.schema.get_field_index(text))
+                ids, n = encode_column(texts, model)
+                added = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))]
+                if check:
+                    same = [x == (y or "") for x, y in zip(decode_flat(ids, n, model), texts.to_pylist())]
+                    added.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *[f.name for f in fields]])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
 def decode(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -288,14 +292,7 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "deco
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
             n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-            flat = np.asarray(lists.flatten())
-            ends = np.concatenate([[0], np.cumsum(n)])
-            texts: list[str] = []
-            a = 0
-            while a < len(n):
-                b = min(len(n), max(a + 1, int(np.searchsorted(ends, ends[a] + DECODED, "right")) - 1))
-                texts += decode_flat(flat[ends[a] : ends[b]], n[a:b], model)
-                a = b
+            texts = decode_flat(np.asarray(lists.flatten()), n, model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
     return kept.mapInArrow(run, schema)
