@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.session import materialise, shared_dir
 
-__all__ = ["connect_groups", "fresh_path", "join_components", "materialise", "mix64", "partitions_for", "ranged", "table", "text_arrays", "write_bytes"]
+__all__ = ["byte_slices", "connect_groups", "fresh_path", "join_components", "materialise", "mix64", "partitions_for", "ranged", "table", "text_arrays", "write_bytes"]
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -62,6 +63,16 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def byte_slices(column: pa.Array, most_bytes: int, most_rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges of a string column with at most so many bytes and rows, one row at least."""
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))])
+    a = 0
+    while a < len(column):
+        b = min(len(column), a + most_rows, max(a + 1, int(np.searchsorted(ends, ends[a] + most_bytes, "right")) - 1))
+        yield a, b
+        a = b
+
+
 def partitions_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -112,32 +123,56 @@ def join_components(ids: DataFrame, links: DataFrame, key: str, name: str) -> Da
     return ids.join(stars, key, "left").withColumn("component_id", F.coalesce("component_id", key))
 
 
-#: Components of a group whose smallest members are compared in one round.
-PIVOTS = 8
+#: Rounds with pivots, and components of a group that give one in a round.
+PIVOT_ROUNDS, PIVOTS = 2, 8
 
 
-def connect_groups(nodes: DataFrame, groups: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def connect_groups(
+    nodes: DataFrame,
+    groups: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    name: str,
+    rank: Callable[[str], Column] | None = None,
+    possible: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
     """Links (a, b) that connect whatever the pairs inside the groups connect.
 
-    ``nodes`` has ``k``, ``groups`` rows (h, k): every pair inside a group might link, and ``verify``
-    returns those of the pairs (a, b) that do. A group is not expanded into pairs: in each round the smallest
-    members of up to ``PIVOTS`` of its components are compared with the members outside their own component and
-    then leave the group; groups with one component left are done. So a pair is either compared or connected
-    already, and a group whose members are alike costs one comparison each.
+    ``nodes`` has ``k``, ``groups`` rows (h, k) and what else ``rank`` and ``possible`` need: every pair inside a
+    group that is ``possible`` (a condition on two aliases of ``groups``) might link, and ``verify`` returns
+    those of the pairs (a, b) that do.
+
+    A group is not expanded into pairs. In each of ``PIVOT_ROUNDS`` rounds, the best members (lowest ``rank``
+    of an alias, then smallest) of up to ``PIVOTS`` of its components are compared with the members outside their
+    component. A group of alike members is one component after that and is done. In what is left, the members outside
+    a group's largest component are compared with all members of other components. So every possible
+    pair is compared or connected, at a cost of the groups' sizes plus the exceptions.
     """
     spark = nodes.sparkSession
-    component = nodes.select("k", F.col("k").alias("component_id"))
+    rank = rank or (lambda alias: F.lit(0.0))
+    possible = possible or (lambda one, other: F.lit(True))
+    component = nodes.select("k", F.col("k").alias("component"))
     found = spark.createDataFrame([], "a long, b long")
-    while True:
-        here = groups.join(component, "k")
-        first = here.groupBy("h", "component_id").agg(F.min("k").alias("pivot"))
-        several = first.groupBy("h").agg(F.count(F.lit(1)).alias("components")).where("components > 1").select("h")
-        ranked = first.join(several, "h").withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("pivot"))).where(F.col("r") <= PIVOTS)
-        pivots = materialise(ranked.select("h", "pivot", F.col("component_id").alias("pc")), f"{name}-pivots")
-        if pivots.isEmpty():
+
+    def resolve(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = materialise(met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct(), f"{name}-pairs")
+        links = materialise(found.unionByName(verify(pairs)), f"{name}-links")
+        return links, join_components(nodes, links, "k", name).withColumnRenamed("component_id", "component")
+
+    for round_ in range(PIVOT_ROUNDS + 1):
+        here = materialise(groups.join(component, "k"), f"{name}-groups")
+        parts = here.alias("x").groupBy("h", "component").agg(F.min(F.struct(rank("x").alias("rank"), F.col("x.k").alias("k"))).alias("best"), F.count(F.lit(1)).alias("members"))
+        several = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component")).alias("most")).where("parts > 1").select("h", F.col("most.component").alias("most"))
+        several = materialise(several, f"{name}-open")
+        if several.isEmpty():
             return found
-        met = here.join(pivots, "h").where("component_id <> pc")
-        pairs = materialise(met.select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b")).distinct(), f"{name}-pairs")
-        groups = materialise(groups.join(pivots.select("h").distinct(), "h", "left_semi").join(pivots.select("h", F.col("pivot").alias("k")), ["h", "k"], "left_anti"), f"{name}-groups")
-        found = materialise(found.unionByName(verify(pairs)), f"{name}-links")
-        component = materialise(join_components(nodes, found, "k", name), f"{name}-components")
+        open_ = here.join(several, "h")
+        if round_ < PIVOT_ROUNDS:
+            order = F.row_number().over(W.partitionBy("h").orderBy("best"))
+            chosen = parts.join(several.select("h"), "h").withColumn("r", order).where(F.col("r") <= PIVOTS).select("h", F.col("best.k").alias("k"))
+            few = open_.join(chosen, ["h", "k"], "left_semi")
+        else:
+            few = open_.where("component <> most")
+        met = few.alias("x").join(open_.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y"))
+        found, component = resolve(met)
+        groups = open_.drop("component", "most")
+    return found

@@ -9,12 +9,12 @@ fragment is worked on apart, and what the fragments count is summed.
    threshold are done: they link with nothing. Equal sets are one class from here on.
 2. The classes that are left are dealt to fragments again, which now give every shingle's
    frequency. The rarest shingles of each class, one more than it may miss, are its prefix: two
-   linked classes have a prefix shingle in common.
+   linked classes have a prefix shingle in common, and from the first one on both have room for
+   the overlap that they need.
 3. Classes with a common prefix shingle are compared, by partial overlaps per fragment that are
-   summed per pair. A group is not expanded into pairs: its smallest class, and those of the
-   smallest classes of its other components, are compared with the members outside their component; what
-   is linked becomes one component, and the groups that still hold several components go on. Every pair that
-   could link is compared or already connected, so components are exact.
+   summed per pair. ``connect_groups`` compares the classes with the fewest lone shingles first, which
+   connects a group of near copies by one comparison each, and then only what is still apart.
+   Every pair that could link is compared or connected, so components are exact.
 """
 
 from __future__ import annotations
@@ -23,19 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connect_groups, join_components, materialise
+from tidemark.llm.common import byte_slices, connect_groups, join_components, materialise
 from tidemark.llm.shingles import set_digest, shingle_sets
 
 #: Shingles that a fragment should hold, and the fewest fragments.
 FRAGMENT_SHINGLES, FRAGMENTS = 6_000_000, 8
+#: Bytes of text in a block of documents, which has 4,096 documents at most.
+BLOCK_BYTES = 24_000_000
 #: Fragments in which the overlap of a pair is counted.
 OVERLAP_FRAGMENTS = 4
 
-_BLOCK = "fragment int, docs binary, known binary, one binary, two binary, sizes binary, counts binary, shingles binary"
+_BLOCK = "fragment int, block long, docs binary, known binary, two binary, sizes binary, here binary, one binary, counts binary, shingles binary"
 
 
 def _fragment_count(docs: DataFrame, text: str) -> int:
@@ -46,126 +50,124 @@ def _fragment_count(docs: DataFrame, text: str) -> int:
 
 
 def _deal(docs: DataFrame, key: str, text: str, width: int, fragments: int, short: bool) -> DataFrame:
-    """Blocks of shingles by fragment, for a batch of documents each.
+    """Shingles by fragment, a row for each block of documents.
 
-    ``counts`` says how many of the fragment's shingles each of the block's documents has. With ``short``
-    only 32 bits behind the fragment's own are kept, which is enough to bound what is shared.
+    ``here`` numbers the block's documents that have shingles in the fragment, ``one`` is their set's digest, ``counts``
+    their number of shingles in it. Fragment 0 names all documents and also carries what else is known of them.
+    With ``short`` only 32 bits behind the fragment's own are kept, which is enough to bound what is shared.
     """
     bits = np.uint64(64 - int(np.log2(fragments)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for first in range(0, whole.num_rows, 4096):
-                batch = whole.slice(first, 4096)
+            for first, last in byte_slices(whole.column(1), BLOCK_BYTES, 4096):
+                batch = whole.slice(first, last - first)
                 hashes, bounds = shingle_sets(batch.column(1), width)
                 n = batch.num_rows
-                ids = batch.column(0)
-                known = np.asarray(ids.is_valid().to_numpy(False), bool)
-                ids = ids.fill_null(0).to_numpy(False)
                 one, two = set_digest(hashes, bounds)
                 sizes = np.diff(bounds)
-                owner = np.repeat(np.arange(n), sizes)
                 fragment = (hashes >> bits).astype(np.int64)
                 order = np.argsort(fragment.astype(np.uint16) if fragments <= 1 << 16 else fragment, kind="stable")
-                per = np.bincount(fragment * n + owner, minlength=fragments * n).reshape(fragments, n)
+                per = np.bincount(fragment * n + np.repeat(np.arange(n), sizes), minlength=fragments * n).reshape(fragments, n)
                 ends = np.concatenate([[0], np.cumsum(per.sum(1))])
-                sorted_ = hashes[order]
+                dealt = hashes[order]
                 if short:
-                    sorted_ = ((sorted_ << (np.uint64(64) - bits)) >> np.uint64(32)).astype("<u4")
+                    dealt = ((dealt << (np.uint64(64) - bits)) >> np.uint64(32)).astype("<u4")
+                known = np.asarray(batch.column(0).is_valid().to_numpy(False), bool)
+                about = [batch.column(0).fill_null(0).to_numpy(False).astype("<i8"), known, two, sizes.astype("<i8")]
                 for f in range(fragments):
-                    here = np.flatnonzero(per[f]) if f else np.arange(n)  # fragment 0 also carries the documents
-                    if not len(here):
-                        continue
-                    row = [pa.array([f], pa.int32())] + [
-                        pa.array([x.tobytes()], pa.binary())
-                        for x in (ids[here].astype("<i8"), known[here], one[here], two[here], sizes[here].astype("<i8"), per[f][here].astype("<i4"), sorted_[ends[f] : ends[f + 1]])
-                    ]
-                    yield pa.RecordBatch.from_arrays(row, names=["fragment", "docs", "known", "one", "two", "sizes", "counts", "shingles"])
+                    here = np.flatnonzero(per[f]) if f else np.arange(n)
+                    if len(here):
+                        parts = [*(x if f == 0 else x[:0] for x in about), here.astype("<u2"), one[here], per[f][here].astype("<u4"), dealt[ends[f] : ends[f + 1]]]
+                        row = [pa.array([f], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)]
+                        yield pa.RecordBatch.from_arrays(row, names=["fragment", "block", "docs", "known", "two", "sizes", "here", "one", "counts", "shingles"])
+                block += 1
 
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, _BLOCK)
 
 
-def _joined(table: pa.Table, dtype: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Arrays of all blocks of a fragment: the documents' columns, each shingle's document, the shingles."""
-    column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    docs = [column("docs", "<i8"), column("known", bool), column("one", "<u8"), column("two", "<u8"), column("sizes", "<i8")]
-    counts = column("counts", "<i4")
-    return docs, np.repeat(np.arange(len(counts), dtype=np.int64), counts), column("shingles", dtype)
+def _all(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
 def _shared_counts(table: pa.Table) -> pa.Table:
-    """Of one fragment: each document's shingles that a document with another set holds too. Fragment 0 names all documents."""
-    (ids, known, one, two, sizes), owner, shingles = _joined(table, "<u4")
-    first = table.column("fragment")[0].as_py() == 0 if table.num_rows else False
-    packed = np.sort((shingles.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64))
+    """Of one fragment, by block: how many shingles of each document a document with another set holds too."""
+    one, shingles = _all(table, "one", "<u8"), _all(table, "shingles", "<u4")
+    owner = np.repeat(np.arange(len(one), dtype=np.uint64), _all(table, "counts", "<u4"))
+    packed = np.sort((shingles.astype(np.uint64) << np.uint64(32)) | owner)
     value, doc = packed >> np.uint64(32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    total = np.zeros(len(ids), np.int64)
+    total = np.zeros(len(one), np.int64)
     if len(value):
         starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         set_of = one[doc]
         shared = np.minimum.reduceat(set_of, starts) != np.maximum.reduceat(set_of, starts)
-        total = np.bincount(doc, np.repeat(shared, np.diff(np.append(starts, len(value)))), len(ids)).astype(np.int64)
-    keep = np.ones(len(ids), bool) if first else total > 0
-    return pa.table(
-        {
-            "k": pa.array(ids[keep], mask=~known[keep]),
-            "one": one[keep].astype(np.int64),
-            "two": two[keep].astype(np.int64),
-            "n_shingles": sizes[keep],
-            "shared": total[keep],
-            "copies": np.full(int(keep.sum()), int(first), np.int64),
-        }
-    )
+        total = np.bincount(doc, np.repeat(shared, np.diff(np.append(starts, len(value)))), len(one)).astype(np.int64)
+    ends = np.cumsum([len(x) // 2 for x in table.column("here").to_pylist()])
+    counts = [total[a:b].astype("<u4").tobytes() for a, b in zip([0, *ends[:-1]], ends)]
+    return table.drop_columns(["counts", "shingles"]).append_column("shared", pa.array(counts, pa.binary()))
+
+
+def _block_documents(table: pa.Table) -> pa.Table:
+    """A block's documents with their shared shingles summed over the fragments."""
+    about = table.filter(pc.equal(table.column("fragment"), 0))
+    sizes = _all(about, "sizes", "<i8")
+    shared = np.zeros(len(sizes), np.int64)
+    for here, counts in zip(table.column("here").to_pylist(), table.column("shared").to_pylist()):
+        shared[np.frombuffer(here, "<u2")] += np.frombuffer(counts, "<u4")
+    keys = pa.array(_all(about, "docs", "<i8"), mask=~_all(about, "known", bool))
+    return pa.table({"k": keys, "one": _all(about, "one", "<i8"), "two": _all(about, "two", "<i8"), "n_shingles": sizes, "shared": shared})
 
 
 def documents(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """One row per key and set: ``k``, digest ``one`` and ``two``, ``n_shingles``, ``shared`` (never less than what it has in common with others), ``copies``."""
+    """One row per document: ``k``, its set's digest ``one`` and ``two``, ``n_shingles``, ``shared`` (never less than what it has in common with others)."""
     blocks = _deal(docs, key, text, width, _fragment_count(docs, text), True)
-    counted = blocks.groupBy("fragment").applyInArrow(_shared_counts, "k long, one long, two long, n_shingles long, shared long, copies long")
-    rows = counted.groupBy("k", "one", "two", "n_shingles").agg(F.sum("shared").alias("shared"), F.sum("copies").alias("copies"))
-    # equal rows were counted once each
-    return rows.withColumn("shared", F.expr("shared div copies"))
+    counted = blocks.groupBy("fragment").applyInArrow(_shared_counts, "fragment int, block long, docs binary, known binary, two binary, sizes binary, here binary, one binary, shared binary")
+    return counted.groupBy("block").applyInArrow(_block_documents, "k long, one long, two long, n_shingles long, shared long")
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
-    """Of one fragment: each document's shingles that others hold too, with their frequencies."""
-    (ids, _, _, _, sizes), owner, shingles = _joined(table, "<u8")
+    """Of one fragment, by block: the shingles that several documents hold, with their frequencies, for each document."""
+    shingles, counts = _all(table, "shingles", "<u8"), _all(table, "counts", "<u4")
     order = np.argsort(shingles, kind="stable")
     value = shingles[order]
     starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
     times = np.diff(np.append(starts, len(value)))
     frequency = np.empty(len(value), np.int64)
     frequency[order] = np.repeat(times, times)
-    out = {"k": [], "n": [], "shingles": [], "frequencies": []}
-    bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
-    for i in range(len(ids)):
-        a, b = bounds[i], bounds[i + 1]
-        many = frequency[a:b] > 1
-        if many.any():
-            out["k"].append(int(ids[i]))
-            out["n"].append(int(sizes[i]))
-            out["shingles"].append(shingles[a:b][many].tobytes())
-            out["frequencies"].append(frequency[a:b][many].astype("<i4").tobytes())
-    return pa.table({"k": pa.array(out["k"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "shingles": pa.array(out["shingles"], pa.binary()), "frequencies": pa.array(out["frequencies"], pa.binary())})
+    many = frequency > 1
+    kept = np.bincount(np.repeat(np.arange(len(counts)), counts), many, len(counts)).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(kept)])
+    held, often = shingles[many], frequency[many].astype("<u4")
+    ends = np.cumsum([len(x) // 2 for x in table.column("here").to_pylist()])
+    blocks = list(zip([0, *ends[:-1]], ends))
+    out = table.select(["fragment", "block", "docs", "sizes", "here"])
+    for name, parts in (
+        ("counts", [kept[a:b].astype("<u4") for a, b in blocks]),
+        ("shingles", [held[at[a] : at[b]] for a, b in blocks]),
+        ("frequencies", [often[at[a] : at[b]] for a, b in blocks]),
+    ):
+        out = out.append_column(name, pa.array([x.tobytes() for x in parts], pa.binary()))
+    return out
 
 
 def _prefixes(percent: int):
-    """Prefix shingles of each class, from its shared shingles of all fragments."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k_out, h_out = [], []
-            for k, n, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                shingles = np.concatenate([np.frombuffer(p["shingles"], "<u8") for p in parts])
-                frequency = np.concatenate([np.frombuffer(p["frequencies"], "<i4") for p in parts])
-                least = -(-percent * n // 100)  # what a partner has to hold
-                lone = n - len(shingles)  # come first in the order and lead to nobody
-                take = n - least + 1 - lone
-                if take > 0:
-                    order = np.lexsort((shingles, frequency))[:take]
-                    k_out.append(np.full(len(order), k, np.int64))
-                    h_out.append(shingles[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k_out) if k_out else np.zeros(0, np.int64)), pa.array(np.concatenate(h_out) if h_out else np.zeros(0, np.int64))], names=["k", "h"])
+    """Of a block of classes: their prefix shingles, from the shared ones of all fragments; ``room`` counts a class's shingles from there on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        about = table.filter(pc.equal(table.column("fragment"), 0))
+        ids, sizes = _all(about, "docs", "<i8"), _all(about, "sizes", "<i8")
+        here, counts = _all(table, "here", "<u2").astype(np.int64), _all(table, "counts", "<u4")
+        doc, shingles, frequency = np.repeat(here, counts), _all(table, "shingles", "<u8"), _all(table, "frequencies", "<u4")
+        order = np.lexsort((shingles, frequency, doc))
+        doc, shingles = doc[order], shingles[order]
+        held = np.bincount(doc, minlength=len(ids))
+        lone = sizes - held  # come first in the order and lead to nobody
+        place = np.arange(len(doc)) - (np.cumsum(held) - held)[doc]
+        least = -(-percent * sizes // 100)  # what a partner has to hold
+        take = place < (sizes - least + 1 - lone)[doc]
+        doc, place = doc[take], place[take]
+        return pa.table({"k": ids[doc], "h": shingles[take].view(np.int64), "n": sizes[doc], "room": (sizes - lone)[doc] - place})
 
     return run
 
@@ -175,7 +177,7 @@ def _sets(classes: DataFrame, text: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - int(np.log2(OVERLAP_FRAGMENTS)))
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in byte_slices(whole.column(1), BLOCK_BYTES)):
             hashes, bounds = shingle_sets(batch.column(1), width)
             # sorted inside each document, so its fragments follow each other
             owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
@@ -210,31 +212,32 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     rows = materialise(documents(docs, key, text, width), "sets")
     alive = rows.where("k IS NOT NULL AND n_shingles > 0")
     classes = alive.groupBy("one", "two", "n_shingles").agg(F.min("k").alias("class_id"), F.max("shared").alias("shared"))
-    near = materialise(classes.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select(F.col("class_id").alias("k"), "one", F.col("n_shingles").alias("n")), "near")
+    near = materialise(classes.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select(F.col("class_id").alias("k")).distinct(), "near")
     copies = alive.join(classes.drop("shared"), ["one", "two", "n_shingles"]).select(F.col("k").alias("b"), F.col("class_id").alias("a")).where("a <> b").distinct()
     links = materialise(copies, "links").unionByName(_near_links(docs, near, key, text, width, percent))
-    ids = rows.select("k", "n_shingles", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("i")).drop("i")
-    joined = join_components(ids, links, "k", "jaccard")
+    joined = join_components(rows.select("k", "n_shingles"), links, "k", "jaccard")
     return joined.select(F.col("k").alias(key), "n_shingles", "component_id")
 
 
 def _near_links(docs: DataFrame, near: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Links between classes that connect all that are linked."""
-    chosen = near.select(F.col("k").alias(key)).distinct()
+    # a class's texts may be large and classes many, so this is a shuffled join at every size
+    chosen = near.select(F.col("k").alias(key)).hint("merge")
     texts = materialise(docs.join(chosen, key, "left_semi").select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).dropDuplicates(), "near-texts")
-    fragments = _fragment_count(texts, "t")
-    shared = _deal(texts, "k", "t", width, fragments, False).groupBy("fragment").applyInArrow(_frequencies, "k long, n long, shingles binary, frequencies binary")
-    gathered = shared.groupBy("k", "n").agg(F.collect_list(F.struct("shingles", "frequencies")).alias("parts"))
-    groups = materialise(gathered.mapInArrow(_prefixes(percent), "k long, h long"), "prefixes")
+    shared = _deal(texts, "k", "t", width, _fragment_count(texts, "t"), False).groupBy("fragment").applyInArrow(_frequencies, "fragment int, block long, docs binary, sizes binary, here binary, counts binary, shingles binary, frequencies binary")
+    groups = materialise(shared.groupBy("block").applyInArrow(_prefixes(percent), "k long, h long, n long, room long"), "prefixes")
     sets = materialise(_sets(texts.withColumnRenamed("t", "text"), "text", width), "near-sets")
-    sizes = materialise(sets.where("part = 0").groupBy(F.col("id").alias("k")).agg(F.max("n").alias("n")), "near-sizes")
+    nodes = materialise(sets.select(F.col("id").alias("k")).distinct(), "near-nodes")
+
+    def possible(x: str, y: str):
+        """Both have room for the overlap that a link of their sizes needs."""
+        room = F.least(f"{x}.room", f"{y}.room")
+        return (100 + percent) * room >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda side, n: sizes.select(F.col("k").alias(side), F.col("n").alias(n))
-        like = pairs.join(of("a", "na"), "a").join(of("b", "nb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-        return overlaps(like, sets).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
+        return overlaps(pairs, sets).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
-    return connect_groups(sizes.select("k"), groups, verify, "near")
+    return connect_groups(nodes, groups, verify, "near", lambda x: -F.col(f"{x}.room") / F.col(f"{x}.n"), possible)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

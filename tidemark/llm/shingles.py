@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,14 +17,18 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64."""
+@lru_cache(maxsize=4)
+def _table(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
+    out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64; kept for the usual sizes."""
+    return _table(int(base), 1 << max(10, (n - 1).bit_length()))[:n]
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of a batch of UTF-8 texts, and the document that each word is in.
 
@@ -52,7 +58,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return value, np.searchsorted(offsets, starts, "right") - 1
 
 
-def shingle_sets(column: pa.Array, width: int = 5, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.Array, width: int = 5, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of every text: their hashes sorted within each document, and each document's bounds.
 
     A text with fewer words than ``width`` has one shingle, its whole word sequence; one without
