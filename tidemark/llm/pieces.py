@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import byte_slices
 from tidemark.llm.token_files import _gather
 
 MARK = "▁"
@@ -186,7 +187,7 @@ def encode_word(model: Model, word: str, blanks: int = 1) -> list[int]:
 
 
 #: Distinct words that a worker remembers; it starts anew when there are more.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 def _packed(model: Model, word: str, blanks: int = 1) -> bytes:
@@ -247,16 +248,6 @@ def decode_flat(ids: np.ndarray, sizes: np.ndarray, model: Model) -> list[str]:
     return [raw[a + 1 : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
-    ends = np.cumsum(sizes)
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
-        yield a, b
-        a = b
-
-
 def encode(docs: DataFrame, model_path: str, text: str = "text", name: str = "ids", check: str | None = None) -> DataFrame:
     """``docs`` with the piece ids (array of int) of every whole text. No shuffle.
 
@@ -269,7 +260,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", name: str = "id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for whole in batches:
-            for a, b in _slices(whole.column(whole.schema.get_field_index(text))):
+            for a, b in byte_slices(whole.column(whole.schema.get_field_index(text)), CHUNK):
                 batch = whole.slice(a, b - a)
                 texts = batch.column(batch.schema.get_field_index(text))
                 ids, n = encode_column(texts, model)

@@ -31,7 +31,7 @@ BINS = 12
 #: Quantiles between the bins of a feature; close together at both ends, where bad lines are.
 QUANTILES = (0.005, 0.03, 0.1, 0.3, 0.7, 0.9, 0.94, 0.96, 0.975, 0.987, 0.995)
 #: Bytes whose features are computed at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 #: Byte classes: upper, lower, digit, white space, full stop or comma, bar, other ASCII mark, the rest.
 _CLASS = np.full(256, 7, np.uint8)

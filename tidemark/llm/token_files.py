@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh_path, partitions_for
+from tidemark.llm.common import byte_slices, fresh_path, partitions_for
 
 #: Ids after which a block is closed (at the end of a document), and ids between checkpoints.
 BLOCK, EVERY = 1 << 16, 512
+#: Bytes of text encoded together; bounds a task's memory.
+CHUNK = 32_000_000
 #: Code lengths are limited to this many bits over the least that the alphabet needs.
 SPARE_BITS = 4
 
@@ -292,7 +294,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, key: str = "doc_id", tex
                 x.clear()
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in byte_slices(whole.column(1), CHUNK)):
             flat, n = encode_texts(batch.column(1), vocabulary)
             ends = np.cumsum(n)
             whole = np.insert(flat, ends, end_id)
