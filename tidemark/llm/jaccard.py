@@ -33,7 +33,7 @@ from tidemark.llm.common import byte_slices, connect_groups, join_components, ma
 from tidemark.llm.shingles import set_digest, shingle_sets
 
 #: Shingles that a fragment should hold, and the fewest fragments.
-FRAGMENT_SHINGLES, FRAGMENTS = 6_000_000, 8
+FRAGMENT_SHINGLES, FRAGMENTS = 3_000_000, 8
 #: Bytes of text in a block of documents, which has 4,096 documents at most.
 BLOCK_BYTES = 24_000_000
 #: Fragments in which the overlap of a pair is counted.
