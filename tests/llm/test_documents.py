@@ -297,6 +297,37 @@ def test_mix_keeps_every_row_and_the_schedule(spark, monkeypatch):
     assert [tuple(r) for r in mixing.mix(docs).orderBy("mix_slot", "mix_place", "doc_id").collect()] == [tuple(r) for r in mixing.mix(docs.repartition(5)).orderBy("mix_slot", "mix_place", "doc_id").collect()]
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 2**0.5, "b": 3**0.5, "c": 0.01}, {"a": 1, "b": 1e-9, "c": 0}])
+def test_exact_slots_follow_the_requested_weights_over_many_periods(weights):
+    total = sum(weights.values())
+    given = [0, 0, 0]
+    steps = list(zip(range(20_000), mixing.exact_slots(list(weights.values()), [10**9] * 3)))
+    for t, (i, k) in steps:
+        assert k == given[i]
+        given[i] += 1
+        assert all(abs(g - w / total * (t + 1)) < 1 for g, w in zip(given, weights.values()))
+    assert list(mixing.exact_slots([1.0, 0.0], [3, 2])) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
+    assert sorted(mixing.exact_slots([5.0, 1e-300, 0.0], [4, 3, 2])) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
+
+
+def test_mix_gives_the_requested_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED_ROWS", 50)
+    rows = [(i, ["a", "b", None][i % 3]) for i in range(6000)] + [(i, "none") for i in range(6000, 6010)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = sorted(mixing.mix(docs, {"a": 1.0, "b": 1.0, None: 1.0}, block_rows=1, exact=True).collect(), key=lambda r: (r.mix_slot, r.mix_place))
+    assert [r.mix_slot for r in got] == list(range(6010)) and sorted((r.doc_id, r.source) for r in got if r.source) == sorted(r for r in rows if r[1])
+    given = defaultdict(int)
+    for t, r in enumerate(got[:6000]):
+        given[r.source] += 1
+        assert all(abs(given[s] - (t + 1) / 3) < 1 for s in ("a", "b", None))
+    assert {r.source for r in got[6000:]} == {"none"}  # no weight: after the others
+    by_size = mixing.mix(docs, block_rows=7).collect()
+    sizes = {"a": 2000, "b": 2000, None: 2000, "none": 10}
+    order = [None, "a", "b", "none"]
+    want = [(order[i], 7 * k + p) for i, k in mixing.exact_slots([sizes[s] ** 0.5 for s in order], [-(-sizes[s] // 7) for s in order]) for p in range(min(7, sizes[order[i]] - 7 * k))]
+    assert [(r.source, r.mix_place) for r in sorted(by_size, key=lambda r: (r.mix_slot, r.mix_place))] == [(s, n % 7) for s, n in want]
+
+
 # --- 10: language ------------------------------------------------------------------------------
 
 

@@ -3,20 +3,26 @@
 Each source's documents are cut into blocks. With weight ``w`` the ``k``-th block of a source is
 released at slot ``floor((k - 1) / w)`` and due at ``ceil(k / w)``; the earliest deadline among
 the released blocks takes the slot. While all sources last, each has at any time received its
-share to within less than one block. With weights in whole units of a period the schedule
-repeats after every period, so only one period is computed, and every document finds its slot by arithmetic
-from its rank in its source.
+share to within less than one block. ``exact_slots`` does so with the weights as they are, block by block in one task; a
+document finds its slot by its rank in its source. With weights rounded to whole units of a period (``units``) the schedule
+repeats after every period, so only one period is computed.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialise
+
 #: Documents of a block, units of a period (grows to four units a source), and rows ranked in one task.
 BLOCK_ROWS, PERIOD, RANKED_ROWS = 64, 1000, 2_000
 #: More sources than this are refused: the schedule is made on the driver.
@@ -61,6 +67,38 @@ def schedule(shares: Mapping[str | None, int]) -> dict[str | None, list[int]]:
     return slots
 
 
+def exact_slots(weights: Sequence[float], blocks: Sequence[int]) -> Iterator[tuple[int, int]]:
+    """Source and block number of every slot, earliest deadline first among the released, until all blocks are placed.
+
+    Weights are taken as the rational numbers that the floats are, so nothing drifts. A slot for which no block is
+    released, as happens after a source has ended, is left out. Sources that weigh nothing take turns after the others.
+    """
+    ratios = [Fraction(max(0.0, w)) for w in weights]
+    if not any(ratios):
+        ratios = [Fraction(1)] * len(ratios)
+    base = lcm(*[r.denominator for r in ratios]) if ratios else 1
+    parts = [int(r * base) for r in ratios]
+    total = sum(parts)
+    waiting = [(0, i, 0) for i in range(len(parts)) if parts[i] and blocks[i]]  # release, source, block
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // parts[i]), i, k))
+        _, i, k = heapq.heappop(ready)
+        yield i, k
+        slot += 1
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, ((k + 1) * total // parts[i], i, k + 1))
+    last = [i for i in range(len(parts)) if not parts[i]]
+    if last:
+        yield from ((last[i], k) for i, k in exact_slots([1.0] * len(last), [blocks[i] for i in last]))
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
@@ -70,12 +108,16 @@ def mix(
     block_rows: int = BLOCK_ROWS,
     seed: int = 17,
     names: tuple[str, str] = ("mix_slot", "mix_place"),
+    exact: bool | None = None,
 ) -> DataFrame:
     """``docs`` with ``mix_slot`` and ``mix_place`` (or other ``names``): sorted by both, the documents are mixed to the weights.
 
-    ``weights`` maps sources to target weights; sources it leaves out weigh nothing and get one
-    unit. By default a source weighs its number of documents to the ``power``. No document is
-    dropped or repeated: when a source ends, its slots stay empty and the others go on in proportion. A
+    ``weights`` maps sources to target weights; sources it leaves out weigh nothing. By default a source weighs its
+    number of documents to the ``power``. With ``exact``, the default without ``weights``, slots are ``exact_slots``: the weights are not
+    rounded, slots are numbered without holes, and sources that weigh nothing follow when the others have ended. Otherwise, the default with ``weights``,
+    the schedule of one period in ``units`` repeats: every source gets one unit at least, shares differ from the weights by the
+    rounding however long the table is, and the slots of an ended source stay empty. No document is
+    dropped or repeated: when a source ends, the others go on in proportion. A
     null source is a source. Inside a source the order is a hash of the key (ties: the key, then
     the whole row's hash); repeated rows each take a place. Columns of the two names are replaced; an empty table stays empty.
 
@@ -91,20 +133,54 @@ def mix(
     if not sizes:
         return kept.withColumn(names[0], F.lit(0).cast("long")).withColumn(names[1], F.lit(0).cast("long"))
     target = {s: float(weights.get(s, 0.0)) if weights is not None else float(n) ** power for s, n in sizes.items()}
+    ordered = sorted(sizes, key=lambda s: (s is not None, s or ""))
+    exact = weights is None if exact is None else exact
     period = max(PERIOD, 4 * len(sizes))
-    shares = units(target, period)
-    slots = schedule(shares)
-    # one row a source, ``period`` slots in all
-    plan = spark.createDataFrame([(s, slots[s], max(1, -(-sizes[s] // RANKED_ROWS))) for s in sizes], "__src string, __slots array<int>, __buckets int")
+    shares = {} if exact else units(target, period)
+    slots = {} if exact else schedule(shares)
+    # one row a source, ``period`` slots in all if they repeat; sources go by number, so a null one needs no care below
+    plan = spark.createDataFrame(
+        [(s, i, slots.get(s), max(1, -(-sizes[s] // RANKED_ROWS))) for i, s in enumerate(ordered)], "__src string, __id int, __slots array<long>, __buckets int"
+    )
     rows = kept.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__s", F.col(source).cast("string"))
     rows = rows.join(F.broadcast(plan), F.col("__s").eqNullSafe(F.col("__src"))).withColumn("__b", F.pmod("__h", F.col("__buckets").cast("long")))
-    before = rows.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = before.withColumn("__first", F.sum("__n").over(W.partitionBy("__s").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)))
-    before = before.select(F.col("__s").alias("__s2"), F.col("__b").alias("__b2"), F.coalesce("__first", F.lit(0)).alias("__first"))
-    local = F.row_number().over(W.partitionBy("__s", "__b").orderBy("__h", key, F.xxhash64(*kept.columns)))
-    ranked = rows.withColumn("__local", local).join(before, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2")))
+    before = rows.groupBy("__id", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = before.withColumn("__first", F.coalesce(F.sum("__n").over(W.partitionBy("__id").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    if exact:
+        blocks = [-(-sizes[s] // block_rows) for s in ordered]
+        before = _with_slots(before, _all_slots(spark, [target[s] for s in ordered], blocks), block_rows)
+        rows = rows.drop("__slots")
+    else:
+        before = before.drop("__n")
+    local = F.row_number().over(W.partitionBy("__id", "__b").orderBy("__h", key, F.xxhash64(*kept.columns)))
+    ranked = rows.withColumn("__local", local).join(before, ["__id", "__b"])
     rank = F.col("__first") + F.col("__local") - 1
     block = F.floor(rank / block_rows)
     n = F.size("__slots").cast("long")
-    slot = F.floor(block / n) * period + F.element_at("__slots", (block % n + 1).cast("int"))
+    if exact:
+        slot = F.element_at("__slots", (block - F.floor(F.col("__first") / block_rows) + 1).cast("int"))
+    else:
+        slot = F.floor(block / n) * period + F.element_at("__slots", (block % n + 1).cast("int"))
     return ranked.select(*[F.col(c) for c in kept.columns], slot.cast("long").alias(names[0]), (rank % block_rows).cast("long").alias(names[1]))
+
+
+def _all_slots(spark: SparkSession, weights: list[float], blocks: list[int]) -> DataFrame:
+    """``exact_slots`` as rows (__id, __k, __slot); made and written by one task, which holds a block a source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            found = enumerate(exact_slots(weights, blocks))
+            while some := list(islice(found, 50_000)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for _, (i, _) in some], pa.int32()), pa.array([k for _, (_, k) in some], pa.int64()), pa.array([t for t, _ in some], pa.int64())], names=["__id", "__k", "__slot"]
+                )
+
+    return materialise(spark.range(0, 1, 1, 1).mapInArrow(run, "__id int, __k long, __slot long"), "mix-slots")
+
+
+def _with_slots(before: DataFrame, slots: DataFrame, block_rows: int) -> DataFrame:
+    """Of every hash bucket: its first rank, and the slots of the blocks that its rows lie in."""
+    ks = F.sequence(F.floor(F.col("__first") / block_rows), F.floor((F.col("__first") + F.col("__n") - 1) / block_rows))
+    met = before.select("__id", "__b", "__first", F.explode(ks).alias("__k")).join(slots, ["__id", "__k"])
+    listed = F.sort_array(F.collect_list(F.struct("__k", "__slot")))
+    return met.groupBy("__id", "__b", "__first").agg(F.transform(listed, lambda x: x["__slot"]).alias("__slots"))
