@@ -2,7 +2,9 @@
 
 Quality and language drop documents, the n-gram join leaves one of each group of near copies, mixing puts
 the rest in the order of the target weights, and the last stage turns every text into ids. All stages
-but the last return the columns of their input, whatever they are.
+but the last return the columns of their input, whatever they are. Rereading files loses the order of rows, so
+the last stage computes the schedule of the same rows again and returns it: sorted by ``mix_slot`` and
+``mix_place``, its rows are in the order of the target weights.
 """
 
 from __future__ import annotations
@@ -45,12 +47,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, with their number, and whether decoding gives the text back."""
+    """Piece ids of every document, with their number, whether decoding gives the text back, and its place in the mixing schedule."""
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(docs.select("doc_id", "source", "text"), model, check="round_trip")
-    return encoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
+    placed = mixing.mix(docs, names=("__slot", "__place")).select("doc_id", "source", "text", F.col("__slot").alias("mix_slot"), F.col("__place").alias("mix_place"))
+    encoded = pieces.encode(placed, model, check="round_trip")
+    return encoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip", "mix_slot", "mix_place")
 
 
 STAGES = [

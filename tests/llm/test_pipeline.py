@@ -73,3 +73,23 @@ def test_run_and_an_empty_table(spark, docs):
     nothing = docs.limit(0)
     for stage in STAGES.values():
         assert stage(spark, nothing, FOLDER).count() == 0
+
+
+def test_run_returns_the_mixing_order_of_many_files(spark, docs, tmp_path):
+    clean = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    clean.unionByName(clean.withColumn("doc_id", F.col("doc_id") + 10_000).withColumn("source", F.lit("late"))).repartition(7, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        out = corpus_pipeline.run(spark, str(tmp_path))
+        assert len(out.inputFiles()) > 1
+        got = {r.doc_id: (r.mix_slot, r.mix_place) for r in out.collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(got) == out.count() == len(set(got.values())) > 0
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").where(F.col("doc_id").isin(list(got)))
+    assert got == {r.doc_id: (r["__a"], r["__b"]) for r in mixing.mix(rows, names=("__a", "__b")).collect()}
