@@ -455,3 +455,32 @@ def test_vector_links_equal_brute_force(spark, spread):
     assert rest[3006].n_links == rest[3007].n_links == 1 and rest[3007].component_id == 3006 and not rest[3007].kept
     assert rest[None].n_links == 0 and rest[None].component_id is None and not rest[None].kept
     assert neighbours.link(df.limit(0)).count() == 0
+
+
+def planted(rng, n, pairs, dense):
+    """``n`` unit vectors, ``dense`` of them around one topic, and ``pairs`` partners at cosine 0.905 of the first ones."""
+    u = rng.normal(size=(n, 32))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    topic = rng.normal(size=32)
+    u[:dense] += 1.1 * topic / np.linalg.norm(topic)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    side = rng.normal(size=(pairs, 32))
+    side -= (side * u[:pairs]).sum(1, keepdims=True) * u[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return np.concatenate([u, 0.905 * u[:pairs] + (1 - 0.905**2) ** 0.5 * side])
+
+
+def recall(spark, u):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in neighbours.link(rows).collect())
+    real = sum(int((u[i : i + 1000] @ u.T >= 0.9).sum()) for i in range(0, len(u), 1000)) - len(u)
+    return found / real
+
+
+def test_passes_grow_with_the_table_and_find_lone_pairs_of_a_dense_topic(spark):
+    u = planted(np.random.default_rng(4), 8000, 400, 4000)
+    assert recall(spark, u) >= 0.97  # 12 passes: 0.91
+    wide = u[4000:6000]
+    rows = [(32, v.tobytes()) for v in wide]
+    few, many = (neighbours.passes_for(rows, {32: n}, 0.9, 32) for n in (50_000, 10_000_000))
+    assert neighbours.PASSES < few < many

@@ -2,7 +2,7 @@
 
 Every pass draws its own random hyperplanes and orders the vectors lexicographically by their concatenated sign bits;
 each vector is compared with the next ``WINDOW`` in that order, and pairs whose cosine reaches
-the limit are united across the passes. The comparison is exact, so no pair below the limit links. What
+the limit are united across the passes. There are as many passes as meet a pair at the limit with a stated chance. The comparison is exact, so no pair below the limit links. What
 the windows leave out of a component's links is then counted exactly: members within half the
 limit's angle of the component's first vector all link with each other (their angles add up to
 the limit's at most) and are only counted, and the few others are compared with the whole component block by block.
@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import join_components, materialise, mix64, partitions_for
 
-#: Passes, neighbours compared in each, and hyperplanes of a pass. With 12 passes of 32 neighbours
-#: a lone pair at cosine 0.9 among 50,000 vectors is met with a chance of about 0.93, one at 0.95 of 0.99.
+#: Least number of passes, neighbours compared in each, and hyperplanes of a pass.
 PASSES, WINDOW, PLANES = 12, 32, 64
+#: Chance with which a lone pair at the limit is to be met, and vectors from which the passes for it are derived.
+RECALL, SAMPLE = 0.99, 2048
 #: Vectors of a block in the exact count.
 BLOCK = 512
 
@@ -82,6 +83,42 @@ class _Union:
         return [(x, self.find(x)) for x in self.parent if self.find(x) != x]
 
 
+def meeting_chances(u: np.ndarray, n: int, least: float, window: int) -> np.ndarray:
+    """Chance that one pass brings together each row of the sample ``u`` of ``n`` unit vectors and a vector at cosine ``least`` to it.
+
+    Two vectors at an angle share a plane's sign with a chance of one less the angle over pi, so the sample's angles tell how many
+    vectors share the first ``m`` signs with a row; where many are close to each other, that falls slowly. A pair whose signs
+    part behind ``m`` has its places spread evenly over the two halves of that run. Vectors that link with the row are
+    left out: they connect the pair themselves.
+    """
+    cosine = np.clip(u @ u.T, -1, 1)
+    share = 1 - np.arccos(cosine) / np.pi
+    share[cosine >= least] = 0
+    others = max(1.0, n - 1.0) / max(1, len(u) - 1)
+    same = 1 - np.arccos(least) / np.pi
+    out, alike = np.zeros(len(u)), (share > 0).astype(np.float64)
+    for m in range(PLANES):
+        x = 2 * window / np.maximum(alike.sum(1) * others, 1)
+        met = np.where(x <= 1, x * x / 2, np.where(x < 2, 1 - (2 - x) ** 2 / 2, 1.0))
+        out += same**m * (1 - same if m + 1 < PLANES else 1) * met
+        alike *= share
+    return out
+
+
+def passes_for(sample: list[tuple[int, bytes]], sizes: dict[int, int], least: float, window: int) -> int:
+    """Passes in which a lone pair at the limit is met with the chance ``RECALL``, for nine tenths of the sampled vectors of every length.
+
+    ``sample`` has (length, vector), ``sizes`` the number of vectors of each length.
+    """
+    most = PASSES
+    for dim in {d for d, _ in sample}:
+        u = np.stack([np.frombuffer(v, "<f8") for d, v in sample if d == dim])
+        q = float(np.quantile(meeting_chances(u, sizes[dim], least, window), 0.1))
+        if q < 1:
+            most = max(most, int(np.ceil(np.log(1 - RECALL) / np.log1p(-q))))
+    return most
+
+
 _FOUND = "kind int, a long, b long, boundary int, place int, grp long, vec binary"
 _FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("boundary", pa.int32()), ("place", pa.int32()), ("grp", pa.int64()), ("vec", pa.binary())])
 
@@ -135,7 +172,7 @@ def _border_links(least: float, window: int):
     return run
 
 
-def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """Per vector: the key, ``n_links``, ``component_id`` and ``kept``.
 
     Two vectors link when their cosine (in doubles) is at least ``least``. ``n_links`` counts the
@@ -143,7 +180,8 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lea
     ``kept`` marks the vector with that key. A vector that is null, empty, zero or has a null or non-finite component links with
     nothing, nor do vectors of different length link; so does a row with a null key, whose component is null and which is
     not kept. Equal vectors are one class and are counted, not paired; repeated rows keep a row each. Extra
-    columns are left out; an empty table stays empty.
+    columns are left out; an empty table stays empty. Without ``passes`` their number follows from the number of
+    vectors and from how close they lie (``passes_for``).
     """
     spark = vectors.sparkSession
 
@@ -158,6 +196,10 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lea
     classes = usable.groupBy("dim", "one", "two").agg(F.min("k").alias("c"), F.count(F.lit(1)).alias("m"), F.first("vec").alias("vec"))
     # a key with several vectors leads several classes; they are told apart by a number of their own
     classes = materialise(classes.withColumn("class", F.xxhash64("dim", "one", "two")), "classes")
+    if passes is None:
+        # the class is a hash, so the first ones are a random sample
+        sizes = {r[0]: r[1] for r in classes.groupBy("dim").count().orderBy(F.desc("count")).limit(SAMPLE).collect()}
+        passes = passes_for([tuple(r) for r in classes.orderBy("class").select("dim", "vec").limit(SAMPLE).collect() if r[0] in sizes], sizes, least, window)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
