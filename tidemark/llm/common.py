@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise, shared_dir
+from tidemark.session import drop_table, materialise, shared_dir
 
-__all__ = ["byte_slices", "connect_groups", "fresh_path", "join_components", "materialise", "mix64", "partitions_for", "ranged", "table", "text_arrays", "write_bytes"]
+__all__ = ["byte_slices", "connect_groups", "drop_table", "fresh_path", "join_components", "materialise", "mix64", "partitions_for", "ranged", "table", "text_arrays", "write_bytes"]
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

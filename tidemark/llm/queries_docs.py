@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, jaccard, language, mixing, neighbours, pieces, quality, token_files
+from tidemark.llm import centroids, fingerprint, jaccard, language, mixing, neighbours, pieces, quality, token_files
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -66,3 +66,37 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     models = language.fit(docs, ~held_out)
     return language.identify(docs.select("doc_id", "text"), models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_bits", "accepted")
+
+
+def _centroids_sql(rounds: int = 5) -> str:
+    """The same rounds as nested tables: vectors times 40 centroids, then floored means by component."""
+    distance = "CAST(list_sum(list_transform(list_zip(r.v, c.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT)"
+    steps = [
+        """rows_ AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS j, v FROM (SELECT sha256('2:' || vec_id) AS h, v FROM rows_ ORDER BY h LIMIT 40))""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (
+  SELECT rid, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT r.rid, c.j, {distance} AS d FROM rows_ r, c{k} c) GROUP BY rid)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""c{k + 1} AS MATERIALIZED (
+  SELECT c.j, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+    SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT a.j, unnest(r.v) AS x, generate_subscripts(r.v, 1) AS i FROM a{k} a JOIN rows_ r USING (rid)) GROUP BY j, i)
+    GROUP BY j) m USING (j))"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT r.vec_id, CAST(a.j AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN rows_ r USING (rid) JOIN c{rounds} c ON c.j = a.j"""
+
+
+@query("op13_centroids", _centroids_sql())
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings").select("vec_id", "embedding"))
