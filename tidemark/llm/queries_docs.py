@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import centroids, fingerprint, jaccard, language, mixing, neighbours, pieces, quality, token_files
+from tidemark.llm import centroids, fingerprint, jaccard, language, mixing, neighbours, pieces, quality, spellings, token_files
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -100,3 +100,41 @@ FROM a{rounds} a JOIN rows_ r USING (rid) JOIN c{rounds} c ON c.j = a.j"""
 @query("op13_centroids", _centroids_sql())
 def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+#: crc32 by a table that the first expression builds from its polynomial; letters beyond ASCII are two UTF-8 bytes.
+_SPELLINGS_SQL = """WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+bytes AS (
+  SELECT run, times, list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(c) - 64 AS BIGINT)] END))) AS b FROM runs),
+hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1]))) AS h FROM bytes, t),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT times, CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cut AS MATERIALIZED (
+  SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, cut.rest FROM cut JOIN words w ON w.word = cut.rest
+  UNION SELECT cut.rest, cut.word FROM cut JOIN words w ON w.word = cut.rest),
+best AS (
+  SELECT p.word, count(*) AS n_near, first(p.other ORDER BY o.n DESC, encode(p.other)) AS form, max(o.n) AS form_n FROM pairs p JOIN words o ON o.word = p.other GROUP BY p.word),
+formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 10 * w.n THEN b.form END AS form, CASE WHEN b.form_n >= 10 * w.n THEN b.form_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+walk AS (
+  SELECT word, word AS root FROM formed UNION ALL SELECT k.word, f.form FROM walk k JOIN formed f ON f.word = k.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN walk k USING (word) JOIN formed e ON e.word = k.root AND e.form IS NULL"""
+
+
+@query("op12_spellings", _SPELLINGS_SQL)
+def op12_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    return spellings.variants(table(spark, folder, "documents").select("doc_id", "text"))
