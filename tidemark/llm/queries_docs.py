@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import centroids, fingerprint, jaccard, language, mixing, neighbours, pieces, quality, spellings, token_files
+from tidemark.llm import ann, centroids, fingerprint, jaccard, language, mixing, neighbours, pieces, quality, spellings, token_files
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -68,6 +68,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_bits", "accepted")
 
 
+@query("op11_ann")
+def op11_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def _centroids_sql(rounds: int = 5) -> str:
     """The same rounds as nested tables: vectors times 40 centroids, then floored means by component."""
     distance = "CAST(list_sum(list_transform(list_zip(r.v, c.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT)"
