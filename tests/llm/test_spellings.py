@@ -76,7 +76,7 @@ def test_variants_equal_all_pairs(spark, rows, every):
 
 def test_blocks_and_anagrams(spark, monkeypatch):
     """One third of the words have the same letters, leaves are dealt to several blocks, and lengths are missing in the sample."""
-    for name, value in (("SAMPLE", 120), ("BLOCK_WORDS", 16), ("BUCKET", 3)):
+    for name, value in (("SAMPLE", 120), ("LEAF_SAMPLE", 3), ("BLOCK_WORDS", 16), ("BUCKET", 3)):
         monkeypatch.setattr(spellings, name, value)
     rng = random.Random(2)
     words = {"".join(p) for p in itertools.islice(itertools.permutations("abcdefg"), 150)}

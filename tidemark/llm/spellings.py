@@ -24,9 +24,9 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 #: One occurrence in so many is misspelt by the query's rule.
 EVERY = 31
 #: Words from which the trees are cut; words and letters of a block of a leaf; words of a leaf of a block's own tree.
-SAMPLE, BLOCK_WORDS, BLOCK_LETTERS, BUCKET = 65_536, 4_096, 4_000_000, 24
-#: Words that search together.
-BATCH = 8_192
+SAMPLE, BLOCK_WORDS, BLOCK_LETTERS, BUCKET = 65_536, 16_384, 4_000_000, 384
+#: Least sampled words of a leaf, and words that search together.
+LEAF_SAMPLE, BATCH = 24, 8_192
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters a-z, then U+00C0 to U+00FF.
@@ -63,7 +63,8 @@ def letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def letter_counts(words: list[str]) -> np.ndarray:
     codes, sizes = letter_codes(words)
     row = np.repeat(np.arange(len(words)), sizes)
-    return np.bincount(row * LETTERS + codes, minlength=len(words) * LETTERS).reshape(len(words), LETTERS).astype(np.int32)
+    kind = np.int16 if len(words) and sizes.max() < 1 << 15 else np.int32
+    return np.bincount(row * LETTERS + codes, minlength=len(words) * LETTERS).reshape(len(words), LETTERS).astype(kind)
 
 
 class Tree:
@@ -105,7 +106,7 @@ class Tree:
         """Letter and cut that halve the rows best, None if all counts are equal."""
         own = counts[rows]
         best, found = len(rows), None
-        middle = np.sort(own, axis=0)[(len(rows) - 1) // 2]
+        middle = np.sort(own, axis=0, kind="stable")[(len(rows) - 1) // 2]
         for cut in (middle, middle - 1):
             uneven = np.abs(2 * (own <= cut).sum(axis=0) - len(rows))
             letter = int(np.argmin(uneven))
@@ -178,22 +179,35 @@ class Block:
 
     def __init__(self, words: list[str], n: list[int]):
         self.words, self.n = words, np.array(n, np.int64)
-        self.counts = letter_counts(words)
+        counts = letter_counts(words)
         self.codes = letter_codes(words)[0].reshape(len(words), -1).astype(np.int8)
-        self.tree = Tree(self.counts, BUCKET)
+        self.tree = Tree(counts, BUCKET)
+        self.kind = _exact_floats(counts)
+        self.parts = {leaf: (rows, *self._used(counts[rows])) for leaf, rows in self.tree.rows.items()}
+
+    def _used(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        letters = np.flatnonzero(counts.any(axis=0))
+        own = counts[:, letters].astype(self.kind)
+        return letters, own, np.square(own).sum(axis=1)
 
     def near(self, words: list[str], same: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Places of near pairs: among ``words`` (of the same length, or one shorter) and in the block."""
+        """Places of near pairs: among ``words`` (of the same length, or one shorter) and in the block.
+
+        One letter raised and one lowered is a squared distance of two between words of the same length, one raised is a
+        squared distance of one to the next length, and nothing else is.
+        """
         counts = letter_counts(words)
         codes = letter_codes(words)[0].reshape(len(words), -1).astype(np.int8)
+        floats = counts.astype(np.promote_types(self.kind, _exact_floats(counts)))
+        norms = np.square(floats).sum(axis=1)
         mine, theirs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         step = max(1, 2_000_000 // max(1, codes.shape[1]))
         for leaf, rows in self.tree.search(counts, 1, int(same)):
-            own = self.tree.rows[leaf]
-            for i in range(0, len(rows), 4096):
-                part = rows[i : i + 4096]
-                gap = np.abs(counts[part][:, None, :] - self.counts[own][None]).sum(axis=2)
-                q, h = np.nonzero(gap == (2 if same else 1))
+            own, letters, held, size = self.parts[leaf]
+            for i in range(0, len(rows), 2048):
+                part = rows[i : i + 2048]
+                gap = size[None, :] - 2 * (floats[part][:, letters] @ held.T)
+                q, h = np.nonzero(gap == ((2 if same else 1) - norms[part])[:, None])
                 for k in range(0, len(q), step):
                     a, b = part[q[k : k + step]], own[h[k : k + step]]
                     good = replaced_once(codes[a], self.codes[b]) if same else inserted_once(codes[a], self.codes[b])
@@ -202,57 +216,66 @@ class Block:
         return np.concatenate(mine), np.concatenate(theirs)
 
 
+def _exact_floats(counts: np.ndarray) -> type:
+    """Floats that hold sums of squares of these counts exactly."""
+    return np.float32 if counts.shape[0] and np.square(counts.astype(np.float64)).sum(axis=1).max() < 1 << 21 else np.float64
+
+
 _NEAR = "word string, near long, form_n long, form string"
 _NEAR_ARROW = pa.schema([("word", pa.string()), ("near", pa.int64()), ("form_n", pa.int64()), ("form", pa.string())])
 
 
-def _summed(words: list[str], own: np.ndarray, other: list[str], n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Per word of ``own``: its near words among ``other``, and the most frequent of them (ties: smallest)."""
+def _summed(words: list[str], n: np.ndarray, own: np.ndarray, others: list[str], m: np.ndarray, at: np.ndarray, ratio: int) -> pa.RecordBatch:
+    """Per word of ``own``: its near words ``at`` among ``others``, and the best (most frequent, then smallest) with ``ratio`` times its n."""
+    number = np.bincount(own, minlength=len(words))
+    met = np.flatnonzero(number)
     best: dict[int, tuple[int, str]] = {}
-    number: dict[int, int] = {}
-    for i, j in zip(own.tolist(), at.tolist()):
-        number[i] = number.get(i, 0) + 1
-        new = (-int(n[j]), other[j])
+    frequent = m[at] >= ratio * n[own]
+    for i, j in zip(own[frequent].tolist(), at[frequent].tolist()):
+        new = (-int(m[j]), others[j])
         if i not in best or new < best[i]:
             best[i] = new
-    return pa.RecordBatch.from_pylist([{"word": words[i], "near": number[i], "form_n": -best[i][0], "form": best[i][1]} for i in best], _NEAR_ARROW)
-
-
-def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted partition: the words of a block come first, then the words that search it, in batches."""
-    here, block, home = None, None, ([], [])
-
-    def searched(role: int, words: list[str], n: list[int]) -> Iterator[pa.RecordBatch]:
-        mine, theirs = block.near(words, role == 1)
-        if len(mine):
-            yield _summed(words, mine, block.words, block.n, theirs)
-            if role == 2:
-                yield _summed(block.words, theirs, words, np.array(n, np.int64), mine)
-
-    for whole in batches:
-        for first in range(0, whole.num_rows, BATCH):
-            rows = whole.slice(first, BATCH).to_pydict()
-            place = np.array([rows["length"], rows["leaf"], rows["block"], rows["role"]]).T
-            starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1)]))
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
-                *now, role = place[a].tolist()
-                words, n = rows["word"][a:b], rows["n"][a:b]
-                if now != here:
-                    here, block, home = now, None, ([], [])
-                if role == 0:
-                    home[0].extend(words)
-                    home[1].extend(n)
-                    continue
-                if not home[0]:
-                    continue  # no word of that length in the leaf
-                block = block or Block(*home)
-                step = max(1, BLOCK_LETTERS // max(1, here[0]))
-                for k in range(0, len(words), step):
-                    yield from searched(role, words[k : k + step], n[k : k + step])
-
-
-def near_words(words: DataFrame) -> DataFrame:
-    """Per word that has near ones: ``near`` (their number), ``form`` (the one with the largest n, ties: smallest) and ``form_n``.
+    forms = [best.get(i) for i in met.tolist()]
+    columns = [pa.array([words[i] for i in met.tolist()], pa.string()), pa.array(number[met], pa.int64()), pa.array([f and -f[0] for f in forms], pa.int64()), pa.array([f and f[1] for f in forms], pa.string())]
+    return pa.RecordBatch.from_arrays(columns, schema=_NEAR_ARROW)
+
+
+def _search_blocks(ratio: int):
+    """Over a sorted partition: the words of a block come first, then the words that search it, in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, block, home = None, None, ([], [])
+        for whole in batches:
+            for first in range(0, whole.num_rows, BATCH):
+                rows = whole.slice(first, BATCH)
+                place = np.stack([np.asarray(rows.column(i)) for i in range(4)], axis=1)
+                all_words, all_n = rows.column(4).to_pylist(), np.asarray(rows.column(5))
+                starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1)]))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
+                    *now, role = place[a].tolist()
+                    if now != here:
+                        here, block, home = now, None, ([], [])
+                    if role == 0:
+                        home[0].extend(all_words[a:b])
+                        home[1].extend(all_n[a:b].tolist())
+                        continue
+                    if not home[0]:
+                        continue  # no word of that length in the leaf
+                    block = block or Block(*home)
+                    step = max(1, BLOCK_LETTERS // max(1, here[0]))
+                    for k in range(a, b, step):
+                        words, n = all_words[k : min(b, k + step)], all_n[k : min(b, k + step)]
+                        mine, theirs = block.near(words, role == 1)
+                        if len(mine):
+                            yield _summed(words, n, mine, block.words, block.n, theirs, ratio)
+                            if role == 2:
+                                yield _summed(block.words, block.n, theirs, words, n, mine, ratio)
+
+    return run
+
+
+def near_words(words: DataFrame, ratio: int = RATIO) -> DataFrame:
+    """Per word that has near ones: ``near`` (their number), ``form`` and ``form_n``: the one with the largest n (ties: smallest) if that is ``ratio`` times its own.
 
     ``words`` has distinct, non-empty ``word`` of letters a-z and U+00C0 to U+00FF, and ``n``. Every pair of words that differ by exactly one
     inserted, deleted or replaced letter is found. A leaf with many words is dealt out to blocks by hash.
@@ -261,7 +284,7 @@ def near_words(words: DataFrame) -> DataFrame:
     total = words.count()
     share = min(1.0, SAMPLE / max(1, total))
     sample = [r[0] for r in words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))).select("word").collect()]
-    trees = cut_trees(sample, max(BUCKET, int(BLOCK_WORDS * share)))
+    trees = cut_trees(sample, max(LEAF_SAMPLE, int(BLOCK_WORDS * share)))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -312,8 +335,8 @@ def near_words(words: DataFrame) -> DataFrame:
 
     dealt = placed.withColumn("h", F.pmod(F.xxhash64("word", F.lit(7)), F.lit(1 << 40))).mapInArrow(deal, "length int, leaf int, block int, role int, word string, n long")
     order = ["length", "leaf", "block"]
-    found = dealt.repartition(partitions_for(spark), *order).sortWithinPartitions(*order, "role").mapInArrow(_search_blocks, _NEAR)
-    best = F.min(F.struct((-F.col("form_n")).alias("less"), "form"))
+    found = dealt.repartition(partitions_for(spark), *order).sortWithinPartitions(*order, "role").mapInArrow(_search_blocks(ratio), _NEAR)
+    best = F.min(F.when(F.col("form").isNotNull(), F.struct((-F.col("form_n")).alias("less"), F.col("form").alias("form"))))
     out = materialise(found.groupBy("word").agg(F.sum("near").alias("near"), best.alias("best")).select("word", "near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n")), "spelling-near")
     drop_table(placed)
     return out
@@ -328,12 +351,8 @@ def group(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """
     if ratio < 2:
         raise ValueError("a form must be at least twice as frequent, or chains need not end")
-    near = near_words(words)
-    joined = words.join(near, "word", "left")
-    formed = F.coalesce(F.col("form_n") >= ratio * F.col("n"), F.lit(False))
-    known = materialise(
-        joined.select("word", "n", F.coalesce("near", F.lit(0)).cast("long").alias("n_near"), F.when(formed, F.col("form")).alias("form"), F.when(formed, F.col("form_n")).alias("form_n")), "spelling-forms"
-    )
+    near = near_words(words, ratio)
+    known = materialise(words.join(near, "word", "left").select("word", "n", F.coalesce("near", F.lit(0)).cast("long").alias("n_near"), "form", "form_n"), "spelling-forms")
     steps = known.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     reach, most = 1, int(np.ceil(63 / np.log2(ratio)))
     while reach < most:
