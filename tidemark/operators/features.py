@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import div, pct_diff
 from tidemark.functions.smoothing import ewm_columns, ewm_dense, rsi_from
+from tidemark.operators import panel
 
 SESSION = ("symbol", "session_date")
 
@@ -430,7 +431,8 @@ def panel_columns(points: DataFrame, opening_rows: int = 15, dense: bool = False
     """Every panel indicator on every minute point of ``symbol, ts, OHLCV, turnover``.
 
     Series run across sessions per symbol, except VWAP and the opening range. ``dense`` marks
-    short inputs (a polled tail), where smoothing needs no block restart.
+    short inputs (a polled tail), where smoothing needs no block restart. Whoever needs the latest point only takes ``latest_panel``,
+    which never brings a symbol's minutes together.
     """
     keys, w = ("symbol",), Window.partitionBy("symbol").orderBy("ts")
     day = Window.partitionBy("symbol", "session_date").orderBy("ts")
@@ -553,8 +555,5 @@ def rule_checks(df: DataFrame) -> DataFrame:
 
 
 def latest_panel(points: DataFrame, opening_rows: int = 15) -> DataFrame:
-    """Indicator panel of the latest point of each symbol."""
-    df = rule_checks(panel_columns(points, opening_rows))
-    cols = [c for c in df.columns if c != "symbol"]
-    newest = df.groupBy("symbol").agg(F.max_by(F.struct(*cols), F.col("ts")).alias("p"))
-    return newest.select("symbol", "p.*")
+    """Indicator panel and checks of the latest point of each symbol, from summaries of its sessions."""
+    return rule_checks(panel.latest_panel(points, opening_rows))

@@ -55,9 +55,8 @@ def panel_sql(source: str) -> str:
 
 
 PANEL_SQL = panel_sql(bars_cte(1))
-TAIL_SQL = panel_sql(
-    """bars AS (SELECT event_type AS symbol, ts, CAST(ts AS DATE) AS session_date, value AS close, value AS high, value AS low, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume
-    FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) <= 420)"""
+TICK_SQL = panel_sql(
+    """bars AS (SELECT event_type AS symbol, ts, CAST(ts AS DATE) AS session_date, value AS close, value AS high, value AS low, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume FROM events)"""
 )
 
 
@@ -231,12 +230,12 @@ def _(spark, d):
     return out.select("symbol", tst("bar_start"), *[rnd(c).alias(c) for c in ("open", "high", "low", "close", "volume")], "source_rows")
 
 
-@query("k02_live_panel", f"{TAIL_SQL} {PANEL_COLS}")
+@query("k02_live_panel", f"{TICK_SQL} {PANEL_COLS}")
 def _(spark, d):
     quotes = event_quotes(L.table_stream(spark, d, "events"))
     same = [F.col("close").alias(c) for c in ("open", "high", "low")]
     pts = quotes.select("symbol", "ts", *same, "close", "volume", F.lit(0.0).alias("turnover"))
-    return panel_rows(L.live_panel(pts, L.new_path(spark, "panel")))
+    return panel_rows(L.newest_panel(L.live_panel(pts, L.new_path(spark, "panel"))))
 
 
 @query(

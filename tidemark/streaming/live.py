@@ -6,6 +6,8 @@ checkpoint in the shared folder, and call the batch operators where state is a t
 
 from __future__ import annotations
 
+import copy
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -16,8 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import features as X
+from tidemark.operators import panel as P
 from tidemark.operators.merge import merge_observations, stable_hash
-from tidemark.operators.rotation import Strategy, keep_last
+from tidemark.operators.rotation import Strategy
 from tidemark.session import shared_dir
 
 
@@ -61,27 +64,64 @@ def run_batches(stream: DataFrame, path: str, handle) -> None:
     query.awaitTermination()
 
 
-def live_panel(points: DataFrame, path: str, keep: int = 420) -> DataFrame:
-    """Indicator panel of each symbol, refreshed per batch from its last ``keep`` points.
+def live_panel(points: DataFrame, path: str, opening_rows: int = 15, delay: str = "30 minutes") -> DataFrame:
+    """Indicator panel of every symbol that a batch has points of, one row a batch and symbol with its ``rows`` so far.
 
-    The tail table of a batch is written under its batch id, so a repeated batch overwrites
-    itself; the panel is the batch operator over that tail.
+    The state of a symbol is that of ``operators.panel``: its averages, its last 21 rows and its session's sums, however long its
+    history. Points that the watermark (``delay`` behind the newest) has not passed are held beside it, so they may come in any
+    order; they count in every panel. Older ones are dropped and counted in ``late``. Points of one symbol and time count each.
     """
+    columns = ["symbol", "ts", "open", "high", "low", "close", "volume", "turnover"]
+
+    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        saved = json.loads(state.get[0]) if state.exists else {"taken": P.new_state(), "held": [], "until": None, "late": 0}
+        done, held, until = saved["taken"], saved["held"], saved["until"]
+        for frame in frames:
+            for r in frame[columns[1:]].itertuples(index=False):
+                row = [int(r.ts.value), *[None if v is None or v != v else float(v) for v in r[1:]]]
+                if until is not None and row[0] <= until:
+                    saved["late"] += 1
+                else:
+                    held.append(row)
+        held.sort(key=lambda row: (row[0], [(v is not None, v or 0.0) for v in row[1:]]))
+        passed = state.getCurrentWatermarkMs() * 1_000_000
+        ready = [row for row in held if row[0] <= passed]
+
+        def take(s: dict, row: list) -> None:
+            point = (row[0], row[2], row[3], row[4], row[5])
+            P.day_step(s, row[0] // 86_400_000_000_000, point, row[6], opening_rows)
+            P.step(s, point)
+
+        for row in ready:
+            take(done, row)
+        saved["held"] = held = held[len(ready) :]
+        saved["until"] = ready[-1][0] if ready else until
+        state.update((json.dumps(saved),))
+        if not held and not ready:
+            return
+        now = copy.deepcopy(done)
+        for row in held:
+            take(now, row)
+        out = P.summary_frame([P.summary_of(key[0], now)])
+        last = (held or ready)[-1]
+        out["ts"] = pd.Timestamp(last[0])
+        for i, c in enumerate(columns[2:]):
+            out[c] = last[i + 1]
+        out["rows"], out["late"] = now["n"], saved["late"]
+        yield out
+
     spark = points.sparkSession
-    done: list[int] = []
+    schema = f"{P.SUMMARY}, ts timestamp, open double, high double, low double, close double, volume double, turnover double, rows long, late long"
+    typed = points.select(*[F.col(c).cast("timestamp" if c == "ts" else "string" if c == "symbol" else "double") for c in columns]).withWatermark("ts", delay)
+    panels = typed.groupBy("symbol").applyInPandasWithState(update, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    stored = run_to_files(panels, path)
+    return X.rule_checks(P.panel_from_summary(spark.read.schema(stored.schema).parquet(f"{path}/data").withColumn("session_date", F.to_date("ts")), opening_rows))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        tail = batch
-        if batch_id > 0:
-            tail = tail.unionByName(batch.sparkSession.read.parquet(f"{path}/tail/{batch_id - 1}"))
-        keep_last(tail, ["symbol"], keep).write.mode("overwrite").parquet(f"{path}/tail/{batch_id}")
-        done.append(batch_id)
-
-    run_batches(points, path, handle)
-    tail = spark.read.parquet(f"{path}/tail/{done[-1]}")
-    df = X.rule_checks(X.panel_columns(tail, dense=True))
-    rest = [c for c in df.columns if c != "symbol"]
-    return df.groupBy("symbol").agg(F.max_by(F.struct(*rest), "ts").alias("p")).select("symbol", "p.*")
+
+def newest_panel(panels: DataFrame) -> DataFrame:
+    """The panel after the most rows of every symbol."""
+    rest = [c for c in panels.columns if c not in ("symbol", "rows")]
+    return panels.groupBy("symbol").agg(F.max_by(F.struct(*rest), "rows").alias("p")).select("symbol", "p.*")
 
 
 TRADE = T.StructType(
