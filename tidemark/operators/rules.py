@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import events as E
 from tidemark.operators.features import MINING_FEATURES, SESSION
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.session import materialise
 
 DIRECTIONS = ("long", "short")
@@ -58,19 +59,11 @@ def with_split(features: DataFrame, train_fraction: float = 0.7) -> DataFrame:
 
 
 def quantile_conditions(train: DataFrame, names: Sequence[str], min_values: int = 30, min_distinct: int = 8) -> DataFrame:
-    """Candidate conditions per symbol: ``symbol, cond(position, fi, feature, up, threshold)``.
-
-    Values are counted first, so the exact percentile works on distinct values with weights.
-    """
+    """Candidate conditions per symbol: ``symbol, cond(position, fi, feature, up, threshold)``, thresholds by ``exact_quantiles``."""
     pairs = F.array(*[F.struct(F.lit(i).alias("fi"), F.col(n).alias("v")) for i, n in enumerate(names)])
-    values = train.select("symbol", F.explode(pairs).alias("p")).select("symbol", "p.fi", "p.v").filter(F.col("v").isNotNull())
-    counted = values.groupBy("symbol", "fi", "v").agg(F.count(F.lit(1)).alias("n"))
+    values = train.select("symbol", F.explode(pairs).alias("p")).select("symbol", "p.fi", "p.v")
     qs = LOW_QUANTILES + HIGH_QUANTILES
-    stats = counted.groupBy("symbol", "fi").agg(
-        F.percentile("v", F.array(*[F.lit(q) for q in qs]), F.col("n")).alias("q"),
-        F.sum("n").alias("total"),
-        F.count(F.lit(1)).alias("different"),
-    )
+    stats = exact_quantiles(values, ["symbol", "fi"], qs)
     stats = stats.filter((F.col("total") >= min_values) & (F.col("different") >= min_distinct))
     feature = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("fi") + 1)
     conds = F.transform(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import div, or_default
 from tidemark.operators.features import MINING_FEATURES, SESSION, session_window
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import materialise
 
 
 def turn_candidates(bars: DataFrame, window_bars: int = 5, prominence_atr: float = 2.0, tolerance_atr: float = 0.18) -> DataFrame:
@@ -145,13 +147,16 @@ def event_differences(labelled: DataFrame, event: str, features=None, lead_bars:
     )
     long = labelled.select("symbol", (F.col("pivot_label") == event).alias("hit"), pairs.alias("p")).select("symbol", "hit", F.explode("p").alias("p"))
     before = F.when(F.col("hit"), F.col("p.before"))
-    stats = long.groupBy("symbol", F.col("p.feature").alias("feature")).agg(
-        F.count(before).alias("event_count"),
-        F.count("p.value").alias("__base"),
-        F.percentile(before, F.lit(0.5)).alias("event_median"),
-        F.percentile(F.col("p.value"), F.lit(0.5)).alias("baseline_median"),
-        F.stddev_samp("p.value").alias("__sd"),
-    )
+    long = materialise(long.select("symbol", F.col("p.feature").alias("feature"), F.col("p.value").alias("value"), before.alias("before")), "event-values")
+    spread = long.groupBy("symbol", "feature").agg(F.stddev_samp("value").alias("__sd"))
+    both = long.select("symbol", "feature", F.explode(F.array(F.struct(F.lit("event").alias("kind"), F.col("before").alias("v")), F.struct(F.lit("base").alias("kind"), F.col("value").alias("v")))).alias("x"))
+    medians = exact_quantiles(both.select("symbol", "feature", "x.kind", "x.v"), ["symbol", "feature", "kind"], [0.5]).withColumn("m", F.col("q")[0])
+
+    def of(kind: str, column: str):
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+    stats = medians.groupBy("symbol", "feature").agg(of("event", "total").alias("event_count"), of("base", "total").alias("__base"), of("event", "m").alias("event_median"), of("base", "m").alias("baseline_median"))
+    stats = stats.join(spread, ["symbol", "feature"])
     gap = F.coalesce(div(F.col("event_median") - F.col("baseline_median"), "__sd"), F.lit(0.0))
     return (
         stats.filter((F.col("event_count") >= 5) & (F.col("__base") >= 20))
