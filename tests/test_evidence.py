@@ -316,4 +316,4 @@ def test_nothing_is_cut_off(spark):
     assert (h.matched_manager_count, h.total_value_usd, h.total_shares) == (20, 20.0, 40.0)
     rows = spark.range(250).selectExpr("concat('T', id) AS ticker", "'X' AS sector_group", "CAST(id AS DOUBLE) AS total_score", "DATE'2020-01-01' AS scored_at", "'n' AS name", "'c' AS code")
     s = rank.grouped_by_sector(rows).first()
-    assert s.candidate_count == 250 and len(s.candidates) == 100 and s.candidates[0] == "T249"
+    assert s.candidate_count == 250 and len(s.candidates) == 250 and s.candidates[0] == "T249"

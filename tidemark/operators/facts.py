@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.functions.numeric import div, growth
 from tidemark.operators import joins as J
+from tidemark.session import materialise
 
 # Tags tried in order for each metric.
 REVENUE_TAGS = (
@@ -174,16 +175,17 @@ def financial_quality(facts: DataFrame) -> DataFrame:
     ).drop("debt_current", "debt_noncurrent", "receivables_prior", "inventory_prior")
 
 
-def first_rows(rows: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], limit: int, name: str) -> DataFrame:
-    """The first ``limit`` rows per key as a short array (a group limit before the exchange)."""
+def first_rows(rows: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], limit: int | None, name: str) -> DataFrame:
+    """The rows per key in order as an array; the first ``limit`` (a group limit before the exchange) if that is given."""
     w = Window.partitionBy(key).orderBy(*order)
-    tail = rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= limit)
+    numbered = rows.withColumn("__k", F.row_number().over(w))
+    tail = numbered if limit is None else numbered.filter(F.col("__k") <= limit)
     out = tail.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__k", *cols))).alias("__r"))
     return out.select(key, F.transform("__r", lambda r: F.struct(*[r[c].alias(c) for c in cols])).alias(name))
 
 
-def form4_rollup(transactions: DataFrame, key: str = "ticker") -> DataFrame:
-    """Counts and values of acquired and disposed shares, the net value and the first 25 rows."""
+def form4_rollup(transactions: DataFrame, key: str = "ticker", listed: int | None = None) -> DataFrame:
+    """Counts and values of acquired and disposed shares, the net value and the rows in filing order (the first ``listed`` if that is given)."""
     side, value = F.col("acquired_disposed"), F.col("value")
     bought, sold = side == "A", side == "D"
     out = transactions.groupBy(key).agg(
@@ -193,7 +195,7 @@ def form4_rollup(transactions: DataFrame, key: str = "ticker") -> DataFrame:
         F.coalesce(F.sum(F.when(bought, value)), F.lit(0.0)).alias("purchase_value"),
         F.coalesce(F.sum(F.when(sold, value)), F.lit(0.0)).alias("sale_value"),
     )
-    rows = first_rows(transactions, key, ["filing_no", "position"], ["transaction_date", "transaction_code", "shares", "price", "value"], 25, "transactions")
+    rows = first_rows(transactions, key, ["filing_no", "position"], ["transaction_date", "transaction_code", "shares", "price", "value"], listed, "transactions")
     return out.withColumn("net_purchase_value", F.col("purchase_value") - F.col("sale_value")).join(rows, key)
 
 
@@ -250,6 +252,7 @@ def holdings_rollup(holdings: DataFrame, companies: DataFrame, managers_checked:
     matched once per distinct name and joined back. ``managers_checked`` limits the managers by number.
     """
     checked = holdings if managers_checked is None else holdings.filter(F.col("manager_no") < managers_checked)
+    checked = materialise(checked.select("manager", "name_of_issuer", "value_usd", "shares"), "holdings")  # each document is parsed once
     pairs = J.issuer_matches(checked.select(F.col("name_of_issuer").alias("issuer")), companies)
     matched = checked.join(pairs, F.col("name_of_issuer") == F.col("issuer"))
     return matched.groupBy("ticker").agg(

@@ -84,11 +84,36 @@ def match_awards(awards: DataFrame, companies: DataFrame, least: float = 0.45) -
     return kept.withColumn("recipient_match_score", F.when(~nameless, round_even("__score", 3))).drop("__own", "__tokens", "__score")
 
 
+#: Rows of one join key that meet in one task, on either side.
+KEY_ROWS = 2_048
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, block: int = KEY_ROWS) -> DataFrame:
+    """Inner join on ``key`` in which a frequent key is dealt out to blocks on both sides.
+
+    A key with ``n`` and ``m`` rows becomes ``ceil(n / block) * ceil(m / block)`` keys of at most about ``block`` rows a side: every row
+    has a block of its own side by hash and is repeated for the blocks of the other. Only frequent keys are looked up, and keys
+    that one side lacks are dropped before.
+    """
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    frequent = materialise(sizes(left, "__lb").join(sizes(right, "__rb"), key).where("__lb > 1 OR __rb > 1"), "frequent-keys")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        out = df.join(frequent, key, "left")
+        mine = F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1)).cast("long")).cast("int").alias(f"{own}_at")
+        return out.select(*df.columns, mine, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(f"{other}_at"))
+
+    return dealt(left, "__lb", "__rb").join(dealt(right, "__rb", "__lb"), [key, "__lb_at", "__rb_at"]).drop("__lb_at", "__rb_at")
+
+
 def issuer_matches(issuers: DataFrame, companies: DataFrame) -> DataFrame:
     """Pairs ``issuer, ticker`` that share two name tokens, the only token, or the ticker itself.
 
     The join key is the pair of tokens itself (or the single token), so every joined row is a
-    match: a frequent word alone never pairs anything. Issuer names are made distinct first.
+    match: a frequent word alone never pairs anything. Issuer names are made distinct first, a frequent pair is
+    dealt out (``spread_join``), and two names that share several pairs are one row, kept under their first common pair.
     """
     names = issuers.select("issuer").distinct().select("issuer", S.issuer_tokens("issuer").alias("t"))
     own = companies.select("ticker", S.issuer_tokens("name").alias("t"), F.lower("ticker").alias("sym"))
@@ -99,12 +124,16 @@ def issuer_matches(issuers: DataFrame, companies: DataFrame) -> DataFrame:
             F.transform(s, lambda a: F.transform(F.filter(s, lambda b: b > a), lambda b: F.concat(a, F.lit(" "), b)))
         )
 
-    issuer_keys = names.select("issuer", F.explode(F.concat(token_pairs(F.col("t")), F.col("t"))).alias("key"))
+    issuer_keys = names.select("issuer", F.explode(F.concat(token_pairs(F.col("t")), F.col("t"))).alias("key"), F.array_sort("t").alias("it"))
     company_keys = own.select(
         "ticker",
         F.explode(F.array_distinct(F.concat(F.when(F.size("t") >= 2, token_pairs(F.col("t"))).otherwise(F.col("t")), F.array("sym")))).alias("key"),
+        F.array_sort("t").alias("ct"),
     )
-    return issuer_keys.join(company_keys, "key").select("issuer", "ticker").distinct()
+    common = F.array_sort(F.array_intersect("it", "ct"))
+    first = F.when((F.size("ct") >= 2) & (F.size(common) >= 2), F.concat(common[0], F.lit(" "), common[1]))
+    met = spread_join(issuer_keys, company_keys, "key").where(first.isNull() | (F.col("key") == first))
+    return met.select("issuer", "ticker").distinct()  # a ticker may have several names
 
 
 def keyword_matches(events: DataFrame, text: Column, keywords: dict[str, list[str]]) -> DataFrame:

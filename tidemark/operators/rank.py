@@ -70,10 +70,11 @@ def sector_rollup(latest: DataFrame) -> DataFrame:
     )
 
 
-def grouped_by_sector(latest: DataFrame, listed: int = 100) -> DataFrame:
-    """Count and best score of every sector over all candidates; the ``listed`` best of all are named in theirs, best first."""
+def grouped_by_sector(latest: DataFrame, listed: int | None = None) -> DataFrame:
+    """Count and best score of every sector over all candidates, with its candidates, best first; only the ``listed`` best of all if that is given."""
     item = F.struct((-F.col("total_score")).alias("k"), "ticker")
-    named = ranked_scores(latest, limit=listed).groupBy(F.col("sector_group").alias("sector")).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    chosen = latest if listed is None else ranked_scores(latest, limit=listed)
+    named = chosen.groupBy(F.col("sector_group").alias("sector")).agg(F.array_sort(F.collect_list(item)).alias("__items"))
     out = sector_rollup(latest).join(named.withColumnRenamed("sector", "__sector"), F.col("sector").eqNullSafe(F.col("__sector")), "left")
     names = F.coalesce(F.transform("__items", lambda x: x["ticker"]), F.array().cast("array<string>"))
     return out.withColumn("candidates", names).drop("__items", "__sector")

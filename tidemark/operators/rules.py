@@ -34,7 +34,7 @@ class MiningParams:
     min_test_trades: int = 5
     max_seeds: int = 10
     stability_top: int = 10
-    keep: int = 40
+    keep: int | None = None
     min_values: int = 30
     min_distinct: int = 8
 
@@ -255,9 +255,9 @@ def mine_rules(features: DataFrame, names: Sequence[str] = MINING_FEATURES, p: M
         both.join(rules, ["symbol", "rule_id"])
         .withColumns({"score": rule_score("train_", "test_"), "status": rule_status()})
         .withColumn("place", F.row_number().over(w))
-        .filter(F.col("place") <= max(p.keep, p.stability_top))
     )
-    ranked = materialise(ranked, "ranked-rules")
+    # rules past the kept ones are looked at only where the stability check needs them
+    ranked = materialise(ranked if p.keep is None else ranked.filter(F.col("place") <= max(p.keep, p.stability_top)), "ranked-rules")
     top = ranked.filter(F.col("place") <= p.stability_top)
     near = evaluate_rules(base.filter("NOT is_train"), neighbour_rules(top, feature_spread(train, names)), p)
     rate = near.groupBy("symbol", F.floor(F.col("rule_id") / 3).cast("int").alias("rule_id")).agg(
@@ -268,10 +268,8 @@ def mine_rules(features: DataFrame, names: Sequence[str] = MINING_FEATURES, p: M
     neighbours = F.when(in_top, F.coalesce("positive_neighbors", F.lit(0)))
     out = out.withColumn("positive_neighbors", neighbours).withColumn("positive_neighbor_rate", F.col("positive_neighbors") / 3)
     weak = in_top & (F.col("status") == "candidate") & (F.col("positive_neighbor_rate") < 2 / 3)
-    return (
-        out.withColumns({"status": F.when(weak, "experiment").otherwise(F.col("status")), "rule": rule_text(F.col("conds"))})
-        .filter(F.col("place") <= p.keep)
-    )
+    out = out.withColumns({"status": F.when(weak, "experiment").otherwise(F.col("status")), "rule": rule_text(F.col("conds"))})
+    return out if p.keep is None else out.filter(F.col("place") <= p.keep)
 
 
 # --- tuning and validation ----------------------------------------------------------------
@@ -384,14 +382,15 @@ def tune_exits(features: DataFrame, specs: DataFrame, names: Sequence[str] = MIN
     return out.withColumns({"posture": posture, "rule": rule_text(c("conds"))}).drop("last_block")
 
 
-def rules_to_tune(mined: DataFrame, pool: int = 60, keep: int = 6) -> DataFrame:
-    """Mined rules worth tuning: positive on both sides and stable, the first six per symbol by score."""
+def rules_to_tune(mined: DataFrame, pool: int | None = None, keep: int | None = None) -> DataFrame:
+    """Mined rules worth tuning: positive on both sides and stable; the first ``keep`` per symbol by score out of the first ``pool``, if given."""
     w = Window.partitionBy("symbol").orderBy(F.desc(F.round("score", 9)), "rule_id")
-    listed = mined.withColumn("pool_place", F.row_number().over(w)).filter(F.col("pool_place") <= pool)
+    listed = mined if pool is None else mined.withColumn("pool_place", F.row_number().over(w)).filter(F.col("pool_place") <= pool)
     good = (
         (F.col("train_total_net_return") > 0) & (F.col("test_total_net_return") > 0) & (F.coalesce("positive_neighbor_rate", F.lit(0.0)) >= 2 / 3)
     )
-    kept = listed.filter(good).withColumn("tune_place", F.row_number().over(w)).filter(F.col("tune_place") <= keep)
+    kept = listed.filter(good).withColumn("tune_place", F.row_number().over(w))
+    kept = kept if keep is None else kept.filter(F.col("tune_place") <= keep)
     return kept.select("symbol", "rule_id", "direction", "conds", F.col("positive_neighbor_rate").alias("neighbor_rate"), "tune_place")
 
 

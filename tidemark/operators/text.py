@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions.numeric import col, let
-from tidemark.functions.textscan import around, match_spans, squeeze, term_pattern
+from tidemark.functions.textscan import around, fold_matches, match_spans, squeeze, term_pattern
 
 # Terms scanned in filings.
 ORDER_TERMS = (
@@ -77,15 +77,22 @@ def term_counts(text: Column | str, terms: Sequence[str] = ORDER_TERMS, marker:
 def snippets(text: Column | str, terms: Sequence[str] = ORDER_TERMS, radius: int = 220, max_snippets: int = 4, spacing: int = 80) -> Column:
     """Passages around matches in term order, skipping one that starts within ``spacing`` of a kept one."""
     t = col(text)
-    spans = match_spans(t, [term_pattern(x) for x in terms])
-    starts = F.transform(spans, lambda s: F.struct(F.greatest(F.lit(0), s["start"] - radius).alias("a"), s["start"].alias("s"), s["end"].alias("e")))
 
-    def step(acc: Column, s: Column) -> Column:
-        near = F.exists(acc, lambda k: F.abs(k["a"] - s["a"]) < spacing)
-        return F.when((F.size(acc) < max_snippets) & ~near, F.concat(acc, F.array(s))).otherwise(acc)
+    def step(acc: Column, at: Column, m: Column, k: Column) -> Column:
+        a = F.greatest(F.lit(0), at - radius)
+        near = F.exists(acc, lambda x: F.abs(x["a"] - a) < spacing)
+        here = F.struct(a.alias("a"), at.alias("s"), (at + F.length(m)).alias("e"))
+        return F.when((F.size(acc) < max_snippets) & ~near, F.concat(acc, F.array(here))).otherwise(acc)
 
-    kept = F.aggregate(starts, F.array().cast("array<struct<a:int,s:int,e:int>>"), step)
-    return F.transform(kept, lambda s: around(t, s["s"], s["e"], radius))
+    # one fold a term over what the terms before it kept: at most ``max_snippets`` places are held
+    kept = F.array().cast("array<struct<a:int,s:int,e:int>>")
+    def with_term(kept: Column, pattern: str) -> Column:
+        return let(kept, lambda acc: fold_matches(t, pattern, acc, step))
+
+    for x in terms:
+        kept = with_term(kept, term_pattern(x))
+    found = F.transform(kept, lambda s: around(t, s["s"], s["e"], radius))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def amounts(text: Column | str, max_items: int | None = None, least: float = 100_000, radius: int = 160) -> Column:
@@ -153,8 +160,11 @@ def ownership_section(text: Column | str, span: int | None = None, least: int =
     return F.coalesce(let(col(text), section_from), F.lit(""))
 
 
-def ownership_rows(section: Column | str, limit: int | None = None) -> Column:
-    """Ownership sentences of a section with their largest percentage; the first ``limit`` if that is given."""
+def ownership_rows(section: Column | str, limit: int | None = None, longest: int | None = None, shown: int | None = None) -> Column:
+    """Ownership sentences (15 characters at least) of a section with their largest percentage.
+
+    The first ``limit``, no sentence over ``longest`` characters and the first ``shown`` of its text, if these are given.
+    """
     sentences = F.split(col(section), r"(?<=[.%])\s+")
 
     def named(low: Column, words: Sequence[str]) -> Column:
@@ -165,8 +175,14 @@ def ownership_rows(section: Column | str, limit: int | None = None) -> Column:
         return F.struct(F.trim(s).alias("text"), F.array_max(values).alias("percent"))
 
     rows = F.transform(F.filter(sentences, lambda s: let(F.lower(s), lambda low: named(low, OWNERSHIP_WORDS) & ~named(low, OTHER_WORDS))), row)
-    good = F.filter(rows, lambda r: (r["percent"] > 0) & (r["percent"] <= 1) & F.length(r["text"]).between(15, 600))
-    return F.transform(good if limit is None else F.slice(good, 1, limit), lambda r: F.struct(F.substring(r["text"], 1, 220).alias("name_or_context"), r["percent"].alias("percent")))
+
+    def fits(r: Column) -> Column:
+        size = F.length(r["text"])
+        return (r["percent"] > 0) & (r["percent"] <= 1) & (size >= 15) & (F.lit(True) if longest is None else size <= longest)
+
+    good = F.filter(rows, fits)
+    text = lambda r: r["text"] if shown is None else F.substring(r["text"], 1, shown)
+    return F.transform(good if limit is None else F.slice(good, 1, limit), lambda r: F.struct(text(r).alias("name_or_context"), r["percent"].alias("percent")))
 
 
 def group_percent(section: Column | str) -> Column:

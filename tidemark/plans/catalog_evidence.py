@@ -201,12 +201,13 @@ def _(spark, d):
     "g05_form4_rollup",
     f"""SELECT 'C' || o_custkey AS ticker, 2 * count(*) AS transaction_count, count(*) + count(*) FILTER (l_returnflag <> 'R') AS purchase_count, count(*) FILTER (l_returnflag = 'R') AS sale_count,
     {r("sum(l_tax) + coalesce(sum(l_quantity * l_extendedprice) FILTER (l_returnflag <> 'R'), 0) - coalesce(sum(l_quantity * l_extendedprice) FILTER (l_returnflag = 'R'), 0)", 'net_purchase_value', 2)},
-    CAST(least(25, 2 * count(*)) AS BIGINT) AS listed FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
+    2 * count(*) AS listed, {r("sum(l_tax) + sum(l_quantity * l_extendedprice)", 'listed_value', 2)}, CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR) AS first_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
 )
 def _(spark, d):
     out = FA.form4_rollup(FI.form4_transactions(form4_documents(spark, d)))
     return out.select(
-        "ticker", "transaction_count", "purchase_count", "sale_count", rnd("net_purchase_value", 2).alias("net_purchase_value"), F.size("transactions").cast("bigint").alias("listed")
+        "ticker", "transaction_count", "purchase_count", "sale_count", rnd("net_purchase_value", 2).alias("net_purchase_value"), F.size("transactions").cast("bigint").alias("listed"),
+        rnd(F.aggregate("transactions", F.lit(0.0), lambda acc, t: acc + F.coalesce(t["value"], F.lit(0.0))), 2).alias("listed_value"), F.array_min(F.transform("transactions", lambda t: t["transaction_date"].cast("string"))).alias("first_date"),
     )
 
 

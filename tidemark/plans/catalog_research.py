@@ -342,7 +342,7 @@ MINED = (
     + trades_sql("nsig", "ntr", "rule_id")
     + metrics_sql("ntr", "nm", "symbol, rule_id")
     + """, nr AS (SELECT symbol, rule_id // 3 AS rule_id, count(*) FILTER (trades > 0 AND total_net_return > 0 AND profit_factor >= 1) AS pn FROM nm GROUP BY ALL),
-  mined AS (SELECT r.*, CASE WHEN place <= 10 THEN coalesce(pn, 0) END AS positive_neighbors FROM ranked r LEFT JOIN nr USING (symbol, rule_id) WHERE place <= 40)"""
+  mined AS (SELECT r.*, CASE WHEN place <= 10 THEN coalesce(pn, 0) END AS positive_neighbors FROM ranked r LEFT JOIN nr USING (symbol, rule_id))"""
 )
 
 

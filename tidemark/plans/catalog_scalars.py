@@ -8,6 +8,7 @@ from tidemark.functions import numeric as N
 from tidemark.functions import scalars as S
 from tidemark.functions.numeric import rnd
 from tidemark.operators import joins as J
+from tidemark.operators import screens as SC
 from tidemark.plans.registry import query
 from tidemark.plans.sqltext import r
 from tidemark.sources.tables import table
@@ -88,11 +89,10 @@ def _(spark, d):
 
 @query(
     "c04_market_screen",
-    f"WITH {SCREEN_SQL} SELECT ticker, {r('cap', 'market_cap', 2)} FROM sc WHERE cap BETWEEN 5e8 AND 4e9 AND pe BETWEEN 5 AND 30 ORDER BY cap, ticker LIMIT 200",
+    f"WITH {SCREEN_SQL} SELECT ticker, {r('cap', 'market_cap', 2)} FROM sc WHERE cap BETWEEN 5e8 AND 4e9 AND pe BETWEEN 5 AND 30",
 )
 def _(spark, d):
-    df = screen_input(spark, d).dropDuplicates(["ticker"]).filter(F.col("market_cap").between(5e8, 4e9) & F.col("trailing_pe").between(5, 30))
-    return df.orderBy("market_cap", "ticker").limit(200).select("ticker", rnd("market_cap", 2).alias("market_cap"))
+    return SC.market_screen(screen_input(spark, d)).select("ticker", rnd("market_cap", 2).alias("market_cap"))
 
 
 @query(
@@ -112,17 +112,10 @@ def _(spark, d):
 
 @query(
     "c06_universe_screen",
-    f"""WITH {SCREEN_SQL} SELECT ticker, {r('yoy', 'growth')} FROM sc WHERE cap BETWEEN 5e8 AND 1e10 AND inst >= 0.3 AND own >= 0.05 AND yoy >= 0.1 AND pe BETWEEN 0.01 AND 90
-    ORDER BY yoy DESC, ticker LIMIT 100""",
+    f"""WITH {SCREEN_SQL} SELECT ticker, {r('yoy', 'growth')} FROM sc WHERE cap BETWEEN 5e8 AND 1e10 AND inst >= 0.3 AND own >= 0.05 AND yoy >= 0.1 AND pe BETWEEN 0.01 AND 90""",
 )
 def _(spark, d):
-    c = F.col
-    keep = (
-        c("market_cap").between(5e8, 1e10) & (c("institutional_ownership") >= 0.3) & (c("insider_ownership") >= 0.05)
-        & (c("quarterly_revenue_yoy") >= 0.1) & c("trailing_pe").between(0.01, 90)
-    )
-    out = screen_input(spark, d).filter(keep).orderBy(F.desc("quarterly_revenue_yoy"), "ticker").limit(100)
-    return out.select("ticker", rnd("quarterly_revenue_yoy").alias("growth"))
+    return SC.universe_screen(screen_input(spark, d)).select("ticker", rnd("quarterly_revenue_yoy").alias("growth"))
 
 
 @query(

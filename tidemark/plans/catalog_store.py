@@ -261,7 +261,7 @@ def _(spark, d):
 @query(
     "i05_candidates_by_sector",
     f"""WITH {LATEST}, t AS (SELECT sector_group, string_agg(ticker, ',' ORDER BY total_score DESC, ticker) AS names
-      FROM (SELECT * FROM latest ORDER BY total_score DESC, scored_at DESC, ticker LIMIT 100) GROUP BY 1),
+      FROM latest GROUP BY 1),
     a AS (SELECT sector_group, count(*) AS candidate_count, max(total_score) AS best_score FROM latest GROUP BY 1)
     SELECT a.sector_group AS sector, candidate_count, best_score, coalesce(names, '') AS candidates FROM a LEFT JOIN t USING (sector_group)""",
 )
