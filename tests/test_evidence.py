@@ -241,6 +241,11 @@ def test_watchlist_files(spark, tmp_path):
     (tmp_path / "b.csv").write_text("name,ticker\nx,GHI\ny,\n")
     assert {r.symbol for r in RD.read_watchlist(spark, str(tmp_path / "a.txt")).collect()} == {"ABC", "DEF"}
     assert {r.symbol for r in RD.read_watchlist(spark, str(tmp_path / "b.csv")).collect()} == {"GHI"}
+    (tmp_path / "c.txt").write_text("\n# one, two\n\nJKL\n MNO \n")
+    (tmp_path / "d.csv").write_text('\r\nname,Ticker,x\r\n"Smith, ""J""",PQR,1\r\n,,\r\nplain, STU ,2\r\n')
+    (tmp_path / "e.csv").write_text("")
+    both = RD.read_watchlist(spark, str(tmp_path / "[c-e]*"))
+    assert {r.symbol for r in both.collect()} == {"JKL", "MNO", "PQR", "STU"}
 
 
 def test_late_rows_are_dropped_from_live_bars(spark, tmp_path):

@@ -24,10 +24,22 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
+# not deterministic on paper: a filter on the result does not make the optimiser run it a second time
+_unescape_once = _unescape.asNondeterministic()
+
+# The entities that are replaced without the table, the ampersand last.
+COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+_RARE = "&(?!(?:" + "|".join(e[1:-1] for e, _ in COMMON_ENTITIES) + ");)"
+
+
 def unescape(text: Column | str) -> Column:
-    """HTML entities to characters; only texts with an ampersand travel to Python."""
+    """HTML entities to characters; only texts with another than the four common entities travel to Python."""
     t = col(text)
-    return F.coalesce(_unescape(F.when(t.contains("&"), t)), t)
+    common = t
+    for entity, character in COMMON_ENTITIES:
+        common = F.replace(common, F.lit(entity), F.lit(character))
+    rare = t.rlike(_RARE)
+    return F.coalesce(_unescape_once(F.when(rare, t)), F.when(t.contains("&"), common).otherwise(t))
 
 
 def squeeze(text: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -73,11 +73,12 @@ def match_awards(awards: DataFrame, companies: DataFrame, least: float = 0.45) -
     """Awards fetched for a ticker, kept when the recipient matches the company's name.
 
     Awards carry the ticker they were fetched for, so this is an equi join plus a row-wise
-    token score; a company without usable tokens keeps all its awards.
+    token score; a company without usable tokens keeps all its awards. Tokens are made once for each distinct recipient;
+    that table is broadcast only where its measured size allows, and a common recipient is split by the adaptive join otherwise.
     """
     names = companies.select("ticker", S.company_tokens("name").alias("__own"))
-    # tokens are made in the row: a join on the recipient would meet in a few tasks where one recipient is common
-    joined = awards.join(names, "ticker").withColumn("__tokens", S.company_tokens("recipient_name"))
+    recipients = awards.select(F.col("recipient_name").alias("__name")).distinct().select("__name", S.company_tokens("__name").alias("__tokens"))
+    joined = awards.join(names, "ticker").join(recipients, F.col("recipient_name") == F.col("__name"), "left").drop("__name")
     joined = joined.withColumn("__score", S.match_score(F.col("__own"), F.coalesce("__tokens", F.array().cast("array<string>"))))
     nameless = F.size("__own") == 0
     kept = joined.filter(nameless | (F.col("__score") >= least))
@@ -157,6 +158,55 @@ def keyword_matches(events: DataFrame, text: Column, keywords: dict[str, list[st
     return found.select(*events.columns, "__hit.symbol", "__hit.matched_keywords")
 
 
+#: A word, or a single mark or blank of a text; the parts by which keywords are looked up.
+_PART = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]"
+
+
+def _anchors(keywords: DataFrame) -> DataFrame:
+    """Each keyword with its longest word, else a mark, else a blank (``part``), and whether that is bounded inside the keyword on both sides.
+
+    A bounded part stands in a text as it is; any other can lie inside a longer word.
+    """
+    parts = F.array_distinct(F.regexp_extract_all("low", F.lit(f"({_PART})"), F.lit(1)))
+    weight = lambda p: F.length(p) * 2 - F.when(F.trim(p) == "", 1).otherwise(0)
+    longest = F.array_sort(parts, lambda a, b: weight(b) - weight(a))
+    out = keywords.withColumn("low", F.lower("keyword")).withColumn("part", F.get(longest, 0))
+    at = F.instr("low", F.col("part"))
+    word = F.col("part").rlike(r"^[\p{L}\p{N}]")
+    inner = ~F.substring(F.col("low"), at - 1, F.lit(1)).rlike(r"[\p{L}\p{N}]") & (at > 1) & (at + F.length("part") <= F.length("low"))
+    return out.withColumn("bounded", ~word | inner)
+
+
+def keyword_matches_by_index(events: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
+    """``keyword_matches`` for a keyword table of any size: ``symbol, position, keyword``; ``key`` tells the events apart.
+
+    Keywords are looked up by one of their words: first in the vocabulary of all texts (a word that is not bounded by its keyword by
+    the letters of its first three-letter piece), then by the words found there in the texts. What is left is confirmed in the text, so the work
+    follows the texts and the matches, not texts times keywords. Null texts, keys and keywords and empty keywords match nothing.
+    """
+    clean = events.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    listed = materialise(_anchors(keywords.where("keyword <> ''").select("symbol", "position", "keyword")), "keywords")
+    words = materialise(clean.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({_PART})"), F.lit(1)))).alias("word")), "event-words")
+    known = words.select("word").distinct()
+    exact = listed.where("bounded").join(known, F.col("part") == F.col("word"))
+    size = F.least(F.length("part"), F.lit(3))
+    loose = listed.where("NOT bounded").select("symbol", "position", "part", F.substring("part", F.lit(1), size).alias("piece"))
+    pieces = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - k + 1, F.lit(1))), lambda i: F.substring(F.col("word"), i, k))))
+    inside = spread_join(known.select("word", F.explode(F.array_distinct(pieces)).alias("piece")), loose, "piece").where(F.contains("word", F.col("part")))
+    look = materialise(exact.select("symbol", "position", "word").unionByName(inside.select("symbol", "position", "word")), "keyword-words")
+    met = spread_join(words, look, "word").select("__key", "symbol", "position").distinct()
+    candidates = met.join(listed.select("symbol", "position", "keyword"), ["symbol", "position"])
+    grouped = candidates.groupBy("__key", F.col("symbol").alias("__symbol")).agg(F.sort_array(F.collect_list(F.struct("position", "keyword"))).alias("__may"))
+    joined = clean.join(grouped, F.col(key) == F.col("__key"))
+    found = joined.withColumn("__hit", let(F.lower(text), lambda low: F.filter("__may", lambda k: F.contains(low, F.lower(k["keyword"])))))
+    return found.where(F.size("__hit") > 0).select(*events.columns, F.col("__symbol").alias("symbol"), F.transform("__hit", lambda k: k["keyword"]).alias("matched_keywords"))
+
+
+def keyword_table(spark: SparkSession, keywords: dict[str, list[str]]) -> DataFrame:
+    rows = [(s, i, k) for s, ks in sorted(keywords.items()) for i, k in enumerate(ks)]
+    return spark.createDataFrame(rows, "symbol string, position int, keyword string")
+
+
 def still_relevant(net: Column, status: Column, now: Column, lookback_hours: int = 24) -> Column:
     """False for events older than the lookback and for finished ones in the past."""
     hours = F.lit(max(0, lookback_hours))

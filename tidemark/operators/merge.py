@@ -35,6 +35,29 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Dat
     return latest_per_key(both, keys, ["__side", "version"]).drop("__side")
 
 
+CONTENT = ("ticker", "source_key", "observation_type", "raw_hash")
+
+
+def sightings(observations: DataFrame) -> DataFrame:
+    """One row per content key and metadata entry: its last value, and the first and last sighting; a mergeable state."""
+    order = F.struct("fetched_at", "run_id")
+    entries = observations.select("*", F.explode_outer("metadata").alias("entry", "value"))
+    rows = entries.select(*CONTENT, "entry", F.struct(order.alias("at"), F.col("value").alias("value")).alias("newest"), F.struct("fetched_at", "run_id", "title", "source_url").alias("first"), order.alias("last"))
+    return merge_sightings(rows)
+
+
+def merge_sightings(rows: DataFrame) -> DataFrame:
+    """Any union of ``sightings`` to one row per content key and entry; the order in which parts are merged does not matter."""
+    return rows.groupBy(*CONTENT, "entry").agg(F.max("newest").alias("newest"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def observations_of(merged: DataFrame) -> DataFrame:
+    """Merged sightings to one observation per content key."""
+    pair = F.when(F.col("entry").isNotNull(), F.struct("entry", "newest.value"))
+    out = merged.groupBy(*CONTENT).agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("metadata"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return out.select(*CONTENT, "first.title", "first.source_url", "last.run_id", "last.fetched_at", "metadata")
+
+
 def merge_observations(observations: DataFrame) -> DataFrame:
     """Stored and incoming observations to one row per content key.
 
@@ -42,31 +65,7 @@ def merge_observations(observations: DataFrame) -> DataFrame:
     metadata entries merge with the last value winning. Entries are reduced per metadata key
     first, so a content with millions of sightings stays one small map.
     """
-    keys = ["ticker", "source_key", "observation_type", "raw_hash"]
-    order = F.struct("fetched_at", "run_id")
-    entries = observations.select("*", F.explode_outer("metadata").alias("__k", "__v"))
-    per_entry = entries.groupBy(*keys, "__k").agg(
-        F.max_by("__v", order).alias("__v"),
-        F.min(F.struct("fetched_at", "run_id", "title", "source_url")).alias("__first"),
-        F.max(order).alias("__last"),
-    )
-    pair = F.when(F.col("__k").isNotNull(), F.struct("__k", "__v"))
-    return (
-        per_entry.groupBy(*keys)
-        .agg(
-            F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("metadata"),
-            F.min("__first").alias("__first"),
-            F.max("__last").alias("__last"),
-        )
-        .select(
-            *keys,
-            F.col("__first.title").alias("title"),
-            F.col("__first.source_url").alias("source_url"),
-            F.col("__last.run_id").alias("run_id"),
-            F.col("__last.fetched_at").alias("fetched_at"),
-            "metadata",
-        )
-    )
+    return observations_of(sightings(observations))
 
 
 def merge_companies(versions: DataFrame, text: Sequence[str] = ("name", "sector", "industry", "code")) -> DataFrame:

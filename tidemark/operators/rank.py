@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import round_even
 from tidemark.operators.merge import latest_per_key
+from tidemark.session import materialise
 
 SCORE_ORDER = ("scored_at", "run_id")
 
@@ -81,15 +82,16 @@ def grouped_by_sector(latest: DataFrame, listed: int | None = None) -> DataFrame
 
 
 def search_scores(latest: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """Literal search over ticker, code and name with the rank inside the whole sector.
+    """Literal search over ticker, code and name with the rank inside the whole sector; the ``limit`` best hits.
 
-    The sector rank of the few hits is counted (better rows of the same sector + 1) instead of
-    ranking every sector, so no sector is sorted in one task.
+    Hits and other rows are put in order together, range by range: a row's rank is its place in its range's sector behind
+    the sector's rows in the ranges before. Rows that are no hit carry their order only, no sector meets in one
+    task and nothing is sent to every task.
     """
     q = query.strip()
     low = q.lower()
-    if not 1 <= limit <= 100:
-        raise ValueError("limit must be from 1 to 100: that many hits are sent to every task")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     fields = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("ticker", "code", "name")}
     hit = F.lit(False)
     for f in fields.values():
@@ -97,27 +99,20 @@ def search_scores(latest: DataFrame, query: str, limit: int = 50) -> DataFrame:
     level = F.when(F.upper("ticker") == q.upper(), 0)
     for i, f in enumerate(fields.values(), start=1):
         level = level.when(f.startswith(low), i)
-    best = (
-        latest.filter(hit & F.lit(q != ""))
-        .withColumn("match_level", level.otherwise(4))
-        .orderBy("match_level", *by_score())
-        .limit(limit)
-    )
-    few = best.select(
-        F.col("ticker").alias("__t"), F.col("sector_group").alias("__g"), F.col("total_score").alias("__s"), F.col("scored_at").alias("__a")
-    )
-    better = (F.col("total_score") > F.col("__s")) | (
-        (F.col("total_score") == F.col("__s"))
-        & ((F.col("scored_at") > F.col("__a")) | ((F.col("scored_at") == F.col("__a")) & (F.col("ticker") < F.col("__t"))))
-    )
-    # at most 100 rows are broadcast; the join output is folded to one count per task and hit
-    ahead = (
-        latest.select("ticker", "sector_group", "total_score", "scored_at")
-        .join(F.broadcast(few), (F.col("sector_group") == F.col("__g")) & better)
-        .groupBy(F.col("__t").alias("ticker"))
-        .agg(F.count(F.lit(1)).alias("__ahead"))
-    )
-    return best.join(ahead, "ticker", "left").withColumn("sector_rank", F.coalesce("__ahead", F.lit(0)) + 1).drop("__ahead")
+    order = [F.asc("sector_group"), *by_score()]
+    marked = F.when(hit & F.lit(q != ""), F.struct(*latest.columns, level.otherwise(4).alias("match_level"))).alias("__hit")
+    rows = latest.select("sector_group", "total_score", "scored_at", "ticker", marked)
+    n = int(latest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = materialise(dealt.select("sector_group", "__hit", F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().alias("__at")), "search-order")
+    # one row for each range and each sector that begins in it
+    parts = dealt.groupBy("sector_group", "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("sector_group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("__before", before).select(F.col("sector_group").alias("__sector"), F.col("__range").alias("__of"), "__first", "__before")
+    hits = dealt.where(F.col("__hit").isNotNull())
+    met = hits.join(parts, (F.col("__range") == F.col("__of")) & F.col("sector_group").eqNullSafe(F.col("__sector")))
+    found = met.select("__hit.*", (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("sector_rank"))
+    return found.orderBy("match_level", *by_score()).limit(limit)
 
 
 def newest_first() -> list[Column]:

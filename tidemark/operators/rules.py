@@ -215,11 +215,17 @@ def seed_rules(singles: DataFrame, metrics: DataFrame, p: MiningParams) -> DataF
     return numbered.filter(first).select("symbol", (offset + F.col("position")).alias("rule_id"), "direction", "conds")
 
 
+def side_by_side(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Train and test metrics of each key in one row (null where a side is missing); the trades behind them are worked out once."""
+    both = metrics.groupBy(*keys).agg(
+        F.first(F.when(F.col("is_train"), F.struct(*E.METRICS)), True).alias("__train"), F.first(F.when(~F.col("is_train"), F.struct(*E.METRICS)), True).alias("__test")
+    )
+    return both.select(*keys, *[F.col(f"__{side}.{m}").alias(f"{side}_{m}") for side in ("train", "test") for m in E.METRICS])
+
+
 def train_and_test(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Train and test metrics side by side for keys that have both."""
-    train = E.prefixed(metrics.filter("is_train").drop("is_train"), "train_")
-    test = E.prefixed(metrics.filter("NOT is_train").drop("is_train"), "test_")
-    return train.join(test, list(keys))
+    return side_by_side(metrics, keys).filter("train_trades IS NOT NULL AND test_trades IS NOT NULL")
 
 
 def neighbour_rules(candidates: DataFrame, spread: DataFrame) -> DataFrame:

@@ -254,13 +254,16 @@ def _(spark, d):
 
 @query(
     "k04_live_ingest",
-    f"""WITH {OBS} SELECT ticker, source_key, observation_type, max(CAST(fetched_at AS DATE)::VARCHAR) AS fetched_at, last(run_id ORDER BY fetched_at, run_id) AS run_id FROM obs GROUP BY ALL""",
+    f"""WITH {OBS}, h AS (SELECT *, sha256(concat(ticker, chr(0), source_key, chr(0), observation_type, chr(0), coalesce(title, ''), chr(0), coalesce(source_url, ''), chr(0))) AS raw_hash FROM obs),
+    m AS (SELECT raw_hash, mkey, last(mval ORDER BY fetched_at, run_id, mval) AS mval FROM h GROUP BY ALL), mm AS (SELECT raw_hash, string_agg(mkey || '=' || mval, ',' ORDER BY mkey) AS metadata FROM m GROUP BY ALL)
+    SELECT ticker, source_key, observation_type, raw_hash, first(title ORDER BY fetched_at, run_id, title, source_url) AS title, max(CAST(fetched_at AS DATE)::VARCHAR) AS fetched_at,
+      last(run_id ORDER BY fetched_at, run_id) AS run_id, any_value(metadata) AS metadata FROM h JOIN mm USING (raw_hash) GROUP BY ALL""",
 )
 def _(spark, d):
     stream = L.table_stream(spark, d, "lineitem")
-    obs = T.observation_rows(stream)
-    out = L.live_ingest(obs, L.new_path(spark, "ingest"))
-    return out.select("ticker", "source_key", "observation_type", F.to_date("fetched_at").cast("string").alias("fetched_at"), "run_id")
+    out = L.live_ingest(T.observation_rows(stream), L.new_path(spark, "ingest"))
+    pairs = F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("ticker", "source_key", "observation_type", "raw_hash", "title", F.to_date("fetched_at").cast("string").alias("fetched_at"), "run_id", F.array_join(F.array_sort(pairs), ",").alias("metadata"))
 
 
 @query(

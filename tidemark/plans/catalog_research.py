@@ -390,13 +390,15 @@ FIXED_TR = MINING_BODY + RANKS + FIXED_SIG + trades_sql("fsig", "ftr", "rule_id,
     fb AS (SELECT *, CASE WHEN least(7, n - rank // 7 * 7) >= 5 THEN rank // 7 END AS block FROM ftr), fbb AS (SELECT * FROM fb WHERE block IS NOT NULL)
     {metrics_sql('fbb', 'bm', 'symbol, rule_id, block')}, ps AS (SELECT symbol, rule_id, count(*) FILTER (trades > 0 AND total_net_return > 0 AND profit_factor >= 1) AS positive_blocks FROM bm GROUP BY ALL),
     nb AS (SELECT symbol, count(DISTINCT CASE WHEN least(7, n - rank // 7 * 7) >= 5 THEN rank // 7 END) AS blocks FROM rk GROUP BY symbol)
-    SELECT fm.symbol, CAST(rule_id AS BIGINT) AS rule_id, {metric_cols('fm.').replace('fm.', '')}, coalesce(positive_blocks, 0) AS positive_blocks, blocks, {r('coalesce(positive_blocks, 0) * 1.0 / blocks', 'positive_block_rate')}
-    FROM fm LEFT JOIN ps USING (symbol, rule_id) JOIN nb USING (symbol)""",
+    SELECT nb.symbol, CAST(v.rule_id AS BIGINT) AS rule_id, name, v.direction, {", ".join(f"coalesce({m}, 0) AS {m}" if m in COUNTS else r(f"coalesce({m}, 0)", m) for m in E.METRICS)}, coalesce(positive_blocks, 0) AS positive_blocks, blocks,
+    {r('coalesce(positive_blocks, 0) * 1.0 / blocks', 'positive_block_rate')} FROM nb CROSS JOIN (VALUES (0, 'low-range', 'long'), (1, 'high-range', 'short'), (2, 'never', 'long')) v(rule_id, name, direction)
+    LEFT JOIN fm ON fm.symbol = nb.symbol AND fm.rule_id = v.rule_id LEFT JOIN ps ON ps.symbol = nb.symbol AND ps.rule_id = v.rule_id""",
 )
 def _(spark, d):
     df = features(spark, d)
-    out = R.validate_fixed(df, R.fixed_rules(spark, df.select("symbol").distinct(), FIXED), block_sessions=7)
-    return keys(out.drop("name", "direction", "sessions").filter(F.col("trades") > 0))
+    never = {"id": "never", "direction": "long", "conditions": [("range_pos_10", "<=", -1.0)]}  # a rule without trades stays in the report
+    out = R.validate_fixed(df, R.fixed_rules(spark, df.select("symbol").distinct(), [*FIXED, never]), block_sessions=7)
+    return keys(out.drop("sessions"))
 
 
 @query(
@@ -603,8 +605,10 @@ def _(spark, d):
 @query("e38_research_run")
 def _(spark, d):
     bars = B.resample(event_quotes(table(spark, d, "events")), B.ALL_DAY_HOURLY)
-    out = run_research(bars, mining=False)
-    return out["comparison"].select("id", "covered", "portability", rnd("portable_score").alias("portable_score"))
+    out = run_research(bars, params=MINE)
+    tuned = out["tuned"].select(F.concat("symbol", F.lit(" "), "direction", F.lit(" "), "rule").alias("id"), F.col("test_trades").alias("covered"), F.col("status").alias("portability"), rnd("test_total_net_return").alias("portable_score"))
+    compared = out["comparison"].select("id", "covered", "portability", rnd("portable_score").alias("portable_score"))
+    return compared.withColumn("kind", F.lit("variant")).unionByName(tuned.withColumn("kind", F.lit("mined")))
 
 
 # --- predicates ---------------------------------------------------------------------------------

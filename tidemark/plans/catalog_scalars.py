@@ -59,6 +59,10 @@ SCREEN_SQL = """sc AS (SELECT 'C' || c_custkey AS ticker, c_acctbal * 1e6 AS cap
   c_acctbal / 120 AS pe, c_nationkey AS mentions FROM customer)"""
 
 
+#: Tests of the hard screen in order: column and rule as the messages name them.
+SCREEN_RULES = (("market_cap", "5e+08..4e+09"), ("institutional_ownership", ">=0.65"), ("insider_ownership", ">=0.05"), ("quarterly_revenue_yoy", ">=0.25"), ("trailing_pe", "0..30"))
+
+
 def screen_input(spark, d):
     b, n = F.col("c_acctbal"), F.col("c_nationkey")
     return table(spark, d, "customer").select(
@@ -79,12 +83,18 @@ def screen_input(spark, d):
     SELECT ticker, round(18 * t1::INT + 16 * t2::INT + 14 * t3::INT + 24 * t4::INT + 12 * t5::INT + CASE WHEN yoy > 0.25 THEN least(10, (yoy - 0.25) * 30) ELSE 0 END
       + CASE WHEN pe > 0 AND pe <= 20 THEN 4 ELSE 0 END + CASE WHEN mentions > 0 THEN 16 + least(6, mentions) ELSE 0 END, 2) AS score,
       CAST(t1::INT + t2::INT + t3::INT + t4::INT + t5::INT AS BIGINT) AS hard_pass_count, (t1 AND t2 AND t3 AND t4 AND t5 AND mentions > 0) AS passed,
-      CAST(5 - (t1::INT + t2::INT + t3::INT + t4::INT + t5::INT) + CASE WHEN mentions > 0 THEN 0 ELSE 1 END AS BIGINT) AS failure_count FROM t""",
+      CAST(5 - (t1::INT + t2::INT + t3::INT + t4::INT + t5::INT) + CASE WHEN mentions > 0 THEN 0 ELSE 1 END AS BIGINT) AS failure_count,
+      concat_ws('|', {", ".join(f"CASE WHEN t{i} THEN '{n} meets {x}' END" for i, (n, x) in enumerate(SCREEN_RULES, 1))}, CASE WHEN mentions > 0 THEN 'order terms in filings' END) AS positives,
+      concat_ws('|', {", ".join(f"CASE WHEN NOT t{i} THEN '{n} misses {x}' END" for i, (n, x) in enumerate(SCREEN_RULES, 1))}, CASE WHEN mentions = 0 THEN 'order terms in filings' END) AS failures,
+      concat_ws('|', CASE WHEN mentions = 0 THEN 'look for order terms in the latest report by hand' END, CASE WHEN mentions % 3 = 0 THEN 'fetch the latest filings and scan their text' END,
+        CASE WHEN mentions % 2 = 0 THEN 'ratio repaired' END) AS next_steps FROM t""",
 )
 def _(spark, d):
-    cols = S.hard_screen()
+    n = F.col("backlog_mentions")
+    cols = S.hard_screen(filing_url=F.when(n % 3 == 1, "https://x/1").when(n % 3 == 2, "https://x/2").otherwise(" "), warnings=F.when(n % 2 == 0, F.array(F.lit("ratio repaired"))))
     out = screen_input(spark, d).select("ticker", *[c.alias(n) for n, c in cols.items()])
-    return out.select("ticker", "score", F.col("hard_pass_count").cast("bigint").alias("hard_pass_count"), "passed", F.size("failures").cast("bigint").alias("failure_count"))
+    said = [F.array_join(F.transform(c, lambda x: F.substring_index(x, ":", 1)), "|").alias(c) for c in ("positives", "failures", "next_steps")]
+    return out.select("ticker", "score", F.col("hard_pass_count").cast("bigint").alias("hard_pass_count"), "passed", F.size("failures").cast("bigint").alias("failure_count"), *said)
 
 
 @query(
@@ -417,7 +427,7 @@ KEYWORDS = {"ALFA": ["license", "http"], "BETA": ["@", "copyright"], "GAMA": ["
     ),
 )
 def _(spark, d):
-    m = J.keyword_matches(table(spark, d, "documents"), F.col("text"), KEYWORDS)
+    m = J.keyword_matches_by_index(table(spark, d, "documents"), "doc_id", "text", J.keyword_table(spark, KEYWORDS))
     return m.select("doc_id", "symbol", F.array_join("matched_keywords", ",").alias("matched_keywords"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.functions.numeric import col
+from tidemark.functions.numeric import col, let
 from tidemark.functions.textscan import squeeze, strip_tags, unescape
 
 
@@ -34,11 +34,17 @@ def page_description(html: Column | str) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), second)
 
 
+#: Between the parts of a page that are decoded together; squeezed away with the white space around it.
+BREAK = "\n\u0001\n"
+
+
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Title, description, text and SHA-256 of the text for each page."""
+    """Title, description, text and SHA-256 of the text for each page; the three are decoded in one go."""
     keep = [c for c in pages.columns if c != html]
-    df = pages.select(*keep, page_title(html).alias("t"), page_description(html).alias("d"), page_text(html).alias("x"))
-    df = df.select(*keep, fragment(F.col("t")).alias("title"), fragment(F.col("d")).alias("description"), squeeze(unescape("x")).alias("text"))
+    parts = [strip_tags(page_title(html)), strip_tags(page_description(html)), page_text(html)]
+    whole = unescape(F.concat_ws(BREAK, *[F.translate(p, "\u0001", " ") for p in parts]))
+    df = pages.select(*keep, F.split(whole, BREAK).alias("p"))
+    df = df.select(*keep, *[squeeze(F.col("p")[i]).alias(n) for i, n in enumerate(("title", "description", "text"))])
     return df.withColumn("text_checksum", F.when(F.col("text") != "", F.sha2("text", 256)).otherwise(""))
 
 
@@ -50,14 +56,31 @@ def clean_filing_text(raw: Column | str) -> Column:
     return squeeze(strip_tags(t))
 
 
+#: Cells of an insider row that are read.
+CELLS = 12
+
+
 def insider_transactions(pages: DataFrame, html: str = "html", ticker: str = "ticker", site: str = "") -> DataFrame:
-    """Rows of insider-trade tables: at least 12 cells and the page's own symbol in the fourth."""
+    """Rows of insider-trade tables: at least 12 cells and the page's own symbol in the fourth.
+
+    Rows and cells are cut and rows of other symbols dropped before they leave the page's row; a symbol with an entity is looked at
+    once more when the cells of the kept rows have been decoded.
+    """
     keep = [c for c in pages.columns if c != html]
-    rows = pages.select(*keep, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "tr"))
-    rows = rows.withColumn("td", F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))).filter(F.size("td") >= 12)
-    rows = rows.withColumn("raw", F.array_join(F.transform("td", strip_tags), "\u0001"))
-    cells = F.transform(F.split(unescape("raw"), "\u0001"), squeeze)
-    rows = rows.withColumn("c", cells)
+    own = F.upper(F.trim(ticker))
+
+    def cells_of(tr: Column) -> Column:
+        return F.regexp_extract_all(tr, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
+
+    def maybe(td: Column) -> Column:
+        symbol = let(squeeze(strip_tags(F.get(td, 3))), lambda s: F.contains(s, F.lit("&")) | (F.upper(s) == own))
+        return F.when(F.size(td) >= CELLS, symbol).otherwise(F.lit(False))
+
+    found = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda tr, i: F.struct(i.alias("row_no"), F.slice(cells_of(tr), 1, CELLS).alias("td")))
+    rows = pages.select(*keep, F.explode(F.filter(found, lambda r: maybe(r["td"]))).alias("r")).select(*keep, "r.row_no", "r.td")
+    raw = F.array_join(F.transform("td", strip_tags), "\u0001")
+    rows = rows.withColumn("c", F.split(unescape(raw), "\u0001"))
+    rows = rows.withColumn("c", F.transform("c", squeeze))
 
     def link(i: int, needle: str) -> Column:
         hrefs = F.regexp_extract_all(F.get(F.col("td"), i), F.lit(r"(?is)<a\b[^>]*href=[\"']([^\"']*)[\"']"), F.lit(1))
@@ -67,7 +90,7 @@ def insider_transactions(pages: DataFrame, html: str = "html", ticker: str = "ti
         return F.get(F.col("c"), i)
 
     person = link(4, "/insider/")
-    return rows.filter(F.upper(cell(3)) == F.upper(F.trim(ticker))).select(
+    return rows.filter(F.upper(cell(3)) == own).select(
         *keep,
         "row_no",
         cell(0).alias("transaction_flags"),

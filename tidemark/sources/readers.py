@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.numeric import round_even
+from tidemark.functions.numeric import let, round_even
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -15,18 +15,26 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return reader.format(fmt).load(path)
 
 
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV line; a quoted cell may hold commas and doubled quotes, but no line break."""
+    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(cells, lambda c: let(F.trim(c), lambda t: F.when(t.startswith('"'), F.replace(F.regexp_replace(t, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(t)))
+
+
 def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
-    """Symbols of a watchlist: one per line with ``#`` comments, or the ``ticker`` (else first) column of a CSV."""
-    lines = spark.read.text(path)
-    head = lines.limit(1).collect()
-    if not head:
-        return spark.createDataFrame([], T.StructType([T.StructField("symbol", T.StringType())]))
-    if "," not in head[0][0]:
-        clean = F.trim("value")
-        return lines.select(clean.alias("symbol")).filter((F.col("symbol") != "") & ~F.col("symbol").startswith("#"))
-    table = spark.read.option("header", True).csv(path)
-    name = "ticker" if "ticker" in table.columns else table.columns[0]
-    return table.select(F.trim(F.col(name)).alias("symbol")).filter(F.col("symbol") != "")
+    """Symbols of watchlists, whose format each file decides for itself: one per line with ``#`` comments, or a CSV's ``ticker`` (else first) column.
+
+    A file is a CSV when its first line that is neither blank nor a comment has a comma. A list is read as one row a file, so files
+    may come by a glob of both kinds; nothing is collected.
+    """
+    files = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.split("value", r"\r\n|\n|\r"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
+    files = files.select(lines.alias("lines")).filter(F.size("lines") > 0).withColumn("head", csv_cells(F.regexp_replace(F.get("lines", 0), "^\ufeff", "")))
+    is_csv = F.contains(F.get("lines", 0), F.lit(","))
+    at = F.greatest(F.array_position(F.transform("head", lambda h: F.lower(h)), "ticker"), F.lit(1)).cast("int") - 1
+    rows = files.select(is_csv.alias("csv"), at.alias("at"), F.explode(F.when(is_csv, F.slice("lines", 2, F.size("lines"))).otherwise(F.col("lines"))).alias("line"))
+    symbol = F.when(F.col("csv"), F.trim(F.get(csv_cells(F.col("line")), F.col("at")))).otherwise(F.trim("line"))
+    return rows.select(symbol.alias("symbol")).filter(F.col("symbol") != "")
 
 
 def write_screen(results: DataFrame, path: str) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import features as X
 from tidemark.operators import panel as P
-from tidemark.operators.merge import merge_observations, stable_hash
+from tidemark.operators.merge import CONTENT, merge_observations, merge_sightings, observations_of, sightings, stable_hash
 from tidemark.operators.rotation import Strategy
 from tidemark.session import shared_dir
 
@@ -201,16 +201,93 @@ def live_rotation(points: DataFrame, strategy: Strategy, delay: str = "1 day") -
     return typed.groupBy("pair_id", "session_date").applyInPandasWithState(update, TRADE, POSITIONS, "append", timeout)
 
 
-def live_ingest(observations: DataFrame, path: str, parts: tuple[str, ...] = ("ticker", "source_key", "observation_type")) -> DataFrame:
-    """Append hashed observations per batch and merge on read.
+class IngestLog:
+    """Observations as a log of deltas over a base table, both dealt to hash buckets of the content key.
 
-    Each batch lands under its own id (a retried batch replaces itself) and nothing stored is
-    rewritten; the merge keeps one row per content key whatever the batch borders were.
+    A batch becomes one delta of ``sightings`` under its id, so a repeated batch replaces itself. Compaction merges the open deltas into the
+    buckets that they touch and leaves the other buckets' files where they are; the list of each bucket's version is written last, under a
+    new number, so a reader or a lost driver sees the state before or after. A read merges the base with the open deltas only.
     """
 
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, most_deltas: int = 4):
+        self.spark, self.path, self.buckets, self.most_deltas = spark, path.rstrip("/"), buckets, most_deltas
+        jvm = spark._jvm
+        self._hadoop = jvm.org.apache.hadoop.fs
+        self._files = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _numbers(self, folder: str, prefix: str) -> list[int]:
+        where = self._hadoop.Path(f"{self.path}/{folder}")
+        if not self._files.exists(where):
+            return []
+        names = [s.getPath().getName() for s in self._files.listStatus(where)]
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+    def state(self) -> dict:
+        """Version of every bucket's files in the base, and the last batch that they hold."""
+        done = [n for n in self._numbers("versions", "v") if self._files.exists(self._hadoop.Path(f"{self.path}/versions/v{n}/_SUCCESS"))]
+        if not done:
+            return {"number": 0, "upto": -1, "buckets": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/versions/v{done[-1]}").first()[0])
+
+    def open_deltas(self, state: dict) -> list[int]:
+        return [n for n in self._numbers("deltas", "b") if n > state["upto"] and self._files.exists(self._hadoop.Path(f"{self.path}/deltas/b{n}/_SUCCESS"))]
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*CONTENT), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def append(self, observations: DataFrame, batch_id: int) -> None:
+        state = self.state()
+        if batch_id <= state["upto"]:
+            return  # a batch that was compacted before the stream noted it
+        sightings(observations).select("*", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/deltas/b{batch_id}")
+        if len(self.open_deltas(state)) >= self.most_deltas:
+            self.compact()
+
+    def _parts(self, state: dict, deltas: list[int], buckets: list[int] | None = None) -> DataFrame | None:
+        """Base buckets (those asked for, or all) and deltas, not yet merged."""
+        stored = [f"{self.path}/base/v{v}/bucket={b}" for b, v in state["buckets"].items() if buckets is None or int(b) in buckets]
+        frames = [self.spark.read.parquet(*stored)] if stored else []
+        frames += [self.spark.read.parquet(f"{self.path}/deltas/b{n}").drop("bucket") for n in deltas]
+        out = None
+        for f in frames:
+            out = f if out is None else out.unionByName(f)
+        return out
+
+    def compact(self) -> list[int]:
+        """Merges the open deltas into the base; returns the buckets that were written anew."""
+        state = self.state()
+        deltas = self.open_deltas(state)
+        if not deltas:
+            return []
+        touched = sorted({int(s.getPath().getName().split("=")[1]) for n in deltas for s in self._files.listStatus(self._hadoop.Path(f"{self.path}/deltas/b{n}")) if "=" in s.getPath().getName()})
+        number = state["number"] + 1
+        if touched:
+            merged = merge_sightings(self._parts(state, deltas, touched))
+            merged.select("*", self._bucket()).repartition("bucket", F.xxhash64(*CONTENT) % 4).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/base/v{number}")
+        following = {"number": number, "upto": deltas[-1], "buckets": {**state["buckets"], **{str(b): number for b in touched}}}
+        self.spark.createDataFrame([(json.dumps(following),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/versions/v{number}")
+        for n in deltas:
+            self._files.delete(self._hadoop.Path(f"{self.path}/deltas/b{n}"), True)
+        return touched
+
+    def read(self) -> DataFrame | None:
+        state = self.state()
+        parts = self._parts(state, self.open_deltas(state))
+        return None if parts is None else observations_of(merge_sightings(parts))
+
+
+def live_ingest(observations: DataFrame, path: str, parts: tuple[str, ...] = ("ticker", "source_key", "observation_type", "title", "source_url"), buckets: int = 16, most_deltas: int = 4) -> DataFrame:
+    """Merge a stream of observations by the hash of their content; a content that is seen again is refreshed.
+
+    Every batch is one delta of an ``IngestLog``, late and repeated rows included: the first sighting by time keeps
+    title and address, the last one gives run, time and metadata values, whatever the batch borders were.
+    """
+    spark = observations.sparkSession
+    log = IngestLog(spark, f"{path}/log", buckets, most_deltas)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("raw_hash", stable_hash(*parts)).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        log.append(batch.withColumn("raw_hash", stable_hash(*parts)), batch_id)
 
     run_batches(observations, path, handle)
-    stored = observations.sparkSession.read.parquet(f"{path}/rows").drop("batch")
-    return merge_observations(stored)
+    stored = log.read()
+    return merge_observations(spark.createDataFrame([], observations.schema).withColumn("raw_hash", stable_hash(*parts))) if stored is None else stored
