@@ -267,31 +267,20 @@ def test_pieces_round_trip(spark, corpus):
 # --- 6: mixing ---------------------------------------------------------------------------------
 
 
-def test_schedule_stays_within_a_block():
-    rng = random.Random(1)
-    for weights in ({"a": 5, "b": 3, "c": 2}, {f"s{i}": rng.random() for i in range(60)}, {None: 1, "x": 1e-9}, {"x": 1}):
-        shares = mixing.units(weights, 1000)
-        slots = mixing.schedule(shares)
-        owner = {t: s for s, ts in slots.items() for t in ts}
-        assert sum(shares.values()) == 1000 and sorted(owner) == list(range(1000))
-        given = dict.fromkeys(shares, 0)
-        for t in range(1000):
-            given[owner[t]] += 1
-            assert all(abs(given[s] - shares[s] * (t + 1) / 1000) < 1 for s in shares)
-
-
 def test_mix_keeps_every_row_and_the_schedule(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANKED_ROWS", 40)
     rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(900)] + [(None, None), (5, None), (5, "hot"), (5, "hot")]
-    docs = spark.createDataFrame([(k, s, "x") for k, s in rows], "doc_id long, source string, slots string")
-    got = mixing.mix(docs, {"hot": 3.0, "s0": 1.0}, block_rows=4).collect()
+    docs = spark.createDataFrame([(k, s, "x", k, "y", 1.5) for k, s in rows], "doc_id long, source string, slots string, __h long, __s string, B double")
+    weights = {"hot": 3.0, "s0": 1.0}
+    got = mixing.mix(docs, weights, block_rows=4).collect()
     assert sorted(((r.doc_id, r.source) for r in got), key=str) == sorted(rows, key=str)
+    assert all((r["slots"], r["__h"], r["__s"], r["B"]) == ("x", r.doc_id, "y", 1.5) for r in got)  # a table's own columns stay as they are
     sizes = defaultdict(int)
     for _, s in rows:
         sizes[s] += 1
-    shares = mixing.units({s: {"hot": 3.0, "s0": 1.0}.get(s, 0.0) for s in sizes}, 1000)
-    slots = mixing.schedule(shares)
-    want = sorted((b // shares[s] * 1000 + slots[s][b % shares[s]], p, str(s)) for s in sizes for b in range(-(-sizes[s] // 4)) for p in range(min(4, sizes[s] - 4 * b)))
+    order = sorted(sizes, key=lambda s: (s is not None, s or ""))
+    slots = enumerate(mixing.exact_slots([weights.get(s, 0.0) for s in order], [-(-sizes[s] // 4) for s in order]))
+    want = sorted((t, p, str(order[i])) for t, (i, k) in slots for p in range(min(4, sizes[order[i]] - 4 * k)))
     assert sorted((r.mix_slot, r.mix_place, str(r.source)) for r in got) == want
     assert mixing.mix(docs.limit(0)).count() == 0
     assert [tuple(r) for r in mixing.mix(docs).orderBy("mix_slot", "mix_place", "doc_id").collect()] == [tuple(r) for r in mixing.mix(docs.repartition(5)).orderBy("mix_slot", "mix_place", "doc_id").collect()]
@@ -314,7 +303,7 @@ def test_mix_gives_the_requested_weights(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANKED_ROWS", 50)
     rows = [(i, ["a", "b", None][i % 3]) for i in range(6000)] + [(i, "none") for i in range(6000, 6010)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
-    got = sorted(mixing.mix(docs, {"a": 1.0, "b": 1.0, None: 1.0}, block_rows=1, exact=True).collect(), key=lambda r: (r.mix_slot, r.mix_place))
+    got = sorted(mixing.mix(docs, {"a": 1.0, "b": 1.0, None: 1.0}, block_rows=1).collect(), key=lambda r: (r.mix_slot, r.mix_place))
     assert [r.mix_slot for r in got] == list(range(6010)) and sorted((r.doc_id, r.source) for r in got if r.source) == sorted(r for r in rows if r[1])
     given = defaultdict(int)
     for t, r in enumerate(got[:6000]):

@@ -51,13 +51,13 @@ WANT = {
 
 @pytest.mark.parametrize("most", [1000, 3])
 def test_rules_fit_as_stated_in_the_file_and_in_the_join(spark, most):
-    pages = spark.createDataFrame([(i, u, "kept", "old") for i, u in URLS], "page_id long, url string, best string, rule string")
+    pages = spark.createDataFrame([(i, u, "kept", "old", i) for i, u in URLS], "page_id long, url string, best string, rule string, row long")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = url_filter.filter_urls(pages, rules, max_file_rules=most).collect()
     assert len(got) == len(URLS)
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == WANT[r.page_id], r.page_id
-        assert r.best == "kept"
+        assert r.best == "kept" and r["row"] == r.page_id
 
 
 def test_no_pages_and_no_rules(spark):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
+from inspect import isgeneratorfunction
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import drop_table, materialise, shared_dir
 
-__all__ = ["byte_slices", "connect_groups", "drop_table", "fresh_path", "join_components", "materialise", "mix64", "partitions_for", "ranged", "table", "text_arrays", "write_bytes"]
+__all__ = ["byte_slices", "connect_groups", "drop_table", "free_names", "fresh_path", "join_components", "materialise", "mix64", "partitions_for", "ranged", "table", "text_arrays", "tidy", "write_bytes"]
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -39,6 +42,49 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches, or over one group's table, that gives its memory back at the end: Spark keeps Python workers from stage to stage."""
+    if isgeneratorfunction(run):
+
+        @wraps(run)
+        def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from run(batches)
+            finally:
+                _give_back()
+
+    else:
+
+        @wraps(run)
+        def tidied(table: pa.Table) -> pa.Table:
+            try:
+                return run(table)
+            finally:
+                _give_back()
+
+    return tidied
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with underscores in front where the table has such a column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64), element-wise."""
     x = x.astype(np.uint64, copy=True)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_slices, connect_groups, join_components, materialise
+from tidemark.llm.common import byte_slices, connect_groups, free_names, join_components, materialise, tidy
 from tidemark.llm.shingles import set_digest, shingle_sets
 
 #: Shingles that a fragment should hold, and the fewest fragments.
@@ -58,6 +58,7 @@ def _deal(docs: DataFrame, key: str, text: str, width: int, fragments: int, shor
     """
     bits = np.uint64(64 - int(np.log2(fragments)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for whole in batches:
@@ -91,6 +92,7 @@ def _all(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
+@tidy
 def _shared_counts(table: pa.Table) -> pa.Table:
     """Of one fragment, by block: how many shingles of each document a document with another set holds too."""
     one, shingles = _all(table, "one", "<u8"), _all(table, "shingles", "<u4")
@@ -108,6 +110,7 @@ def _shared_counts(table: pa.Table) -> pa.Table:
     return table.drop_columns(["counts", "shingles"]).append_column("shared", pa.array(counts, pa.binary()))
 
 
+@tidy
 def _block_documents(table: pa.Table) -> pa.Table:
     """A block's documents with their shared shingles summed over the fragments."""
     about = table.filter(pc.equal(table.column("fragment"), 0))
@@ -126,6 +129,7 @@ def documents(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return counted.groupBy("block").applyInArrow(_block_documents, "k long, one long, two long, n_shingles long, shared long")
 
 
+@tidy
 def _frequencies(table: pa.Table) -> pa.Table:
     """Of one fragment, by block: the shingles that several documents hold, with their frequencies, for each document."""
     shingles, counts = _all(table, "shingles", "<u8"), _all(table, "counts", "<u4")
@@ -154,6 +158,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
 def _prefixes(percent: int):
     """Of a block of classes: their prefix shingles, from the shared ones of all fragments; ``room`` counts a class's shingles from there on."""
 
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         about = table.filter(pc.equal(table.column("fragment"), 0))
         ids, sizes = _all(about, "docs", "<i8"), _all(about, "sizes", "<i8")
@@ -175,6 +180,7 @@ def _prefixes(percent: int):
 def _sets(classes: DataFrame, text: str, width: int) -> DataFrame:
     """Each class's shingles by overlap fragment, as sorted arrays."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - int(np.log2(OVERLAP_FRAGMENTS)))
         for batch in (whole.slice(a, b - a) for whole in batches for a, b in byte_slices(whole.column(1), BLOCK_BYTES)):
@@ -253,5 +259,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     if repeated.isEmpty():
         return kept
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text), text))
-    single = kept.join(repeated, key, "left_semi").withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    (place,) = free_names(kept, "rank")
+    single = kept.join(repeated, key, "left_semi").withColumn(place, rank).where(F.col(place) == 1).drop(place)
     return kept.join(repeated, key, "left_anti").unionByName(single)

@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mix64
+from tidemark.llm.common import mix64, tidy
 
 CLASSES = 64
 #: More languages than this are refused: the models would outgrow a task (about 1 MB a language).
 MAX_LANGUAGES = 200
 SIGMAS, MARGIN = 8.0, 1.5
 #: Code points scored at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 UNKNOWN = "und"
 
@@ -199,6 +199,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang")
     """
     rows = docs.where(learn & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -248,6 +249,7 @@ def _limits(rows: DataFrame, models: Models) -> np.ndarray:
         return np.zeros((0, 21))
     packed = rows.sparkSession.sparkContext.broadcast(models)
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = packed.value.table()
         place = {n: i for i, n in enumerate(packed.value.languages)}
@@ -287,6 +289,7 @@ def identify(docs: DataFrame, models: Models, text: str = "text", prefix: str =
     kept = docs.drop(*[f.name for f in added])
     packed = spark.sparkContext.broadcast(models)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = packed.value
         table = m.table()

@@ -4,8 +4,7 @@ Each source's documents are cut into blocks. With weight ``w`` the ``k``-th bloc
 released at slot ``floor((k - 1) / w)`` and due at ``ceil(k / w)``; the earliest deadline among
 the released blocks takes the slot. While all sources last, each has at any time received its
 share to within less than one block. ``exact_slots`` does so with the weights as they are, block by block in one task; a
-document finds its slot by its rank in its source. With weights rounded to whole units of a period (``units``) the schedule
-repeats after every period, so only one period is computed.
+document finds its slot by its rank in its source.
 """
 
 from __future__ import annotations
@@ -21,52 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import free_names, materialise
 
-#: Documents of a block, units of a period (grows to four units a source), and rows ranked in one task.
-BLOCK_ROWS, PERIOD, RANKED_ROWS = 64, 1000, 2_000
-#: More sources than this are refused: the schedule is made on the driver.
+#: Documents of a block, and rows ranked in one task.
+BLOCK_ROWS, RANKED_ROWS = 64, 2_000
+#: More sources than this are refused: the task that makes the schedule holds a block of each.
 MAX_SOURCES = 50_000
 
 
-def units(weights: Mapping[str | None, float], period: int) -> dict[str | None, int]:
-    """Whole units of the period for each weight: one at least, the rest by largest remainder (ties: by name)."""
-    names = sorted(weights, key=lambda s: (s is not None, s or ""))
-    if len(names) > period:
-        raise ValueError(f"{len(names)} sources do not fit a period of {period}")
-    total = sum(max(0.0, weights[n]) for n in names) or 1.0
-    spare = period - len(names)
-    exact = {n: max(0.0, weights[n]) / total * period for n in names}
-    over = {n: max(0.0, exact[n] - 1) for n in names}
-    scale = spare / (sum(over.values()) or 1.0)
-    share = {n: over[n] * scale for n in names}
-    out = {n: 1 + int(share[n]) for n in names}
-    left = period - sum(out.values())
-    for n in sorted(names, key=lambda n: (-(share[n] - int(share[n])), names.index(n)))[:left]:
-        out[n] += 1
-    out[names[0]] += period - sum(out.values()) if names else 0
-    return out
-
-
-def schedule(shares: Mapping[str | None, int]) -> dict[str | None, list[int]]:
-    """Slot of each block of one period, earliest deadline first among the released."""
-    period = sum(shares.values())
-    names = list(shares)
-    slots: dict[str | None, list[int]] = {n: [] for n in names}
-    waiting = [(0, i, 0) for i in range(len(names)) if shares[names[i]]]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * period // shares[names[i]]), i, k))
-        _, i, k = heapq.heappop(ready)
-        slots[names[i]].append(slot)
-        if k + 1 < shares[names[i]]:
-            heapq.heappush(waiting, ((k + 1) * period // shares[names[i]], i, k + 1))
-    return slots
-
-
 def exact_slots(weights: Sequence[float], blocks: Sequence[int]) -> Iterator[tuple[int, int]]:
     """Source and block number of every slot, earliest deadline first among the released, until all blocks are placed.
 
@@ -108,18 +69,16 @@ def mix(
     block_rows: int = BLOCK_ROWS,
     seed: int = 17,
     names: tuple[str, str] = ("mix_slot", "mix_place"),
-    exact: bool | None = None,
 ) -> DataFrame:
     """``docs`` with ``mix_slot`` and ``mix_place`` (or other ``names``): sorted by both, the documents are mixed to the weights.
 
     ``weights`` maps sources to target weights; sources it leaves out weigh nothing. By default a source weighs its
-    number of documents to the ``power``. With ``exact``, the default without ``weights``, slots are ``exact_slots``: the weights are not
-    rounded, slots are numbered without holes, and sources that weigh nothing follow when the others have ended. Otherwise, the default with ``weights``,
-    the schedule of one period in ``units`` repeats: every source gets one unit at least, shares differ from the weights by the
-    rounding however long the table is, and the slots of an ended source stay empty. No document is
+    number of documents to the ``power``. Weights are not rounded: while all sources last, each is within one block of its
+    share. Slots are numbered without holes, and sources that weigh nothing follow when the others have ended. No document is
     dropped or repeated: when a source ends, the others go on in proportion. A
     null source is a source. Inside a source the order is a hash of the key (ties: the key, then
-    the whole row's hash); repeated rows each take a place. Columns of the two names are replaced; an empty table stays empty.
+    the whole row's hash); repeated rows each take a place. Columns of the two names are replaced, all others are kept whatever
+    their names; an empty table stays empty.
 
     Ranks inside a source are taken in hash buckets of about ``RANKED_ROWS`` rows, so a source
     that holds a third of all rows is ranked by as many tasks as it needs.
@@ -134,53 +93,41 @@ def mix(
         return kept.withColumn(names[0], F.lit(0).cast("long")).withColumn(names[1], F.lit(0).cast("long"))
     target = {s: float(weights.get(s, 0.0)) if weights is not None else float(n) ** power for s, n in sizes.items()}
     ordered = sorted(sizes, key=lambda s: (s is not None, s or ""))
-    exact = weights is None if exact is None else exact
-    period = max(PERIOD, 4 * len(sizes))
-    shares = {} if exact else units(target, period)
-    slots = {} if exact else schedule(shares)
-    # one row a source, ``period`` slots in all if they repeat; sources go by number, so a null one needs no care below
-    plan = spark.createDataFrame(
-        [(s, i, slots.get(s), max(1, -(-sizes[s] // RANKED_ROWS))) for i, s in enumerate(ordered)], "__src string, __id int, __slots array<long>, __buckets int"
-    )
-    rows = kept.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__s", F.col(source).cast("string"))
-    rows = rows.join(F.broadcast(plan), F.col("__s").eqNullSafe(F.col("__src"))).withColumn("__b", F.pmod("__h", F.col("__buckets").cast("long")))
-    before = rows.groupBy("__id", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = before.withColumn("__first", F.coalesce(F.sum("__n").over(W.partitionBy("__id").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    if exact:
-        blocks = [-(-sizes[s] // block_rows) for s in ordered]
-        before = _with_slots(before, _all_slots(spark, [target[s] for s in ordered], blocks), block_rows)
-        rows = rows.drop("__slots")
-    else:
-        before = before.drop("__n")
-    local = F.row_number().over(W.partitionBy("__id", "__b").orderBy("__h", key, F.xxhash64(*kept.columns)))
-    ranked = rows.withColumn("__local", local).join(before, ["__id", "__b"])
-    rank = F.col("__first") + F.col("__local") - 1
-    block = F.floor(rank / block_rows)
-    n = F.size("__slots").cast("long")
-    if exact:
-        slot = F.element_at("__slots", (block - F.floor(F.col("__first") / block_rows) + 1).cast("int"))
-    else:
-        slot = F.floor(block / n) * period + F.element_at("__slots", (block % n + 1).cast("int"))
+    own = hashed, place, number, bucket, buckets, first, count, slots, local = free_names(kept, "h", "src", "id", "b", "buckets", "first", "n", "slots", "local")
+    # one row a source; sources go by number, so a null one needs no care below
+    plan = spark.createDataFrame([(s, i, max(1, -(-sizes[s] // RANKED_ROWS))) for i, s in enumerate(ordered)], f"{place} string, {number} int, {buckets} int")
+    rows = kept.withColumn(hashed, F.xxhash64(F.lit(seed), F.col(key)))
+    rows = rows.join(F.broadcast(plan), F.col(source).cast("string").eqNullSafe(F.col(place))).withColumn(bucket, F.pmod(hashed, F.col(buckets).cast("long")))
+    before = rows.groupBy(number, bucket).agg(F.count(F.lit(1)).alias(count))
+    before = before.withColumn(first, F.coalesce(F.sum(count).over(W.partitionBy(number).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    blocks = [-(-sizes[s] // block_rows) for s in ordered]
+    before = _with_slots(before, _all_slots(spark, [target[s] for s in ordered], blocks), block_rows, own)
+    order = F.row_number().over(W.partitionBy(number, bucket).orderBy(hashed, key, F.xxhash64(*kept.columns)))
+    ranked = rows.withColumn(local, order).join(before, [number, bucket])
+    rank = F.col(first) + F.col(local) - 1
+    slot = F.element_at(slots, (F.floor(rank / block_rows) - F.floor(F.col(first) / block_rows) + 1).cast("int"))
     return ranked.select(*[F.col(c) for c in kept.columns], slot.cast("long").alias(names[0]), (rank % block_rows).cast("long").alias(names[1]))
 
 
 def _all_slots(spark: SparkSession, weights: list[float], blocks: list[int]) -> DataFrame:
-    """``exact_slots`` as rows (__id, __k, __slot); made and written by one task, which holds a block a source."""
+    """``exact_slots`` as rows (id, k, slot); made and written by one task, which holds a block a source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             found = enumerate(exact_slots(weights, blocks))
             while some := list(islice(found, 50_000)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for _, (i, _) in some], pa.int32()), pa.array([k for _, (_, k) in some], pa.int64()), pa.array([t for t, _ in some], pa.int64())], names=["__id", "__k", "__slot"]
+                    [pa.array([i for _, (i, _) in some], pa.int32()), pa.array([k for _, (_, k) in some], pa.int64()), pa.array([t for t, _ in some], pa.int64())], names=["id", "k", "slot"]
                 )
 
-    return materialise(spark.range(0, 1, 1, 1).mapInArrow(run, "__id int, __k long, __slot long"), "mix-slots")
+    return materialise(spark.range(0, 1, 1, 1).mapInArrow(run, "id int, k long, slot long"), "mix-slots")
 
 
-def _with_slots(before: DataFrame, slots: DataFrame, block_rows: int) -> DataFrame:
+def _with_slots(before: DataFrame, made: DataFrame, block_rows: int, own: list[str]) -> DataFrame:
     """Of every hash bucket: its first rank, and the slots of the blocks that its rows lie in."""
-    ks = F.sequence(F.floor(F.col("__first") / block_rows), F.floor((F.col("__first") + F.col("__n") - 1) / block_rows))
-    met = before.select("__id", "__b", "__first", F.explode(ks).alias("__k")).join(slots, ["__id", "__k"])
-    listed = F.sort_array(F.collect_list(F.struct("__k", "__slot")))
-    return met.groupBy("__id", "__b", "__first").agg(F.transform(listed, lambda x: x["__slot"]).alias("__slots"))
+    _, _, number, bucket, _, first, count, slots, _ = own
+    ks = F.sequence(F.floor(F.col(first) / block_rows), F.floor((F.col(first) + F.col(count) - 1) / block_rows))
+    plain = before.select(F.col(number).alias("id"), F.col(bucket).alias("b"), F.col(first).alias("first"), F.explode(ks).alias("k"))
+    listed = F.sort_array(F.collect_list(F.struct("k", "slot")))
+    met = plain.join(made, ["id", "k"]).groupBy("id", "b", "first").agg(F.transform(listed, lambda x: x["slot"]).alias("slots"))
+    return met.select(F.col("id").alias(number), F.col("b").alias(bucket), F.col("first").alias(first), F.col("slots").alias(slots))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import byte_slices
+from tidemark.llm.common import byte_slices, tidy
 from tidemark.llm.token_files import _gather
 
 MARK = "▁"
@@ -257,6 +257,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", name: str = "id
     kept = docs.drop(name, *([check] if check else []))
     fields = [T.StructField(name, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else [])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for whole in batches:
@@ -278,6 +279,7 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "deco
     kept = docs.drop(name)
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.StringType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mix64, text_arrays
+from tidemark.llm.common import mix64, text_arrays, tidy
 from tidemark.llm.shingles import word_hashes
 
 #: Labelled documents that the field is fitted on: those with the smallest hash of the key.
@@ -303,6 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     # bounded by ``sample`` rows of two numbers
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("k", "good", "t")
 
+    @tidy
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, sizes, bounds = line_features(batch.column(2))
@@ -330,6 +331,7 @@ def add_score(docs: DataFrame, field: Field | None, text: str = "text", name: st
     kept = docs.drop(name)
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh_path, write_bytes
+from tidemark.llm.common import free_names, fresh_path, write_bytes
 
 _HEAD = struct.Struct("<8sQQ")
 _MAGIC = b"TMURL001"
@@ -165,18 +165,19 @@ def _joined(kept: DataFrame, rules: DataFrame, url: str, default: str, lengths:
     rest = F.when(at > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)"))
     host = F.translate(F.coalesce(F.regexp_extract(rest, "^[^/?#]*", 0), F.lit("")), upper, lower)
     path = F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
-    rows = kept.withColumn("__row", F.monotonically_increasing_id()).withColumn("host", host).withColumn("path", path)
+    row, found = free_names(kept, "row", "best")
+    rows = kept.withColumn(row, F.monotonically_increasing_id()).withColumn("host", host).withColumn("path", path)
     labels = F.split("host", "\\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(parents, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     table = rules.groupBy(F.concat(F.translate("host", upper, lower), "path").alias("key")).agg(F.max(F.col("verdict") == "block").alias("blocks"))
     best = (
-        rows.where(F.col("host") != "").select("__row", F.explode(F.array_distinct(keys)).alias("key"))
+        rows.where(F.col("host") != "").select(F.col(row).alias("row"), F.explode(F.array_distinct(keys)).alias("key"))
         .join(table, "key")
-        .groupBy("__row")
-        .agg(F.max(F.struct(F.length("key").alias("n"), "key", "blocks")).alias("__best"))
+        .groupBy("row")
+        .agg(F.max(F.struct(F.length("key").alias("n"), "key", "blocks")).alias("best"))
     )
-    judged = rows.join(best, "__row", "left")
-    verdict = F.when(F.col("__best").isNull(), default).otherwise(F.when(F.col("__best.blocks"), "block").otherwise("allow"))
-    return judged.withColumn("rule", F.col("__best.key")).withColumn("verdict", verdict).drop("__best", "__row")
+    judged = rows.join(best.select(F.col("row").alias(row), F.col("best").alias(found)), row, "left")
+    verdict = F.when(F.col(found).isNull(), default).otherwise(F.when(F.col(f"{found}.blocks"), "block").otherwise("allow"))
+    return judged.withColumn("rule", F.col(f"{found}.key")).withColumn("verdict", verdict).drop(found, row)
