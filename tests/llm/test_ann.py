@@ -89,6 +89,17 @@ def test_hot_list_in_blocks(spark, monkeypatch):
     assert hits / (10 * len(want)) >= 0.95
 
 
+def test_a_row_of_several_lists_takes_one_place():
+    best = ann.Best(2)
+    best.add((1, 0, 0), [(0.5, 7, 1, 1, 0), (0.6, 8, 2, 2, 0)])
+    best.add((1, 0, 0), [(0.5 + 1e-16, 7, 1, 1, 0), (0.55, 9, 3, 3, 0)])
+    best.add((1, 0, 0), [(0.6000000000000001, 7, 1, 1, 0)])
+    assert best.of[1, 0, 0] == [(0.5, 7, 1, 1, 0), (0.55, 9, 3, 3, 0)]
+    rng = np.random.default_rng(1)
+    a, b = rng.standard_normal((50, 64)), rng.standard_normal((50, 64))
+    assert ann.distances(a, b).tolist() == [float(ann.distances(a[i : i + 1], b[i : i + 1])[0]) for i in range(50)]
+
+
 def test_graph_walk_finds_the_nearest_centroids():
     rng = np.random.default_rng(8)
     v = rng.standard_normal((4000, 8))

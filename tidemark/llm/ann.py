@@ -67,7 +67,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         gap = a - b
         top = np.abs(gap).max(axis=-1, keepdims=True)
         unit = np.where((top > 1e100) | (top < 1e-100), np.where(top > 0, top, 1.0), 1.0)
-        return np.sqrt(np.square(gap / unit).sum(axis=-1)) * unit[..., 0]
+        # a running sum adds in one order whatever the shape, so a pair has the same distance in every block
+        return np.sqrt(np.cumsum(np.square(gap / unit), axis=-1)[..., -1]) * unit[..., 0]
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,7 +230,10 @@ class Best:
 
     def add(self, query: tuple, found: list[tuple]) -> None:
         old = self.of.get(query, [])
-        new = sorted({*old, *found})[: self.k]
+        by_row: dict[tuple, float] = {}  # a row that several lists hold takes one place
+        for score, *row in (*old, *found):
+            by_row[tuple(row)] = min(score, by_row.get(tuple(row), score))
+        new = sorted((score, *row) for row, score in by_row.items())[: self.k]
         self.held += len(new) - len(old)
         self.of[query] = new
 
