@@ -211,7 +211,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     Two documents link when 100 times the size of their sets' intersection is at least ``percent`` times
     that of the union. A set holds the distinct shingles of ``width`` words (A-Z lower-cased, words apart by
-    ASCII white space); a shorter text is one shingle. A null or empty text, or one without words, has no shingle
+    ASCII white space), very long texts whole; a shorter text is one shingle. A null or empty text, or one without words, has no shingle
     and links with nothing. Rows with equal keys count as one document with several sets and
     keep a row each; a null key has no component. Extra columns are left out; an empty table stays empty.
     """

@@ -280,8 +280,8 @@ def identify(docs: DataFrame, models: Models, text: str = "text", prefix: str =
     """``docs`` with ``lang_pred``, ``score`` (0 to 1), ``lang_bits`` (per symbol) and ``accepted``, their names behind ``prefix``. No shuffle.
 
     A null text and one without a letter get ``und``, score 0, no bits, and are not accepted; so does every text when no
-    language was learned. Equal cross-entropies go to the first language by name. Repeated rows
-    get equal results; columns of these four names are replaced.
+    language was learned. Equal cross-entropies go to the first language by name. Very long texts are scored whole, repeated rows
+    get equal results, an empty table stays empty; columns of these four names are replaced, all others are kept whatever their names.
     """
     spark = docs.sparkSession
     kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "lang_bits": T.DoubleType(), "accepted": T.BooleanType()}

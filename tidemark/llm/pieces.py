@@ -70,7 +70,8 @@ class Model:
             for c in p[:-1]:
                 level = level.setdefault(c, [-1, 0.0, {}])[2]
             level.setdefault(p[-1], [-1, 0.0, {}])[:2] = i, self.score[p]
-        self.known: tuple[dict[str, bytes], ...] = ({}, {})  # words without and with a mark
+        self.known: list[dict[str, bytes]] = [{}, {}]  # words without and with a mark
+        self.older: list[dict[str, bytes]] = [{}, {}]  # those of the half before
         # ASCII marks that no piece holds behind a letter: all paths agree between a letter and one of them
         joined = {b for p in self.id for a, b in zip(p, p[1:]) if a.isalpha()}
         cuts = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
@@ -186,7 +187,7 @@ def encode_word(model: Model, word: str, blanks: int = 1) -> list[int]:
     return stream.push(MARK * blanks, False) + stream.push(word) + stream.finish()
 
 
-#: Distinct words that a worker remembers; it starts anew when there are more.
+#: Distinct words that a worker remembers, in two halves: a full half replaces the older one, and words met again move over.
 REMEMBERED = 200_000
 
 
@@ -197,9 +198,11 @@ def _packed(model: Model, word: str, blanks: int = 1) -> bytes:
     known = model.known[blanks]
     found = known.get(word)
     if found is None:
-        found = np.array(encode_word(model, word, blanks), np.int32).tobytes()
-        if len(known) >= REMEMBERED:
-            known.clear()
+        found = model.older[blanks].get(word)
+        if found is None:
+            found = np.array(encode_word(model, word, blanks), np.int32).tobytes()
+        if len(known) >= REMEMBERED // 2:
+            model.older[blanks], model.known[blanks] = known, (known := {})
         known[word] = found
     return found
 
