@@ -382,6 +382,10 @@ def _answers(spark, rows: DataFrame, classes: DataFrame, indexes: dict[int, tupl
     place, parts = ["dim", "list", "block"], partitions_for(spark)
     blocked = posted.join(counts, ["dim", "list"]).withColumn("block", salt).repartition(parts, *place).groupBy(*place).agg(F.collect_list(F.struct("one", "two", "vec", "ids")).alias("held"))
 
+    held = {dim: np.zeros(len(index.centre), np.int64) for dim, (index, _) in indexes.items()}
+    for dim, number, n in posted.groupBy("dim", "list").count().collect():  # one row a list
+        if dim in held:
+            held[dim][number] = n
     asking = rows.where("asks").select("dim", "one", "two", "vec", "k").distinct()
     total = asking.count()
 
@@ -395,7 +399,9 @@ def _answers(spark, rows: DataFrame, classes: DataFrame, indexes: dict[int, tupl
                         index, ratio = fitted.value[dim]
                         ids, far = graph_search(index, q, BEAM, ratio)
                         near = (ids >= 0) & (far <= ratio * ratio * far[:, :1] * (1 + 1e-12))
-                        near[:, 0] = True
+                        # a class lies in REPLICAS lists at most, so lists are read until they surely hold enough others
+                        sizes = np.where(ids >= 0, held[dim][ids], 0)
+                        near |= (ids >= 0) & (np.cumsum(sizes, axis=1) - sizes < REPLICAS * (k + 1))
                         row, column = np.nonzero(near)
                         lists = ids[row, column]
                     else:
