@@ -114,3 +114,24 @@ def test_graph_walk_finds_the_nearest_centroids():
     assert sum(len(a & b) for a, b in near) / sum(len(a) for a, _ in near) > 0.99
     sizes = np.bincount(true.argmin(1), minlength=200)
     assert sizes.max() < 20
+
+
+def test_queries_unlike_the_other_rows(spark):
+    rng = np.random.default_rng(12)
+    v = np.repeat(rng.standard_normal((300, 16)), 20, axis=0) + 1e-3 * rng.standard_normal((6000, 16))  # tight groups, each in one list
+    v[::100] = rng.standard_normal((60, 16))  # the queries alone lie between them
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = answers(spark, rows, 100)
+    hits = 0
+    for q in range(0, 6000, 100):
+        gaps = np.sqrt(np.square(v - v[q]).sum(1))
+        gaps[q] = np.inf
+        hits += len({j for _, _, j in got[q]} & set(np.argsort(gaps)[:10].tolist()))
+    assert hits / 600 >= 0.9
+
+
+def test_a_query_on_a_centroid_reads_its_surroundings():
+    rng = np.random.default_rng(4)
+    index = ann.build(rng.standard_normal((2000, 4)), 100)
+    ids, near = ann.chosen(index, index.centre[:20] * index.unit, 12.0, np.full(100, 1000), 10)
+    assert (near.sum(1) > 1).mean() >= 0.8

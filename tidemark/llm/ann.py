@@ -4,8 +4,8 @@ Centroids come from balanced halving of a bounded sample, followed by rounds in
 nearest neighbours, held in memory by every task, is searched best-first. Every vector goes to
 the list of its nearest centroid and to those of further ones that are nearly as near and lie in another direction (boundary
 replicas). A query reads the lists whose centroids are at most ``ratio`` times as far as its nearest
-one; that ratio is measured: a few of the table's own vectors are compared with all rows, and the ratio reaches the stated share of
-what they found. Distances are exact, so an answer can miss a neighbour but never states a wrong distance.
+one; that ratio is measured: a few of the queries themselves are compared with all rows, and the ratio reaches the stated share of
+what they found by the walk that answers them. Distances are exact, so an answer can miss a neighbour but never states a wrong distance.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ LIST, MOST_LISTS, SAMPLED, MOST_DIMS = 128, 4096, 16, 16
 REPLICAS, CLOSURE = 4, 1.15
 #: Neighbours of a centroid in the graph, and candidates that a search keeps at least.
 DEGREE, BEAM = 24, 48
-#: Vectors that measure the ratio, and the share of their neighbours that it must reach.
+#: Queries of a dimension that measure the ratio, and the share of their neighbours that it must reach.
 MEASURED, REACH = 192, 0.96
 #: Vectors of a block of a list, queries that search together, and results a task holds before it hands them on.
 BLOCK, PACK, HELD = 512, 1024, 400_000
@@ -110,12 +110,13 @@ def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.nd
 
 @dataclass
 class Lists:
-    """Centroids of one dimension, divided by ``unit``, their graph, and where a walk over it begins."""
+    """Centroids of one dimension, divided by ``unit``, their graph, where a walk over it begins, and the smallest squared distance that a ratio is taken of."""
 
     unit: float
     centre: np.ndarray
     graph: np.ndarray
     entries: np.ndarray
+    floor: float
 
 
 def build(sample: np.ndarray, lists: int) -> Lists:
@@ -124,12 +125,16 @@ def build(sample: np.ndarray, lists: int) -> Lists:
     n = len(centre)
     degree = min(DEGREE, n - 1)
     graph = np.zeros((n, degree + 2), np.int64)
+    apart = np.full(n, np.inf)
     for i in range(0, n, 1024):
         gap = squares(centre[i : i + 1024], centre)
         gap[np.arange(len(gap)), np.arange(i, i + len(gap))] = np.inf
+        apart[i : i + 1024] = np.where(gap > 0, gap, np.inf).min(1)
         graph[i : i + 1024, :degree] = np.argsort(gap, axis=1, kind="stable")[:, :degree]
     graph[:, degree], graph[:, degree + 1] = (np.arange(n) + 1) % n, (np.arange(n) - 1) % n  # a ring connects all
-    return Lists(unit, centre, graph, np.unique(np.linspace(0, n - 1, 16).astype(np.int64)))
+    some = apart[np.isfinite(apart)]
+    floor = float(np.median(some)) / 100 if len(some) else 1e-300  # a query may lie on a centroid
+    return Lists(unit, centre, graph, np.unique(np.linspace(0, n - 1, 16).astype(np.int64)), floor)
 
 
 def graph_search(index: Lists, queries: np.ndarray, beam: int, ratio: float | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +187,7 @@ def graph_search(index: Lists, queries: np.ndarray, beam: int, ratio: float | No
     width = min(beam, n)
     ids, far = walk(np.arange(len(queries)), width)
     while ratio is not None and width < n:
-        full = np.flatnonzero(far[:, -1] <= ratio * ratio * far[:, 0])
+        full = np.flatnonzero(far[:, -1] <= ratio * ratio * np.maximum(far[:, 0], index.floor))
         if not len(full):
             break
         wider = min(n, 4 * width)
@@ -298,10 +303,26 @@ def _scan(queries: list[tuple], q: np.ndarray, dim: int, k: int):
     return run
 
 
+def chosen(index: Lists, q: np.ndarray, ratio: float, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists (-1: none) that the walk meets for every query, and which of them it reads.
+
+    A class lies in ``REPLICAS`` lists at most, so besides the ratio lists are read until they surely hold enough others.
+    """
+    ids, far = graph_search(index, q, BEAM, ratio)
+    near = (ids >= 0) & (far <= ratio * ratio * np.maximum(far[:, :1], index.floor) * (1 + 1e-12))
+    sizes = np.where(ids >= 0, held[ids], 0)
+    near |= (ids >= 0) & (np.cumsum(sizes, axis=1) - sizes < REPLICAS * (k + 1))
+    return ids, near
+
+
 def measured_ratio(index: Lists, classes: DataFrame, dim: int, sample: list[tuple], k: int, reach: float) -> float:
-    """Smallest distance ratio with which the sampled vectors' own searches reach that share of their true neighbours."""
-    queries = [(ids[0], one, two) for one, two, _, ids in sample]
-    q = _stack([v for _, _, v, _ in sample], dim)
+    """Smallest distance ratio with which the sampled queries' own searches reach that share of their true neighbours.
+
+    ``sample``: key, digests and vector of queries that are drawn from all of them, so that the share holds for the queries asked,
+    however unlike the other rows they are. What the walk misses is made up for by a larger ratio.
+    """
+    queries = [tuple(r[:3]) for r in sample]
+    q = _stack([r[3] for r in sample], dim)
     found = nearest(classes.where(F.col("dim") == dim).select("one", "two", "vec", "ids").mapInArrow(_scan(queries, q, dim, k), _RESULT), k)
     rows = found.select("query", "q_one", "q_two", "vec").collect()  # at most k of each sampled query
     if not rows:
@@ -311,8 +332,18 @@ def measured_ratio(index: Lists, classes: DataFrame, dim: int, sample: list[tupl
     lists = closure(index, _stack([r["vec"] for r in rows], dim))
     unit = index.unit
     far = np.sqrt(squares(q / unit, index.centre))
-    needed = np.where(lists >= 0, far[at[:, None], lists], np.inf).min(1) / np.maximum(far.min(1)[at], 1e-300)
-    return float(np.quantile(needed, reach, method="higher")) * (1 + 1e-9)
+    needed = np.where(lists >= 0, far[at[:, None], lists], np.inf).min(1) / np.maximum(far.min(1)[at], index.floor**0.5)
+    ratio = float(np.quantile(needed, reach, method="higher")) * (1 + 1e-9)
+    plenty = np.full(len(index.centre), REPLICAS * (k + 1))
+    for _ in range(200):
+        ids, near = chosen(index, q, ratio, plenty, k)
+        read = np.zeros((len(q), len(index.centre) + 1), bool)
+        np.put_along_axis(read, np.where(near, ids, -1), True, axis=1)
+        read[:, -1] = False
+        if read[at[:, None], lists].any(1).mean() >= reach:
+            break
+        ratio *= 1.1
+    return ratio
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", reach: float = REACH) -> DataFrame:
@@ -326,7 +357,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
 
     The index is fitted on a bounded sample (``MOST_LISTS * SAMPLED`` vectors of each of the ``MOST_DIMS`` most frequent dimensions; vectors of
     other dimensions share one list each), but holds every row. ``reach`` is the share of true neighbours that the measured ratio
-    must reach for ``MEASURED`` vectors of the table. A list longer than ``BLOCK`` is dealt out to blocks by hash.
+    must reach for ``MEASURED`` queries. A list longer than ``BLOCK`` is dealt out to blocks by hash.
     """
     spark = vectors.sparkSession
 
@@ -342,17 +373,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
     classes = materialise(few.groupBy(*same).agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("k")).alias("ids")), "ann-classes")
     sizes = {r[0]: r[1] for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_DIMS).collect()}
     indexes: dict[int, tuple[Lists, float]] = {}
+    asking = rows.where("asks").select("k", "one", "two", "vec", "dim").distinct()
     for dim, n in sizes.items():
         lists = max(1, min(MOST_LISTS, n // LIST))
         wanted = lists * SAMPLED
         # digests are uniform, so a range of them is a random sample
         share = int(min(1.0, max(wanted, MEASURED) / n) * (1 << 40))
-        sample = [tuple(r) for r in classes.where((F.col("dim") == dim) & (F.pmod("two", F.lit(1 << 40)) < share)).select("one", "two", "vec", "ids").collect()]
+        sample = [tuple(r) for r in classes.where((F.col("dim") == dim) & (F.pmod("two", F.lit(1 << 40)) < share)).select("one", "two", "vec").collect()]
         if not sample:
             continue
         index = build(_stack([r[2] for r in sample], dim), lists)
-        asked = sorted(sample, key=lambda r: r[0])[:MEASURED]
-        indexes[dim] = index, measured_ratio(index, classes, dim, asked, k, reach)
+        asked = asking.where(F.col("dim") == dim).orderBy(F.xxhash64("k", "two"), "one").limit(MEASURED).collect()
+        indexes[dim] = index, measured_ratio(index, classes, dim, asked, k, reach) if asked else 1.0
     return _answers(spark, rows, classes, indexes, k, key)
 
 
@@ -397,11 +429,7 @@ def _answers(spark, rows: DataFrame, classes: DataFrame, indexes: dict[int, tupl
                 for dim, at, q in by_dim(batch):
                     if dim in fitted.value:
                         index, ratio = fitted.value[dim]
-                        ids, far = graph_search(index, q, BEAM, ratio)
-                        near = (ids >= 0) & (far <= ratio * ratio * far[:, :1] * (1 + 1e-12))
-                        # a class lies in REPLICAS lists at most, so lists are read until they surely hold enough others
-                        sizes = np.where(ids >= 0, held[dim][ids], 0)
-                        near |= (ids >= 0) & (np.cumsum(sizes, axis=1) - sizes < REPLICAS * (k + 1))
+                        ids, near = chosen(index, q, ratio, held[dim], k)
                         row, column = np.nonzero(near)
                         lists = ids[row, column]
                     else:
