@@ -248,6 +248,30 @@ def test_watchlist_files(spark, tmp_path):
     assert {r.symbol for r in both.collect()} == {"JKL", "MNO", "PQR", "STU"}
 
 
+def test_one_long_watchlist_is_read_in_parts(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("# list\n\nname,ticker\n" + "".join(f"n{i},S{i}\n" for i in range(3000)) + "name,ticker\n")
+    (tmp_path / "long.txt").write_text("".join(f"T{i}\n" for i in range(3000)))
+    sizes = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        got = RD.read_watchlist(spark, str(tmp_path / "long.*"))
+        assert got.rdd.getNumPartitions() > 4
+        assert sorted(r.symbol for r in got.collect()) == sorted([f"S{i}" for i in range(3000)] + [f"T{i}" for i in range(3000)] + ["ticker"])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_missing_weekdays_shuffle_only_the_days_present(spark):
+    d = dt.date
+    rows = [(1, d(2026, 6, 12)), (1, d(2026, 6, 18)), (1, d(2026, 6, 18)), (None, d(2026, 6, 15)), (None, d(2026, 6, 17)), (2, d(2026, 6, 15)), (3, None), (1, None)]
+    out = J.missing_weekdays(spark.createDataFrame(rows, "k int, d date"), "k", "d")
+    assert sorted((r.k or 0, r.day.day) for r in out.collect()) == [(0, 15), (0, 16), (0, 17), (1, 15), (1, 16), (1, 17)]
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_late_rows_are_dropped_from_live_bars(spark, tmp_path):
     def part(name, rows):
         spark.createDataFrame(rows, "symbol string, ts timestamp, close double, volume double").coalesce(1).write.parquet(str(tmp_path / "in.parquet" / name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numeric import let, round_even
+from tidemark.session import materialise
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -24,16 +25,20 @@ def csv_cells(line: Column) -> Column:
 def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
     """Symbols of watchlists, whose format each file decides for itself: one per line with ``#`` comments, or a CSV's ``ticker`` (else first) column.
 
-    A file is a CSV when its first line that is neither blank nor a comment has a comma. A list is read as one row a file, so files
-    may come by a glob of both kinds; nothing is collected.
+    A file is a CSV when its first line that is neither blank nor a comment has a comma. Lines are rows, so a list may be of any
+    length and files may come by a glob of both kinds; only each file's first line is sent to all tasks.
     """
-    files = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split("value", r"\r\n|\n|\r"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
-    files = files.select(lines.alias("lines")).filter(F.size("lines") > 0).withColumn("head", csv_cells(F.regexp_replace(F.get("lines", 0), "^\ufeff", "")))
-    is_csv = F.contains(F.get("lines", 0), F.lit(","))
-    at = F.greatest(F.array_position(F.transform("head", lambda h: F.lower(h)), "ticker"), F.lit(1)).cast("int") - 1
-    rows = files.select(is_csv.alias("csv"), at.alias("at"), F.explode(F.when(is_csv, F.slice("lines", 2, F.size("lines"))).otherwise(F.col("lines"))).alias("line"))
-    symbol = F.when(F.col("csv"), F.trim(F.get(csv_cells(F.col("line")), F.col("at")))).otherwise(F.trim("line"))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at")
+    )
+    # a line's place is read twice, so it is written once
+    kept = materialise(lines.where((F.trim("value") != "") & ~F.trim("value").startswith("#")), "watchlist-lines")
+    first = kept.groupBy("file").agg(F.min(F.struct("at", "value")).alias("first"))
+    head = csv_cells(F.regexp_replace("first.value", "^\ufeff", ""))
+    column = F.greatest(F.array_position(F.transform(head, lambda h: F.lower(h)), "ticker"), F.lit(1)).cast("int") - 1
+    files = first.select("file", F.col("first.at").alias("head"), F.when(F.contains("first.value", F.lit(",")), column).alias("column"))
+    rows = kept.join(F.broadcast(files), "file").where(F.col("column").isNull() | (F.col("at") != F.col("head")))
+    symbol = F.when(F.col("column").isNotNull(), F.trim(F.get(csv_cells(F.col("value")), F.col("column")))).otherwise(F.trim("value"))
     return rows.select(symbol.alias("symbol")).filter(F.col("symbol") != "")
 
 
