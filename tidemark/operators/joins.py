@@ -226,11 +226,16 @@ def named_segments(rows: DataFrame, date: str, segments: list[tuple[str, str, st
 
 
 def missing_weekdays(present: DataFrame, key: str, date: str) -> DataFrame:
-    """Weekdays between the first and last date of each key that have no row."""
-    have = present.select(key, F.col(date).alias("day")).distinct()
-    span = have.groupBy(key).agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    expected = span.select(key, F.explode(S.weekdays(F.col("a"), F.col("b"))).alias("day"))
-    return expected.join(have, [key, "day"], "left_anti")
+    """Weekdays between the first and last date of each key that have no row; a null key equals no other, so all its weekdays are missing.
+
+    Only the days present are shuffled: the gap behind each of them is filled in place.
+    """
+    have = present.select(key, F.col(date).alias("day")).where("day IS NOT NULL").distinct()
+    upto = F.lead("day").over(Window.partitionBy(key).orderBy("day"))
+    gaps = have.withColumn("__next", upto).select(
+        key, F.when(F.col(key).isNotNull(), F.date_add("day", 1)).otherwise(F.col("day")).alias("a"), F.when(F.col("__next").isNotNull(), F.date_sub("__next", 1)).otherwise(F.col("day")).alias("b")
+    )
+    return gaps.where("a <= b").select(key, F.explode(S.weekdays(F.col("a"), F.col("b"))).alias("day"))
 
 
 def unique_filings(filings: DataFrame) -> DataFrame:
