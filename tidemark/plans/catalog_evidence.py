@@ -15,7 +15,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.sqltext import binary, r
 from tidemark.sources import filings as FI
 from tidemark.sources import pages as PG
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 # --- facts --------------------------------------------------------------------------------
 
@@ -522,7 +522,7 @@ def _(spark, d):
 
 
 def proxy_texts(spark, d):
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"))
     holder = (F.col("p_size") / 2).cast("string")
     text = F.concat(
         F.lit("Intro text. Security Ownership of Management. Vanguard holds "), holder, F.lit("% of the shares. The customer share was 77%. "),
