@@ -77,10 +77,14 @@ def insider_transactions(pages: DataFrame, html: str = "html", ticker: str = "ti
         return F.when(F.size(td) >= CELLS, symbol).otherwise(F.lit(False))
 
     found = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda tr, i: F.struct(i.alias("row_no"), F.slice(cells_of(tr), 1, CELLS).alias("td")))
-    rows = pages.select(*keep, F.explode(F.filter(found, lambda r: maybe(r["td"]))).alias("r")).select(*keep, "r.row_no", "r.td")
-    raw = F.array_join(F.transform("td", strip_tags), "\u0001")
-    rows = rows.withColumn("c", F.split(unescape(raw), "\u0001"))
-    rows = rows.withColumn("c", F.transform("c", squeeze))
+    # tags and white space of all cells are taken out in one pass each; neither reaches over the mark between two cells
+    def bare(td: Column) -> Column:
+        return F.regexp_replace(F.array_join(td, "\u0001"), "<[^>\u0001]+>", " ")
+
+    kept = F.transform(F.filter(found, lambda r: maybe(r["td"])), lambda r: F.struct(r["row_no"], r["td"], bare(r["td"]).alias("__bare")))
+    # what an outer explode gives is computed once; an inner one, or a plain column, would be repeated in every filter and field made of it
+    rows = pages.select(*keep, F.explode_outer(kept).alias("r")).where(F.col("r").isNotNull()).select(*keep, "r.row_no", "r.td", unescape("r.__bare").alias("__text"))
+    rows = rows.select(*keep, "row_no", "td", F.explode_outer(F.array(F.transform(F.split(squeeze("__text"), "\u0001"), lambda t: F.trim(t)))).alias("c"))
 
     def link(i: int, needle: str) -> Column:
         hrefs = F.regexp_extract_all(F.get(F.col("td"), i), F.lit(r"(?is)<a\b[^>]*href=[\"']([^\"']*)[\"']"), F.lit(1))
