@@ -1,7 +1,7 @@
 """Keyed merges of the evidence store.
 
-Each merge is a union of the stored and the incoming rows followed by an aggregate per key, so
-copies of a hot key are folded on the map side and no key is ever collected.
+Each merge is a union of the stored and the incoming rows followed by an aggregate per key, so mostly
+copies of a hot key are folded on the map side (observations are shuffled once instead, see ``together``) and no key is ever collected.
 """
 
 from __future__ import annotations
@@ -38,26 +38,57 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Dat
 CONTENT = ("ticker", "source_key", "observation_type", "raw_hash")
 
 
-def sightings(observations: DataFrame) -> DataFrame:
-    """One row per content key and metadata entry: its last value, and the first and last sighting; a mergeable state."""
+def packed(rows: DataFrame) -> DataFrame:
+    """``raw_hash`` as bytes, a SHA-256 in hex as half as many; the first byte tells them from other texts."""
+    h = F.col("raw_hash")
+    return rows.withColumn("raw_hash", F.when(h.rlike("^[0-9a-f]{64}$"), F.concat(F.lit(b"\x01"), F.unhex(h))).otherwise(F.concat(F.lit(b"\x00"), F.encode(h, "UTF-8"))))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    h, rest = F.col("raw_hash"), F.substring("raw_hash", 2, 2**31 - 1)
+    return rows.withColumn("raw_hash", F.when(F.substring(h, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8")))
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """All rows of a content in one task and packed: the one shuffle that the aggregates by entry and by content need.
+
+    A task sorts its rows and folds them one by one, so a content seen often takes time but no memory.
+    """
+    return packed(rows).repartition(*CONTENT)
+
+
+def _sightings(observations: DataFrame) -> DataFrame:
     order = F.struct("fetched_at", "run_id")
     entries = observations.select("*", F.explode_outer("metadata").alias("entry", "value"))
     rows = entries.select(*CONTENT, "entry", F.struct(order.alias("at"), F.col("value").alias("value")).alias("newest"), F.struct("fetched_at", "run_id", "title", "source_url").alias("first"), order.alias("last"))
-    return merge_sightings(rows)
+    return _merged(rows)
 
 
-def merge_sightings(rows: DataFrame) -> DataFrame:
-    """Any union of ``sightings`` to one row per content key and entry; the order in which parts are merged does not matter."""
+def _merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*CONTENT, "entry").agg(F.max("newest").alias("newest"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
-def observations_of(merged: DataFrame) -> DataFrame:
-    """Merged sightings to one observation per content key."""
+def _observations(merged: DataFrame) -> DataFrame:
     pair = F.when(F.col("entry").isNotNull(), F.struct("entry", "newest.value"))
     out = merged.groupBy(*CONTENT).agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("metadata"), F.min("first").alias("first"), F.max("last").alias("last"))
     return out.select(*CONTENT, "first.title", "first.source_url", "last.run_id", "last.fetched_at", "metadata")
 
 
+def sightings(observations: DataFrame) -> DataFrame:
+    """One row per content key and metadata entry: its last value, and the first and last sighting; a mergeable state."""
+    return unpacked(_sightings(together(observations.select(*CONTENT, "fetched_at", "run_id", "title", "source_url", "metadata"))))
+
+
+def merge_sightings(rows: DataFrame) -> DataFrame:
+    """Any union of ``sightings`` to one row per content key and entry; the order in which parts are merged does not matter."""
+    return unpacked(_merged(together(rows)))
+
+
+def observations_of(rows: DataFrame) -> DataFrame:
+    """Any union of ``sightings`` to one observation per content key."""
+    return unpacked(_observations(_merged(together(rows))))
+
+
 def merge_observations(observations: DataFrame) -> DataFrame:
     """Stored and incoming observations to one row per content key.
 
@@ -65,7 +96,7 @@ def merge_observations(observations: DataFrame) -> DataFrame:
     metadata entries merge with the last value winning. Entries are reduced per metadata key
     first, so a content with millions of sightings stays one small map.
     """
-    return observations_of(sightings(observations))
+    return unpacked(_observations(_sightings(together(observations.select(*CONTENT, "fetched_at", "run_id", "title", "source_url", "metadata")))))
 
 
 def merge_companies(versions: DataFrame, text: Sequence[str] = ("name", "sector", "industry", "code")) -> DataFrame:
