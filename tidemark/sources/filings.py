@@ -81,7 +81,9 @@ FORM4 = (
 def form4_transactions(filings: DataFrame, xml: str = "xml") -> DataFrame:
     """Insider transaction rows of ownership documents; malformed documents give none."""
     doc = filings.withColumn("d", F.from_xml(xml, FORM4))
-    rows = doc.select(*[c for c in filings.columns if c != xml], "d.issuer.issuerTradingSymbol", F.get(F.col("d.reportingOwner"), 0).alias("o"), F.posexplode("d.nonDerivativeTable.nonDerivativeTransaction").alias("position", "t"))
+    # an outer explode: for an inner one the optimiser filters by the documents' size, parsed anew for every condition
+    rows = doc.select(*[c for c in filings.columns if c != xml], "d.issuer.issuerTradingSymbol", F.get(F.col("d.reportingOwner"), 0).alias("o"), F.posexplode_outer("d.nonDerivativeTable.nonDerivativeTransaction").alias("position", "t"))
+    rows = rows.where(F.col("position").isNotNull())
     amount = F.col("t.transactionAmounts")
     shares = F.trim(amount["transactionShares"]["value"]).try_cast("double")
     price = F.trim(amount["transactionPricePerShare"]["value"]).try_cast("double")
@@ -107,7 +109,7 @@ def holdings_13f(filings: DataFrame, xml: str = "xml") -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace(F.col(xml), r"<(/?)[A-Za-z0-9_]+:", "<$1"), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
     doc = filings.withColumn("d", F.from_xml(bare, INFO_TABLE))
     keep = [c for c in filings.columns if c != xml]
-    rows = doc.select(*keep, F.posexplode("d.infoTable").alias("position", "h"))
+    rows = doc.select(*keep, F.posexplode_outer("d.infoTable").alias("position", "h")).where(F.col("position").isNotNull())  # outer: see form4_transactions
     return rows.select(
         *keep,
         "position",
