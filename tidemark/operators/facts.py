@@ -188,15 +188,22 @@ def form4_rollup(transactions: DataFrame, key: str = "ticker", listed: int | Non
     """Counts and values of acquired and disposed shares, the net value and the rows in filing order (the first ``listed`` if that is given)."""
     side, value = F.col("acquired_disposed"), F.col("value")
     bought, sold = side == "A", side == "D"
-    out = transactions.groupBy(key).agg(
+    cols = ["transaction_date", "transaction_code", "shares", "price", "value"]
+    if listed is not None:
+        transactions = materialise(transactions.select(key, "filing_no", "position", "acquired_disposed", *cols), "transactions")  # each document is parsed once
+    totals = [
         F.count(F.lit(1)).alias("transaction_count"),
         F.count_if(bought).alias("purchase_count"),
         F.count_if(sold).alias("sale_count"),
         F.coalesce(F.sum(F.when(bought, value)), F.lit(0.0)).alias("purchase_value"),
         F.coalesce(F.sum(F.when(sold, value)), F.lit(0.0)).alias("sale_value"),
-    )
-    rows = first_rows(transactions, key, ["filing_no", "position"], ["transaction_date", "transaction_code", "shares", "price", "value"], listed, "transactions")
-    return out.withColumn("net_purchase_value", F.col("purchase_value") - F.col("sale_value")).join(rows, key)
+    ]
+    rows = F.array_sort(F.collect_list(F.struct("filing_no", "position", *cols)))
+    out = transactions.where(F.col(key).isNotNull()).groupBy(key).agg(*totals, *([] if listed is not None else [rows.alias("__r")]))
+    out = out.withColumn("net_purchase_value", F.col("purchase_value") - F.col("sale_value"))
+    if listed is not None:
+        return out.join(first_rows(transactions, key, ["filing_no", "position"], cols, listed, "transactions"), key)
+    return out.withColumn("transactions", F.transform("__r", lambda r: F.struct(*[r[c].alias(c) for c in cols]))).drop("__r")
 
 
 def insider_rollup(transactions: DataFrame, key: str = "ticker") -> DataFrame:
@@ -249,14 +256,23 @@ def holdings_rollup(holdings: DataFrame, companies: DataFrame, managers_checked:
     """Managers that hold each company, with the total reported value and shares.
 
     ``holdings``: ``manager, manager_no, name_of_issuer, value_usd, shares``. Issuer names are
-    matched once per distinct name and joined back. ``managers_checked`` limits the managers by number.
+    matched once per distinct token set, and companies of one token set share its totals. ``managers_checked`` limits the managers by number.
     """
     checked = holdings if managers_checked is None else holdings.filter(F.col("manager_no") < managers_checked)
-    checked = materialise(checked.select("manager", "name_of_issuer", "value_usd", "shares"), "holdings")  # each document is parsed once
-    pairs = J.issuer_matches(checked.select(F.col("name_of_issuer").alias("issuer")), companies)
-    matched = checked.join(pairs, F.col("name_of_issuer") == F.col("issuer"))
-    return matched.groupBy("ticker").agg(
-        F.count_distinct("manager").alias("matched_manager_count"),
-        F.coalesce(F.sum("value_usd"), F.lit(0.0)).alias("total_value_usd"),
-        F.coalesce(F.sum("shares"), F.lit(0.0)).alias("total_shares"),
-    )
+    # each document is parsed once, and a manager's holdings of one token set are one row
+    held = checked.groupBy("manager", J._token_set("name_of_issuer").alias("issuer_set")).agg(F.sum("value_usd").alias("value_usd"), F.sum("shares").alias("shares"))
+    held = materialise(held.where("issuer_set IS NOT NULL"), "holdings")
+    sets = held.select("issuer_set").distinct()
+    own, by_symbol = J.company_names(companies, sets)
+    pairs = materialise(J.token_set_matches(sets, own.select("company_set").distinct()), "set-pairs")
+
+    def rollup(matched: DataFrame, key: str) -> DataFrame:
+        return matched.join(held, "issuer_set").groupBy(key).agg(
+            F.count_distinct("manager").alias("matched_manager_count"),
+            F.coalesce(F.sum("value_usd"), F.lit(0.0)).alias("total_value_usd"),
+            F.coalesce(F.sum("shares"), F.lit(0.0)).alias("total_shares"),
+        )
+
+    once = own.where("single").join(rollup(pairs, "company_set"), "company_set").drop("company_set", "single")
+    several = J.spread_join(pairs, own.where("NOT single").select("ticker", "company_set"), "company_set").select("issuer_set", "ticker")
+    return once.unionByName(rollup(several.unionByName(by_symbol).distinct(), "ticker"))

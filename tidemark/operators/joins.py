@@ -109,32 +109,61 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, block: int = KEY_RO
     return dealt(left, "__lb", "__rb").join(dealt(right, "__rb", "__lb"), [key, "__lb_at", "__rb_at"]).drop("__lb_at", "__rb_at")
 
 
-def issuer_matches(issuers: DataFrame, companies: DataFrame) -> DataFrame:
-    """Pairs ``issuer, ticker`` that share two name tokens, the only token, or the ticker itself.
+def _token_set(name: Column | str) -> Column:
+    """A name's distinct tokens in order, joined by blanks; names of equal sets match alike."""
+    return F.array_join(F.array_sort(S.issuer_tokens(name)), " ")
+
+
+def token_set_matches(issuer_sets: DataFrame, company_sets: DataFrame) -> DataFrame:
+    """Pairs ``issuer_set, company_set`` of distinct token sets that share two tokens, or the only token of the company's.
 
     The join key is the pair of tokens itself (or the single token), so every joined row is a
-    match: a frequent word alone never pairs anything. Issuer names are made distinct first, a frequent pair is
-    dealt out (``spread_join``), and two names that share several pairs are one row, kept under their first common pair.
+    match: a frequent word alone never pairs anything. A frequent pair is dealt out (``spread_join``), and two sets that share several
+    pairs are one row, kept under their first common pair.
     """
-    names = issuers.select("issuer").distinct().select("issuer", S.issuer_tokens("issuer").alias("t"))
-    own = companies.select("ticker", S.issuer_tokens("name").alias("t"), F.lower("ticker").alias("sym"))
+    def split(c: str) -> Column:
+        return F.split(c, " ")
 
-    def token_pairs(t: Column) -> Column:
-        s = F.array_sort(t)
-        return F.flatten(
-            F.transform(s, lambda a: F.transform(F.filter(s, lambda b: b > a), lambda b: F.concat(a, F.lit(" "), b)))
-        )
+    def token_pairs(s: Column) -> Column:
+        return F.flatten(F.transform(s, lambda a: F.transform(F.filter(s, lambda b: b > a), lambda b: F.concat(a, F.lit(" "), b))))
 
-    issuer_keys = names.select("issuer", F.explode(F.concat(token_pairs(F.col("t")), F.col("t"))).alias("key"), F.array_sort("t").alias("it"))
-    company_keys = own.select(
-        "ticker",
-        F.explode(F.array_distinct(F.concat(F.when(F.size("t") >= 2, token_pairs(F.col("t"))).otherwise(F.col("t")), F.array("sym")))).alias("key"),
-        F.array_sort("t").alias("ct"),
-    )
-    common = F.array_sort(F.array_intersect("it", "ct"))
-    first = F.when((F.size("ct") >= 2) & (F.size(common) >= 2), F.concat(common[0], F.lit(" "), common[1]))
-    met = spread_join(issuer_keys, company_keys, "key").where(first.isNull() | (F.col("key") == first))
-    return met.select("issuer", "ticker").distinct()  # a ticker may have several names
+    it, ct = split("issuer_set"), split("company_set")
+    issuer_keys = issuer_sets.where("issuer_set <> ''").select("issuer_set", F.explode(F.concat(token_pairs(it), it)).alias("key"))
+    company_keys = company_sets.where("company_set <> ''").select("company_set", F.explode(F.when(F.size(ct) >= 2, token_pairs(ct)).otherwise(ct)).alias("key"))
+    common = F.array_sort(F.array_intersect(it, ct))
+    first = F.when(F.size(ct) >= 2, F.concat(common[0], F.lit(" "), common[1])).otherwise(F.col("company_set"))
+    return spread_join(issuer_keys, company_keys, "key").where(F.col("key") == first).select("issuer_set", "company_set")
+
+
+def company_names(companies: DataFrame, issuer_sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ticker, company_set, single`` and the pairs ``issuer_set, ticker`` of issuers that name the ticker itself.
+
+    ``single``: the ticker has one token set and no issuer names it, so no issuer can match it twice.
+    """
+    own = companies.select("ticker", _token_set("name").alias("company_set")).where("company_set IS NOT NULL").distinct().withColumn("sym", F.lower("ticker"))
+    named = issuer_sets.select("issuer_set", F.explode(F.split("issuer_set", " ")).alias("sym"))
+    words = named.select("sym", F.lit(True).alias("named")).distinct()
+    flagged = own.join(words, "sym", "left").withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("ticker")))
+    flagged = materialise(flagged.select("ticker", "sym", "company_set", ((F.col("sets") == 1) & F.col("named").isNull()).alias("single")), "company-names")
+    by_symbol = spread_join(named, flagged.where("NOT single").select("ticker", "sym").distinct(), "sym").select("issuer_set", "ticker")
+    return flagged.drop("sym"), by_symbol
+
+
+def issuer_matches(issuers: DataFrame, companies: DataFrame) -> DataFrame:
+    """Pairs ``issuer, ticker`` that share two name tokens, the only token, or the ticker itself.
+
+    Token sets are matched once for all names that have them (``token_set_matches``) and spread to the names; only tickers that an issuer
+    can match in several ways (several names, or the ticker itself) pass a distinct.
+    """
+    names = materialise(issuers.select("issuer").distinct().select("issuer", _token_set("issuer").alias("issuer_set")).where("issuer_set IS NOT NULL"), "issuer-names")
+    sets = names.select("issuer_set").distinct()
+    own, by_symbol = company_names(companies, sets)
+    pairs = token_set_matches(sets, own.select("company_set").distinct())
+    named = materialise(names.join(pairs, "issuer_set").select("issuer", "company_set"), "issuer-sets")
+    once = spread_join(named, own.where("single").select("ticker", "company_set"), "company_set").select("issuer", "ticker")
+    several = spread_join(named, own.where("NOT single").select("ticker", "company_set"), "company_set").select("issuer", "ticker")
+    symbols = spread_join(names, by_symbol, "issuer_set").select("issuer", "ticker")
+    return once.unionByName(several.unionByName(symbols).distinct())
 
 
 def keyword_matches(events: DataFrame, text: Column, keywords: dict[str, list[str]]) -> DataFrame:
