@@ -562,7 +562,8 @@ def _(spark, d):
     f"SELECT p_brand AS ticker, count(*) AS filing_count, {r('max(p_size) / 100.0', 'management_group_percent')}, {r('max(p_size) / 200.0', 'top_holder_percent')} FROM part WHERE p_type <> 'PROMO' GROUP BY p_brand",
 )
 def _(spark, d):
-    f = proxy_texts(spark, d).select("ticker", TX.ownership_section("text").alias("section"))
+    # what an outer explode gives is computed once; a plain column would be repeated in the filter and both fields made of it
+    f = proxy_texts(spark, d).select("ticker", F.explode_outer(F.array(TX.ownership_section("text"))).alias("section"))
     f = f.withColumns({"rows": TX.ownership_rows("section"), "group_percent": TX.group_percent("section")})
     out = FA.proxy_rollup(f)
     return out.select("ticker", "filing_count", rnd("management_group_percent").alias("management_group_percent"), rnd("top_holder_percent").alias("top_holder_percent"))
