@@ -410,3 +410,15 @@ def test_holdings_of_one_token_set_are_matched_once(spark):
     assert got == {t: (len(m), v, s) for t, (m, v, s) in want.items()}
     plan = FA.holdings_rollup(holdings, frame)._jdf.queryExecution().optimizedPlan().toString()
     assert "name_of_issuer" not in plan  # companies meet token sets, not every holding
+
+
+def test_ingest_log_keeps_hashes_as_bytes_and_reads_older_text(spark, tmp_path):
+    schema = "ticker string, source_key string, observation_type string, raw_hash string, run_id int, fetched_at int, title string, source_url string, metadata map<string,string>"
+    h = "ab" * 32
+    log = L.IngestLog(spark, str(tmp_path / "log"))
+    log.append(spark.createDataFrame([("A", "s", "t", h, 1, 1, "one", None, {"a": "1"})], schema), 0)
+    assert dict(spark.read.parquet(str(tmp_path / "log/deltas/b0")).dtypes)["raw_hash"] == "binary"
+    M.sightings(spark.createDataFrame([("A", "s", "t", h, 2, 2, "two", None, {"a": "2"})], schema)).select("*", log._bucket()).write.partitionBy("bucket").parquet(str(tmp_path / "log/deltas/b1"))
+    assert [(r.raw_hash, r.title, r.run_id, r.metadata) for r in log.read().collect()] == [(h, "one", 2, {"a": "2"})]
+    log.compact()
+    assert [(r.raw_hash, r.title, r.run_id, r.metadata) for r in log.read().collect()] == [(h, "one", 2, {"a": "2"})]
