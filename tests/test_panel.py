@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
+import json
+import pathlib
 import random
 import shutil
 
@@ -101,3 +104,112 @@ def test_rows_behind_the_watermark_are_counted_as_late(spark, tmp_path):
     out = by_symbol(got)["long"]
     same({"long": out}, by_symbol(plain(spark.createDataFrame(rows, SCHEMA))), ["ema9", "ema21", "kdj_k", "kdj_d", "vwap", "atr", "rsi14", "bias_score"])
     assert out["late"] == 1
+
+
+def stepped(batches, delay_ms, opening_rows=15):
+    """The live panel in plain Python: every row is held by symbol and stepped; panel summaries of every batch."""
+    states, watermark, out = {}, 0, []
+    epoch = dt.datetime(1970, 1, 1)
+    for rows in batches:
+        came = {}
+        for symbol, ts, *values in rows:
+            at = L.NO_TIME if ts is None else (ts - epoch) // dt.timedelta(microseconds=1)
+            came.setdefault(symbol, []).append([at, -(2**31) if ts is None else at // 86_400_000_000, *values])
+        for symbol, new in came.items():
+            s = states.setdefault(symbol, {"taken": P.new_state(), "held": [], "until": None, "late": 0})
+            late = [r for r in new if s["until"] is not None and r[0] <= s["until"]]
+            s["late"] += len(late)
+            live = sorted([r for r in [*s["held"], *new] if s["until"] is None or r[0] > s["until"]], key=lambda r: (r[0], [(v is not None, v or 0.0) for v in r[2:]]))
+            ready, s["held"] = [r for r in live if r[0] <= watermark * 1000], [r for r in live if r[0] > watermark * 1000]
+            s["until"] = ready[-1][0] if ready else s["until"]
+
+            def take(state, r):
+                P.day_step(state, r[1], (r[0], *r[3:7]), r[7], opening_rows)
+                P.step(state, (r[0], *r[3:7]))
+
+            for r in ready:
+                take(s["taken"], r)
+            now = copy.deepcopy(s["taken"])
+            for r in s["held"]:
+                take(now, r)
+            if live:
+                at, _, *values = live[-1]
+                out.append({**P.summary_of(symbol, now), "at": at, **dict(zip(P.VALUES, values)), "rows": now["n"], "late": s["late"]})
+        times = [r[1] for r in rows if r[1] is not None]
+        if times:
+            watermark = max(watermark, (max(times) - epoch) // dt.timedelta(milliseconds=1) - delay_ms)
+    return out
+
+
+def agree(got, want):
+    key = lambda r: (r["symbol"] or "", r["rows"], r["late"], r["at"])
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+        for c, v in b.items():
+            exact = v is None or isinstance(v, (str, int, list))
+            assert a[c] == (v if exact else pytest.approx(v, rel=1e-9, abs=1e-9)), (b["symbol"], c, a[c], v)
+
+
+def drawn(seed, n, symbols, spread):
+    """Ticks in rough order of time: ties, nulls in every column, symbols that pause."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        symbol = rng.choices([*symbols, None], [30, 20, 10, 1, 1][: len(symbols)] + [1])[0]
+        at = dt.datetime(2024, 3, 1, 20) + dt.timedelta(seconds=20 * (i + rng.randrange(-spread, spread + 1)) // 30 * 30)
+        price = 50 + rng.gauss(0, 2)
+        row = [symbol, None if rng.random() < 0.005 else at, price, price + 1, price - 1, price, float(rng.randrange(0, 50)), rng.choice([0.0, None, price * 10])]
+        for c in (3, 4, 5, 6):
+            if rng.random() < 0.08:
+                row[c] = None
+        rows.append(tuple(row))
+    return rows
+
+
+@pytest.mark.parametrize("delay,ms,opening", [("2 minutes", 120_000, 15), ("3 hours", 10_800_000, 4)])
+def test_batches_equal_a_step_by_step_panel(spark, tmp_path, delay, ms, opening):
+    """Seven batches, so open points are merged; late rows, ties, missing times and symbols, a symbol that pauses, a batch that is repeated."""
+    rows = drawn(7, 1400, ["a", "b", "c", "d"], 8)
+    batches = [rows[i * 200 : (i + 1) * 200] for i in range(7)]
+    batches[2] = [r for r in batches[2] if r[0] != "b"]
+    log = L.PanelLog(spark, f"{tmp_path}/log", opening, delay)
+    for i, batch in enumerate(batches):
+        for _ in range(2 if i in (0, 5) else 1):
+            log.add(spark.createDataFrame(batch, SCHEMA), i)
+    got = [r.asDict() for r in spark.read.schema(log.PANELS).parquet(f"{log.path}/data/*").collect()]
+    want = stepped(batches, ms, opening)
+    assert max(r["late"] for r in want) > 0
+    agree(got, want)
+    assert len(log._before(7)["points"]) <= log.most_open
+
+
+def test_an_empty_batch_and_no_batch(spark, tmp_path):
+    rows = drawn(3, 60, ["a"], 2)
+    log = L.PanelLog(spark, f"{tmp_path}/log", 15, "2 minutes")
+    assert log.panels().count() == 0
+    for i, batch in enumerate([[], rows[:30], [], rows[30:]]):
+        log.add(spark.createDataFrame(batch, SCHEMA), i)
+    agree([r.asDict() for r in spark.read.schema(log.PANELS).parquet(f"{log.path}/data/*").collect()], stepped([rows[:30], rows[30:]], 120_000))
+
+
+def test_one_file_of_a_symbol_is_not_held_by_one_task(spark, tmp_path):
+    """All points come before there is a watermark; no segment has most of them, no state grows with them."""
+    rng, rows = random.Random(2), []
+    for i in range(30_000):
+        price = 50 + rng.gauss(0, 2)
+        rows.append(("a", dt.datetime(2024, 3, 1, 20) + dt.timedelta(seconds=i), price, price + 1, price - 1, None if 9000 < i < 13_500 or rng.random() < 0.1 else price, float(rng.randrange(0, 50)), 0.0))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    path = f"{tmp_path}/out"
+    got = L.newest_panel(L.live_panel(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), path))
+    want = plain(df)
+    columns = [c for c in want.columns if c not in SKIPPED]
+    same(by_symbol(got), by_symbol(want), columns)
+
+    files = [f for f in pathlib.Path(path).rglob("*") if f.is_file() and "checkpoint" in f.parts]
+    assert sum(f.stat().st_size for f in files) < 100_000  # the stream's own state has no points
+    points = df.select("symbol", F.lit(False).alias("ready"), F.unix_micros("ts").alias("at"), F.unix_date(F.to_date("ts")).alias("day"), *P.VALUES)
+    found = [(len(r["moves"]), json.loads(r["moves"])["rows"]) for r in P.segments(points).collect()]
+    assert sum(n for _, n in found) == len(rows) and max(n for _, n in found) < len(rows) / 2
+    assert max(size for size, _ in found) < 10_000
